@@ -185,6 +185,12 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 BM25_LEAST_IDF = 1e-6
 
+# Combining marks that full-text search drops.
+DROPPED_MARKS = (
+    "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u0309\u030a\u030b\u030c\u030f\u0311"
+    "\u031b\u0323\u0324\u0325\u0326\u0327\u0328\u032d\u032e\u0330\u0331"
+)
+
 # Stemmer: suffix tables of Porter (1980), revised form. Each step lists suffix -> replacement;
 # the longest matching suffix decides, then its condition on the rest of the word is tested.
 STEM_STEP_2 = {
