@@ -143,4 +143,5 @@ def baseline_cost(
     price_out: str = rules.BASELINE_PRICE_OUT,
 ) -> Column:
     """What the same tokens cost at the baseline price."""
-    return token_cost(tokens_in, tokens_out, F.lit(price_in), F.lit(price_out))
+    price = "decimal(10,4)"
+    return token_cost(tokens_in, tokens_out, F.lit(price_in).cast(price), F.lit(price_out).cast(price))

@@ -29,9 +29,9 @@ CHECK_COLUMNS = ["score", "passed", *Q.CHECKS]
 # Search terms: query_id, query, mode, col, project, category.
 SEARCHES = {
     "search_all": [(1, "the and", "all", None, None, None), (6, "fact", "all", None, None, None)],
-    "search_any": [(2, "the leaux", "any", None, None, None), (3, "der die das", "any", None, None, None)],
+    "search_any": [(2, "the leaux", "any", None, None, None), (14, "der die das", "any", None, None, None)],
     "search_phrase": [(3, "le la", "phrase", None, None, None), (5, "how_to", "phrase", None, None, None)],
-    "search_prefix": [(4, "ther", "prefix", None, None, None), (5, "le que", "prefix", None, None, None)],
+    "search_prefix": [(4, "ther", "prefix", None, None, None), (15, "le que", "prefix", None, None, None)],
     "search_column": [
         (7, "home", "all", "project", None, None), (8, "skill", "all", "category", None, None),
         (9, "how", "all", "content", None, None),
