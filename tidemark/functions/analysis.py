@@ -63,6 +63,12 @@ def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _suffix(word: Column, suffixes) -> Column:
+    """The suffix found, '' for none. Only the end of the word is searched."""
+    longest = max(map(len, suffixes))
+    return F.regexp_extract(F.right(word, F.lit(longest + 1)), suffix_pattern(suffixes), 1)
+
+
 def _rest(word: Column, suffix: Column) -> Column:
     return F.substr(word, F.lit(1), F.length(word) - F.length(suffix))
 
@@ -82,7 +88,7 @@ def _swap(mapping: dict[str, str], condition: str | None) -> Callable[[Column],
                 found = found & _rest(word, suffix).rlike(condition)
             return F.when(found, F.concat(_rest(word, suffix), F.element_at(new_ends, suffix))).otherwise(word)
 
-        return _bind(F.regexp_extract(word, suffix_pattern(mapping), 1), exchanged)
+        return _bind(_suffix(word, mapping), exchanged)
 
     return step
 
@@ -110,7 +116,7 @@ def _past_forms(word: Column) -> Column:
             .otherwise(word)
         )
 
-    return _bind(F.regexp_extract(word, suffix_pattern(["eed", "ed", "ing"]), 1), changed)
+    return _bind(_suffix(word, ["eed", "ed", "ing"]), changed)
 
 
 def _final_y(word: Column) -> Column:
@@ -127,7 +133,7 @@ def _fallen_ends(word: Column) -> Column:
         falls = (suffix != "") & rest.rlike(MEASURE_2_UP) & ((suffix != "ion") | rest.rlike("[st]$"))
         return F.when(falls, rest).otherwise(word)
 
-    return _bind(F.regexp_extract(word, suffix_pattern(rules.STEM_STEP_4), 1), changed)
+    return _bind(_suffix(word, rules.STEM_STEP_4), changed)
 
 
 def _final_e(word: Column) -> Column:

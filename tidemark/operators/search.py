@@ -1,7 +1,7 @@
 """Full-text retrieval.
 
-The index is two tables: postings-to-be (one row per memory with its token arrays) and a
-vocabulary (one row per distinct token with its stem). A query is first turned into the tokens
+The index is two tables, written once: one row per memory with its
+token arrays, and a vocabulary (one row per distinct token with its stem). A query is first turned into the tokens
 that can satisfy it, by joining its stems with the vocabulary; only then are memories touched, by
 an equality join on tokens. So nothing but the vocabulary is ever stemmed.
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,10 +22,10 @@ from tidemark import rules
 from tidemark.functions.analysis import stem as stem_of
 from tidemark.functions.analysis import tokens
 from tidemark.functions.text import ascii_lower
-from tidemark.session import broadcast_up_to, stage
+from tidemark.session import shared_path, stage
 
 COLUMNS = ["content", "category", "subcategory", "project"]
-# A query table beyond this many rows is joined by shuffle instead of broadcast.
+# Beyond this many query units, per-unit figures are joined by shuffle instead of broadcast.
 BROADCAST_QUERIES = 20_000
 _POS_SPAN = 1 << 40  # more than any column has tokens
 
@@ -58,25 +58,29 @@ def vocabulary_of(documents: DataFrame, stem: bool = True) -> DataFrame:
     return words.withColumn("stem", stem_of(F.col("token")) if stem else F.col("token"))
 
 
-def index_of(memories: DataFrame, stem: bool = True, key: str = "mem_id") -> MemoryIndex:
-    """An index computed on the fly; write_index keeps it for later searches."""
-    documents = analysed(memories, key)
-    stats = documents.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    return MemoryIndex(documents, vocabulary_of(documents, stem), stats)
+def build_index(memories: DataFrame, path: str | None = None, stem: bool = True, key: str = "mem_id") -> MemoryIndex:
+    """Analyse the memories once and store the result, in the shared folder if no path is given.
 
-
-def write_index(index: MemoryIndex, path: str) -> None:
-    """Store an index. The vocabulary is sorted by stem, so a look-up reads few row groups."""
-    index.documents.write.parquet(f"{path}/documents")
-    stored = index.documents.sparkSession.read.parquet(f"{path}/documents")
-    index.vocabulary.sort("stem").write.parquet(f"{path}/vocabulary")
-    stored.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(f"{path}/stats")
+    The vocabulary is sorted by stem, so a look-up of few stems reads few row groups.
+    """
+    spark = memories.sparkSession
+    path = path or shared_path(spark, "index")
+    analysed(memories, key).write.parquet(f"{path}/documents")
+    documents = spark.read.parquet(f"{path}/documents")
+    vocabulary_of(documents, stem).sortWithinPartitions("stem").write.parquet(f"{path}/vocabulary")
+    corpus_stats(documents).write.parquet(f"{path}/stats")
+    return read_index(spark, path)
 
 
-def read_index(spark, path: str) -> MemoryIndex:
+def read_index(spark: SparkSession, path: str) -> MemoryIndex:
     return MemoryIndex(*[spark.read.parquet(f"{path}/{part}") for part in ("documents", "vocabulary", "stats")])
 
 
+def corpus_stats(documents: DataFrame) -> DataFrame:
+    """Number of memories and of tokens."""
+    return documents.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+
 def term_frequencies(documents: DataFrame) -> DataFrame:
     """Per token the number of memories it occurs in.
 
@@ -119,34 +123,46 @@ def query_units(queries: DataFrame, stem: bool = True) -> DataFrame:
     )
 
 
-def _query_tokens(units: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Units with the corpus tokens that satisfy them: an equality join on stems, and one on stem
-    beginnings for prefixes (cut to the lengths that are asked for)."""
-    exact = units.filter(~F.col("prefix")).join(vocabulary, "stem")
-    prefixes = units.filter("prefix").withColumn("_len", F.length("stem"))
-    lengths = prefixes.select("_len").distinct()
-    begun = (
-        vocabulary.select("token", F.col("stem").alias("_stem"))
-        .withColumn("_len", F.explode(F.sequence(F.lit(1), F.length("_stem"))))
-        .join(lengths, "_len", "left_semi")
-        .withColumn("stem", F.substr("_stem", F.lit(1), F.col("_len")))
-        .drop("_stem")
-    )
-    by_prefix = prefixes.join(begun, ["stem", "_len"]).drop("_len")
-    return exact.unionByName(by_prefix)
+@dataclass
+class QueryPlan:
+    """Query units, written once, and what is known of them."""
+
+    units: DataFrame
+    tokens: DataFrame
+    small: bool
+
 
+def plan_queries(index: MemoryIndex, queries: DataFrame, stem: bool = True) -> QueryPlan:
+    """Units and the corpus tokens that satisfy them, both written to the shared folder.
 
-def unit_counts(index: MemoryIndex, queries: DataFrame, stem: bool = True) -> DataFrame:
+    An equality join on stems, and for prefixes one on the beginnings of stems of the lengths
+    that are asked for. Written tables have a known size: the planner broadcasts them in later
+    joins only below its threshold.
+    """
+    units = stage(query_units(queries, stem), "query-units")
+    size, prefixed = units.agg(F.count(F.lit(1)), F.count_if("prefix")).first()
+    found = units.filter(~F.col("prefix")).join(index.vocabulary, "stem")
+    if prefixed:
+        prefixes = units.filter("prefix").withColumn("_len", F.length("stem"))
+        begun = (
+            index.vocabulary.select("token", F.col("stem").alias("_stem"))
+            .withColumn("_len", F.explode(F.sequence(F.lit(1), F.length("_stem"))))
+            .join(prefixes.select("_len").distinct(), "_len", "left_semi")
+            .withColumn("stem", F.substr("_stem", F.lit(1), F.col("_len")))
+            .drop("_stem")
+        )
+        found = found.unionByName(prefixes.join(begun, ["stem", "_len"]).drop("_len"))
+    return QueryPlan(units, stage(found, "query-tokens"), size <= BROADCAST_QUERIES)
+
+
+def unit_counts(index: MemoryIndex, plan: QueryPlan) -> DataFrame:
     """Occurrences of each query unit in each memory: query_id, mem_id, unit, f.
 
     Hits combine map-side, as all hits of a memory come from its own row. A phrase occurs where
     its tokens stand in a row within one column, that is where their positions less their offsets
     agree: counting those needs no self-join.
     """
-    units = query_units(queries, stem)
-    # Written once: the vocabulary is scanned a single time, and the planner then knows the size
-    # of this table and broadcasts it only below its threshold.
-    wanted = stage(_query_tokens(units, index.vocabulary), "query-tokens")
+    wanted = plan.tokens
     columns = F.array(*[
         F.struct(F.lit(i).cast("long").alias("no"), F.lit(name).alias("col_name"), F.col(f"_{name}").alias("words"))
         for i, name in enumerate(COLUMNS)
@@ -171,14 +187,9 @@ def unit_counts(index: MemoryIndex, queries: DataFrame, stem: bool = True) -> Da
         )
         .filter((F.col("n_terms") == 1) | (F.col("_n") == F.col("n_terms")))
     )
-    # One shuffle by (query, memory) serves this count and the scores that follow.
-    return (
-        runs.repartition("query_id", "mem_id")
-        .groupBy("query_id", "mem_id", "unit", "wanted")
-        .agg(
-            F.sum(F.when(F.col("n_terms") == 1, F.col("_n")).otherwise(F.lit(1))).alias("f"),
-            F.first("n_tokens").alias("n_tokens"), F.first("in_scope").alias("in_scope"),
-        )
+    return runs.groupBy("query_id", "mem_id", "unit", "wanted").agg(
+        F.sum(F.when(F.col("n_terms") == 1, F.col("_n")).otherwise(F.lit(1))).alias("f"),
+        F.first("n_tokens").alias("n_tokens"), F.first("in_scope").alias("in_scope"),
     )
 
 
@@ -196,13 +207,15 @@ def ranked(index: MemoryIndex, queries: DataFrame, limit: int = 10, stem: bool =
     choose among the ranked. Contributions are summed as exact decimals, so equal memories tie
     whatever order they meet in, and ties go by mem_id.
     """
-    counts = unit_counts(index, queries, stem)
-    units = query_units(queries, stem=False)
-    asked = units.filter(F.col("wanted") == "all").groupBy("query_id").agg(F.count_distinct("unit").alias("asked"))
+    plan = plan_queries(index, queries, stem)
+    # Read twice, for the document counts and for the scores: written once, so that the corpus is
+    # scanned once. Only matches get here.
+    counts = stage(unit_counts(index, plan), "unit-counts")
+    asked = plan.units.filter(F.col("wanted") == "all").groupBy("query_id").agg(F.count_distinct("unit").alias("asked"))
     found = counts.groupBy("query_id", "unit").agg(F.count(F.lit(1)).alias("n"))
-    # At most one row per query unit.
-    found = broadcast_up_to(found, BROADCAST_QUERIES, probe=units)
-    asked = broadcast_up_to(asked, BROADCAST_QUERIES, probe=queries)
+    if plan.small:
+        # At most one row per query unit, and those have been counted.
+        found, asked = F.broadcast(found), F.broadcast(asked)
     n_docs = index.stats.select("n_docs").scalar()
     avg_size = index.stats.select(F.col("n_tokens") / F.col("n_docs")).scalar()
     part = _bm25(F.col("n"), F.col("f"), F.col("n_tokens"), n_docs, avg_size).cast("decimal(30,15)")
@@ -230,9 +243,8 @@ def search(
     memories: DataFrame, queries: DataFrame, limit: int = 10, stem: bool = True, index: MemoryIndex | None = None
 ) -> DataFrame:
     """Ranked memories with their columns; access_count is the one before the touch."""
-    hits = ranked(index or index_of(memories, stem), queries, limit, stem)
-    # Queries times limit rows: joined to the memories by broadcast while that is small.
-    hits = broadcast_up_to(hits, BROADCAST_QUERIES, probe=queries.select(F.explode(F.sequence(F.lit(1), F.lit(limit)))))
+    # Queries times limit rows, written once: broadcast to the memories while that is small.
+    hits = stage(ranked(index or build_index(memories, stem=stem), queries, limit, stem), "hits")
     return memories.join(hits, "mem_id")
 
 

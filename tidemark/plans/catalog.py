@@ -430,7 +430,7 @@ def term_frequencies(spark, sf_dir):
 
 @query
 def corpus_stats(spark, sf_dir):
-    stats = R.index_of(view(spark, sf_dir, "memories")).stats
+    stats = R.corpus_stats(R.analysed(view(spark, sf_dir, "memories")))
     return stats.withColumn("avg_tokens", F.round(F.col("n_tokens") / F.col("n_docs"), 4))
 
 
@@ -442,5 +442,5 @@ def vocabulary_stems(spark, sf_dir):
 @query
 def access_touch(spark, sf_dir):
     memories = view(spark, sf_dir, "memories")
-    hits = R.ranked(R.index_of(memories), query_table(spark, SEARCHES["search_any"]))
+    hits = R.ranked(R.build_index(memories), query_table(spark, SEARCHES["search_any"]))
     return M.touched(memories, hits).select("mem_id", "access_count")

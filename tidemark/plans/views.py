@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ["events", "conversations", "documents", "labels"]
+TABLES = ["events", "conversations", "documents"]
+TEXT_TABLES = ["conversations", "documents"]
 
 # Text as a JSON string body. chr(92) is a backslash: string escapes differ between engines.
 _JSON_TEXT = (
@@ -164,14 +165,24 @@ FROM documents""",
 }
 
 
-def register_tables(spark: SparkSession, sf_dir: str) -> None:
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; a text table in fewer pieces than there are cores is spread over them.
+
+    A small file of long texts is one piece and would keep one core busy with all its regexes. A
+    table of a size that matters has more pieces than cores and is left alone.
+    """
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores)
+    return table
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view as a DataFrame over the tables in sf_dir."""
-    register_tables(spark, sf_dir)
+    for table in TABLES:
+        if f"FROM {table}" in VIEWS[name]:
+            read_table(spark, sf_dir, table).createOrReplaceTempView(table)
     return spark.sql(VIEWS[name])
 
 

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings every job relies on. None of them names a cluster size: partition counts, memory and
 # executors stay with the deployment.
@@ -59,11 +58,3 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def broadcast_up_to(df: DataFrame, rows: int, probe: DataFrame | None = None) -> DataFrame:
-    """df marked for broadcast when it is known to hold at most that many rows, else df as it is.
-
-    probe is a cheap DataFrame with at least as many rows as df; counting stops at the limit.
-    """
-    probe = df if probe is None else probe
-    return F.broadcast(df) if probe.limit(rows + 1).count() <= rows else df
