@@ -18,8 +18,11 @@ from tidemark.operators import pricing as P
 from tidemark.operators import quality as Q
 from tidemark.operators import safety as S
 from tidemark.operators import search as R
-from tidemark.plans.views import view
+from tidemark.plans.views import VIEWS, view
+from tidemark.session import shared_path
 from tidemark.sources.payloads import parse_payloads, quarantined
+from tidemark.sources.sinks import read_memories
+from tidemark.streaming import streams as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -444,3 +447,70 @@ def access_touch(spark, sf_dir):
     memories = view(spark, sf_dir, "memories")
     hits = R.ranked(R.build_index(memories), query_table(spark, SEARCHES["search_any"]))
     return M.touched(memories, hits).select("mem_id", "access_count")
+
+
+# --- streams -------------------------------------------------------------------------------
+# Each query drains its stream into a fresh folder and returns what was written.
+
+
+def stream_of(spark: SparkSession, sf_dir: str, table: str, name: str) -> DataFrame:
+    """A view over a table that is read as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    source.createOrReplaceTempView(f"{table}_stream")
+    return spark.sql(VIEWS[name].replace(f"FROM {table}", f"FROM {table}_stream"))
+
+
+@query
+def stream_gate(spark, sf_dir):
+    out = shared_path(spark, "stream")
+    texts = stream_of(spark, sf_dir, "documents", "probe_text")
+    T.append_stream(T.gated_texts(texts), f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/data").select("doc_id", "text", "score", "passed", "changed")
+
+
+@query
+def stream_commands(spark, sf_dir):
+    out = shared_path(spark, "stream")
+    events = parse_payloads(stream_of(spark, sf_dir, "events", "hook_events"))
+    T.append_stream(T.command_alerts(events), f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/data").select("event_id", "tag", "text")
+
+
+@query
+def stream_rolling_cost(spark, sf_dir):
+    out = shared_path(spark, "stream")
+    ledger = P.priced(stream_of(spark, sf_dir, "events", "ledger_raw"), view(spark, sf_dir, "prices"))
+    T.snapshot_stream(T.rolling_cost_windows(ledger), f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{out}/data/batch_id=0")
+    return rows.select(
+        F.unix_seconds("start").alias("start_s"), "provider", "model", "requests", "tokens_in", "tokens_out",
+        F.col("cost_usd").cast("double").alias("cost_usd"),
+    )
+
+
+@query
+def stream_breaker(spark, sf_dir):
+    """The attempts view needs a window, which no stream offers: the log is written, then streamed."""
+    out = shared_path(spark, "stream")
+    attempts = view(spark, sf_dir, "attempts")
+    attempts.write.parquet(f"{out}/log")
+    log = spark.readStream.schema(attempts.schema).parquet(f"{out}/log")
+    T.breaker_stream(log, f"{out}/data", f"{out}/state", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/data").select(*STREAK_COLUMNS)
+
+
+@query
+def stream_memories(spark, sf_dir):
+    out = shared_path(spark, "stream")
+    events = parse_payloads(stream_of(spark, sf_dir, "events", "hook_events"))
+    T.memory_stream(events, length_extractor, f"{out}/store", f"{out}/checkpoint").awaitTermination()
+    return read_memories(spark, f"{out}/store").select("commit_hash", "category", "subcategory", "content", "importance")
+
+
+@query
+def stream_counters(spark, sf_dir):
+    out = shared_path(spark, "stream")
+    counters = T.gate_counters(stream_of(spark, sf_dir, "events", "ledger_raw"))
+    T.snapshot_stream(counters, f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/data/batch_id=0").select("outcome", "requests")

@@ -467,3 +467,26 @@ ORACLES["term_frequencies"] = with_views(["memories"], _corpus() + "SELECT token
 ORACLES["corpus_stats"] = with_views(["memories"], _corpus() + """
 SELECT (SELECT count(*) FROM memories) AS n_docs, count(*) AS n_tokens, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM memories), 4) AS avg_tokens FROM toks""")
 ORACLES["vocabulary_stems"] = with_views(["memories"], _corpus() + stem_ctes("toks", "voc") + "SELECT token, stem FROM voc")
+
+# --- streams -------------------------------------------------------------------------------
+
+ORACLES["stream_gate"] = with_views(["probe_text"], _PROBE + f"""
+SELECT k AS doc_id, CASE WHEN raw >= 0.5 THEN {scrub_sql('text')} ELSE text END AS text, round(raw, 3) AS score, raw >= 0.5 AS passed,
+ raw >= 0.5 AND {scrub_sql('text')} <> text AS changed FROM qs""")
+ORACLES["stream_commands"] = ORACLES["blocked_audit"]
+ORACLES["stream_counters"] = ORACLES["gate_outcomes"]
+ORACLES["stream_breaker"] = ORACLES["failure_streaks"]
+ORACLES["stream_rolling_cost"] = ledger_sql("""
+, h AS (SELECT *, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS hour_s FROM ledger)
+, e AS (SELECT h.*, hour_s - o * 3600 AS start_s FROM h, range(24) r(o))
+SELECT start_s, provider, model, count(*) AS requests, CAST(sum(tokens_in) AS BIGINT) AS tokens_in,
+ CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum(cost) AS DOUBLE) AS cost_usd FROM e GROUP BY start_s, provider, model""")
+ORACLES["stream_memories"] = with_views(["hook_events"], _EVENTS + _CONTEXT + """
+, s AS (SELECT event_id FROM (SELECT event_id, payload, coalesce(nullif(json_extract_string(payload, '$.summary'), ''), nullif(json_extract_string(payload, '$.message'), ''),
+ nullif(json_extract_string(payload, '$.stop_reason'), ''),
+ CASE WHEN kind = 'VARCHAR' THEN plain ELSE coalesce(nullif(json_extract_string(payload, '$.tool_input.content'), ''), json_extract_string(payload, '$.tool_input.text')) END, '') AS content, tool FROM ev) x
+ WHERE coalesce(regexp_matches(tool, '[Cc]ompact|[Ss]ummariz|[Cc]ompress'), false) OR (strlen(payload) >= 50 AND length(content) > 50))
+, c AS (SELECT DISTINCT length(context) AS n FROM c1 WHERE length(context) >= 100 AND event_id IN (SELECT event_id FROM s))
+, m AS (SELECT category, subcategory, category || ' of ' || n || ' chars' AS content FROM c,
+ (VALUES ('fact', 'reference'), ('decision', 'strategy'), ('skill', 'how_to')) t(category, subcategory) WHERE NOT (category = 'skill' AND n % 2 = 1))
+SELECT sha256(category || ':' || subcategory || ':' || content) AS commit_hash, category, subcategory, content, CAST(8 AS BIGINT) AS importance FROM m""")
