@@ -18,8 +18,8 @@ from tidemark import rules
 
 @cache
 def _foldings() -> tuple[str, str]:
-    """Lower-case letters that count as another one: a base letter with one mark counts as the
-    base letter, a variant form as the letter it case-folds to."""
+    """Characters for translate: a letter with one mark counts as its base letter, a variant form
+    as the letter it case-folds to; loose marks come last, without counterpart, and fall away."""
     marked, plain = [], []
     for char in map(chr, range(0x80, 0x2000)):
         parts = unicodedata.normalize("NFD", char.casefold())
@@ -29,14 +29,12 @@ def _foldings() -> tuple[str, str]:
         elif len(char.casefold()) == 1 and char.casefold() != char.lower():
             marked.append(char)
             plain.append(char.casefold())
-    return "".join(marked), "".join(plain)
+    return "".join(marked) + rules.DROPPED_MARKS, "".join(plain)
 
 
 def tokens(text: Column) -> Column:
     """R1 without stems: array of tokens in text order; a NULL text has none."""
     folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), *_foldings())
-    # Loose marks do not split a token.
-    folded = F.regexp_replace(folded, f"[{rules.DROPPED_MARKS}]", "")
     return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
 
 

@@ -18,10 +18,6 @@ def _kind(payload: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(payload, path, "variant"))
 
 
-def is_object(payload: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(payload).startswith("OBJECT"), F.lit(False))
-
-
 def tool_name(payload: Column) -> Column:
     return F.coalesce(_text(payload, "$.tool_name"), F.lit(""))
 

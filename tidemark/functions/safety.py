@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,6 +19,14 @@ def dangerous_hits(text: Column) -> Column:
     )
 
 
+def may_match(text: Column, rule: tuple) -> Column:
+    """A cheap test that is true for every text the rule matches: the plain beginning of its
+    pattern, or for the rule in any case the end of it, which starts with a rare character."""
+    if "i" in rule[2]:
+        return matches(text, rules.ASSIGNMENT_END)
+    return text.contains(re.match(r"(?:\\b)?([A-Za-z_-]+)", rule[1])[1])
+
+
 def scrub(text: Column) -> Column:
     """All replacements in order, each on the result of the one before."""
     return reduce(
@@ -28,13 +37,8 @@ def scrub(text: Column) -> Column:
 
 
 def may_hold_credentials(text: Column) -> Column:
-    """False only when no credential rule can match: each needs one of these strings.
-
-    Plain substring tests are far cheaper than fourteen regex passes over a long text.
-    """
-    plain = ["sk-", "sk_", "key-", "pk_", "Bearer", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "eyJ"]
-    found = reduce(lambda out, mark: out | text.contains(mark), plain, F.lit(False))
-    return found | matches(text, r"(?:api[_-]?key|token|secret|password|auth)\s*[=:]", "i")
+    """False only when no credential rule can match; far cheaper than fourteen regex passes."""
+    return reduce(lambda found, rule: found | may_match(text, rule), rules.CREDENTIAL_RULES, F.lit(False))
 
 
 def shell_match(command: Column) -> Column:
@@ -66,31 +70,3 @@ def masked(value: Column) -> Column:
     return F.when(
         F.length(value) > 12, F.concat(F.left(value, F.lit(4)), F.lit("..."), F.right(value, F.lit(4)))
     ).otherwise("****")
-
-
-def credential_values(text: Column) -> Column:
-    """All findings of a text, as an array of (kind, value).
-
-    As in X2, each rule looks at the text the earlier rules have already scrubbed, so a secret is
-    reported once, under the rule that removes it.
-    """
-    steps = F.array(*[
-        F.struct(
-            F.lit(kind).alias("kind"), F.lit(pattern(regex, flags)).alias("regex"),
-            F.lit(replacement).alias("replacement"), F.lit(group).alias("group"),
-        )
-        for kind, regex, flags, replacement, group in rules.CREDENTIAL_RULES
-    ])
-    start = F.struct(
-        text.alias("rest"), F.array().cast("array<struct<kind:string,value:string>>").alias("found")
-    )
-
-    def take(acc: Column, step: Column) -> Column:
-        values = F.regexp_extract_all(acc["rest"], step["regex"], step["group"])
-        found = F.transform(values, lambda v: F.struct(step["kind"].alias("kind"), v.alias("value")))
-        return F.struct(
-            F.regexp_replace(acc["rest"], step["regex"], step["replacement"]).alias("rest"),
-            F.concat(acc["found"], found).alias("found"),
-        )
-
-    return F.reduce(steps, start, take, lambda acc: acc["found"])

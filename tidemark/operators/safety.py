@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import rules
 from tidemark.functions import safety as S
-from tidemark.functions.text import matches
+from tidemark.functions.text import matches, pattern
 
 
 def safety_hits(messages: DataFrame, text: str = "text") -> DataFrame:
@@ -59,17 +59,44 @@ def scrub_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def with_findings(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Add findings: array of (kind, value) in rule order.
+
+    As in X2, each rule looks at the text the earlier rules have already scrubbed, so a secret is
+    found once, under the rule that removes it. Each rule is a projection over the one before, so
+    no replacement is computed twice.
+    """
+    rest = texts.withColumn("_rest", F.col(text))
+    found = []
+    for i, rule in enumerate(rules.CREDENTIAL_RULES):
+        kind, regex, flags, replacement, group = rule
+        rest = rest.withColumn(f"_may{i}", S.may_match(F.col("_rest"), rule)).withColumns({
+            f"_v{i}": F.when(
+                F.col(f"_may{i}"), F.regexp_extract_all("_rest", F.lit(pattern(regex, flags)), F.lit(group))
+            ).otherwise(F.array().cast("array<string>")),
+            "_rest": F.when(
+                F.col(f"_may{i}"), F.regexp_replace("_rest", pattern(regex, flags), replacement)
+            ).otherwise(F.col("_rest")),
+        }).drop(f"_may{i}")
+        found.append(F.struct(F.lit(kind).alias("kind"), F.col(f"_v{i}").alias("values")))
+    return rest.withColumn("findings", F.array(*found)).select(*texts.columns, "findings")
+
+
 def secret_inventory(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per finding, value masked (X6) and hashed, with the placeholder flag."""
+    held = texts.select(key, text).filter(S.may_hold_credentials(F.col(text)))
+    # outer: a plain explode would be given a filter that computes the findings once more
     return (
-        texts.filter(S.may_hold_credentials(F.col(text)))
-        .select(key, F.explode(S.credential_values(F.col(text))).alias("f"))
+        with_findings(held, text)
+        .select(key, F.explode_outer("findings").alias("_f"))
+        .select(key, "_f.kind", F.explode_outer("_f.values").alias("_value"))
+        .filter(F.col("_value").isNotNull())
         .select(
             key,
-            F.col("f.kind").alias("kind"),
-            S.masked(F.col("f.value")).alias("masked"),
-            F.sha2(F.col("f.value"), 256).alias("value_hash"),
-            S.is_placeholder(F.col("f.value")).alias("placeholder"),
+            "kind",
+            S.masked(F.col("_value")).alias("masked"),
+            F.sha2("_value", 256).alias("value_hash"),
+            S.is_placeholder(F.col("_value")).alias("placeholder"),
         )
     )
 

@@ -133,6 +133,9 @@ CREDENTIAL_RULES = [
     ("jwt", r"\beyJ[a-zA-Z0-9_-]{100,}\b", "", "[REDACTED_JWT]", 0),
 ]
 
+# The end of the assignment rule, which every match of it holds.
+ASSIGNMENT_END = r"[=:]\s*[\"']?[a-zA-Z0-9_.\-/+]{32}"
+
 # Shell gate: fixed strings (any case), then two line patterns; the last match is reported.
 SHELL_STRINGS = [
     "rm -rf /",
