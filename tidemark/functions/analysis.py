@@ -43,8 +43,9 @@ _VOWEL, _CONSONANT = "[aeiouy]", "[^aeiouy]"
 HAS_VOWEL = _VOWEL
 MEASURE_1_UP = _VOWEL + _CONSONANT
 MEASURE_2_UP = f"{_VOWEL}{_CONSONANT}+{_VOWEL}+{_CONSONANT}"
-SHORT_END = f"{_CONSONANT}{_VOWEL}[^aeiouywxY]$"
-DOUBLE_END = "([^aeiouylsz])$"
+# The index looks at bytes: letters beyond ASCII are several and end neither of these.
+SHORT_END = f"{_CONSONANT}{_VOWEL}[b-df-hj-np-tvz0-9]$"
+DOUBLE_END = "[b-df-hjkmnp-rtv-x0-9]$"
 
 
 def suffix_pattern(suffixes) -> str:

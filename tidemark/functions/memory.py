@@ -22,10 +22,11 @@ def json_array_text(output: Column) -> Column:
     return F.regexp_extract(unfenced, r"(?s)\[.*\]", 0)
 
 
-def json_items(output: Column) -> Column:
-    """The elements of that array as variants; empty for bad JSON."""
-    parsed = F.try_variant_get(F.try_parse_json(json_array_text(output)), "$", "array<variant>")
-    return F.coalesce(parsed, F.array().cast("array<variant>"))
+def json_items(array: Column) -> Column:
+    """The elements of a parsed array; empty for anything else."""
+    return F.coalesce(
+        F.try_variant_get(array, "$", "array<variant>"), F.array().cast("array<variant>")
+    )
 
 
 def _kind(item: Column, path: str) -> Column:

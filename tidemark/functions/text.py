@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,20 @@ def truncated(text: Column, chars: int) -> Column:
 def base_name(path: Column) -> Column:
     """Last part of a path."""
     return F.element_at(F.split(F.rtrim(path, F.lit("/")), "/"), -1)
+
+
+# Ends the wrapped text below; a text that holds it itself is not valid input.
+_JSON_END = "\u0001end of text\u0001"
+
+
+def with_json(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """Add out: the JSON value of text as VARIANT, NULL for bad JSON.
+
+    The parser stops after the first value and ignores what follows, so the text is parsed as the
+    first of two array elements: anything after its value breaks the array. The parse sits in a
+    generator because the optimiser would copy a plain expression into every filter on it.
+    """
+    wrapped = F.concat(F.lit("["), text, F.lit(f',"{_JSON_END}"]'.replace("\u0001", "\\u0001")))
+    parsed = df.select("*", F.explode(F.array(F.try_parse_json(wrapped))).alias("_json"))
+    whole = F.try_variant_get("_json", "$[1]", "string") == _JSON_END
+    return parsed.withColumn(out, F.when(whole, F.try_variant_get("_json", "$[0]", "variant"))).drop("_json")

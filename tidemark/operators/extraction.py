@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import rules
 from tidemark.functions import memory as M
-from tidemark.functions.text import matches, strip, truncated
+from tidemark.functions.text import matches, strip, truncated, with_json
 
 
 def category_order():
@@ -24,9 +24,9 @@ def read_outputs(outputs: DataFrame) -> DataFrame:
     over one bad item needs no shuffle.
     """
     return (
-        outputs.withColumn("_parsed", M.json_items(F.col("output")))
-        .withColumn("items", M.normalised_items(F.col("_parsed"), F.col("category")))
-        .drop("_parsed", "output")
+        with_json(outputs, M.json_array_text(F.col("output")), "_array")
+        .withColumn("items", M.normalised_items(M.json_items(F.col("_array")), F.col("category")))
+        .drop("_array", "output")
     )
 
 

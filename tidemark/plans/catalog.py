@@ -481,8 +481,8 @@ def stream_commands(spark, sf_dir):
 def stream_rolling_cost(spark, sf_dir):
     out = shared_path(spark, "stream")
     ledger = P.priced(stream_of(spark, sf_dir, "events", "ledger_raw"), view(spark, sf_dir, "prices"))
-    T.snapshot_stream(T.rolling_cost_windows(ledger), f"{out}/data", f"{out}/checkpoint").awaitTermination()
-    rows = spark.read.parquet(f"{out}/data/batch_id=0")
+    T.append_stream(T.rolling_cost_windows(ledger), f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{out}/data")
     return rows.select(
         F.unix_seconds("start").alias("start_s"), "provider", "model", "requests", "tokens_in", "tokens_out",
         F.col("cost_usd").cast("double").alias("cost_usd"),

@@ -379,7 +379,7 @@ _COLUMNS = ["content", "category", "subcategory", "project"]
 def stem_ctes(source: str, prefix: str) -> str:
     """CTE <prefix>: token and stem of the distinct tokens of source, Porter's steps one by one."""
     v, m1, m2 = "[aeiouy]", "[aeiouy][^aeiouy]", "[aeiouy][^aeiouy]+[aeiouy]+[^aeiouy]"
-    short = "[^aeiouy][aeiouy][^aeiouywxY]$"
+    short = "[^aeiouy][aeiouy][bcdfghjklmnpqrstvz0-9]$"
     ctes, last = [], f"{prefix}0"
 
     def add(body: str) -> None:
@@ -404,7 +404,7 @@ def stem_ctes(source: str, prefix: str) -> str:
     add(f"token, CASE WHEN s = 'eed' AND regexp_matches(b, '{m1}') THEN b || 'ee' WHEN s IN ('ed', 'ing') AND regexp_matches(b, '{v}') THEN b ELSE w END AS w,"
         f" s IN ('ed', 'ing') AND regexp_matches(b, '{v}') AS t")
     add(f"token, CASE WHEN NOT t THEN w WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e'"
-        f" WHEN regexp_matches(w, '[^aeiouylsz]$') AND length(w) > 1 AND right(w, 1) = left(right(w, 2), 1) THEN left(w, length(w) - 1)"
+        f" WHEN regexp_matches(w, '[bcdfghjkmnpqrtvwx0-9]$') AND length(w) > 1 AND right(w, 1) = left(right(w, 2), 1) THEN left(w, length(w) - 1)"
         f" WHEN regexp_matches(w, '{m1}') AND NOT regexp_matches(w, '{m2}') AND regexp_matches(w, '{short}') THEN w || 'e' ELSE w END AS w")
     add(f"token, CASE WHEN regexp_matches(w, '[yY]$') AND regexp_matches(left(w, length(w) - 1), '{v}') THEN left(w, length(w) - 1) || 'i' ELSE w END AS w")
     swap(rules.STEM_STEP_2, m1)
@@ -480,7 +480,8 @@ ORACLES["stream_rolling_cost"] = ledger_sql("""
 , h AS (SELECT *, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS hour_s FROM ledger)
 , e AS (SELECT h.*, hour_s - o * 3600 AS start_s FROM h, range(24) r(o))
 SELECT start_s, provider, model, count(*) AS requests, CAST(sum(tokens_in) AS BIGINT) AS tokens_in,
- CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum(cost) AS DOUBLE) AS cost_usd FROM e GROUP BY start_s, provider, model""")
+ CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum(cost) AS DOUBLE) AS cost_usd FROM e
+WHERE start_s + 86400 <= (SELECT epoch(max(ts)) - 3600 FROM ledger) GROUP BY start_s, provider, model""")
 ORACLES["stream_memories"] = with_views(["hook_events"], _EVENTS + _CONTEXT + """
 , s AS (SELECT event_id FROM (SELECT event_id, payload, coalesce(nullif(json_extract_string(payload, '$.summary'), ''), nullif(json_extract_string(payload, '$.message'), ''),
  nullif(json_extract_string(payload, '$.stop_reason'), ''),

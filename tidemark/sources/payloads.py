@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import with_json
 
 
 def read_contexts(spark: SparkSession, path: str) -> DataFrame:
@@ -16,14 +17,9 @@ def read_contexts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_payloads(lines: DataFrame, raw: str = "payload") -> DataFrame:
-    """Add event (VARIANT); NULL where the text is not a JSON object. Batch or stream.
-
-    A generator, because the optimiser would copy a plain parse into every filter that looks at
-    the event; this way a payload is parsed once, whatever is asked of it.
-    """
-    is_object = F.col(raw).rlike(r"^\s*\{")
-    event = F.when(is_object, F.try_parse_json(F.col(raw)))
-    return lines.select("*", F.explode(F.array(event)).alias("event"))
+    """Add event (VARIANT); NULL where the text is not a JSON object. Batch or stream."""
+    parsed = with_json(lines, F.col(raw), "event")
+    return parsed.withColumn("event", F.when(F.col(raw).rlike(r"^\s*\{"), F.col("event")))
 
 
 def readable(events: DataFrame) -> DataFrame:

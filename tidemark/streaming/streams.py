@@ -46,20 +46,24 @@ def command_alerts(events: DataFrame) -> DataFrame:
 def rolling_cost_windows(
     ledger: DataFrame, lateness: str = "1 hour", width: str = "24 hours", slide: str = "1 hour"
 ) -> DataFrame:
-    """Cost per provider and model in sliding windows.
+    """Cost per provider and model in sliding windows; write with append mode.
 
-    Windows move by the slide, so they approximate the exact cutoff of the batch report. State is
-    one row per window, provider and model; sums combine map-side.
+    Windows move by the slide, so they approximate the exact cutoff of the batch report. Rows are
+    first summed per slide; only those sums are copied into the windows they belong to, so a row
+    is not multiplied by the number of overlapping windows. A window appears once the watermark
+    has passed its end; rows later than that are dropped.
     """
-    return (
+    sums = ["requests", "tokens_in", "tokens_out", "cost_usd"]
+    slides = (
         ledger.withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", lateness)
-        .groupBy(F.window("ts", width, slide).alias("w"), "provider", "model")
-        .agg(
-            F.count(F.lit(1)).alias("requests"), F.sum("tokens_in").alias("tokens_in"),
-            F.sum("tokens_out").alias("tokens_out"), F.sum("cost_usd").alias("cost_usd"),
-        )
-        .select("w.start", "w.end", "provider", "model", "requests", "tokens_in", "tokens_out", "cost_usd")
+        .groupBy(F.window("ts", slide).alias("s"), "provider", "model")
+        .agg(F.count(F.lit(1)).alias("requests"), *[F.sum(name).alias(name) for name in sums[1:]])
+    )
+    return (
+        slides.groupBy(F.window(F.window_time("s"), width, slide).alias("w"), "provider", "model")
+        .agg(*[F.sum(name).alias(name) for name in sums])
+        .select("w.start", "w.end", "provider", "model", *sums)
     )
 
 
