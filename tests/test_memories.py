@@ -93,3 +93,15 @@ def test_unassigned_project(spark):
     assert {(r.section, r.name): r.memories for r in M.memory_stats(memories).collect()} == {
         ("total", "all"): 3, ("category", "fact"): 2, ("category", "skill"): 1,
     }
+
+
+def test_copies_combine_before_the_shuffle(spark):
+    items = spark.range(1000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("content"),
+        F.lit("fact").alias("category"), F.lit("reference").alias("subcategory"), F.lit(9).cast("long").alias("importance"),
+        F.col("id").alias("run_id"), F.lit(0).alias("run_part"), F.lit(1).alias("cat_order"), F.lit(0).alias("pos"),
+    )
+    kept = M.committed_memories(items)
+    assert kept.count() == 667 and kept.filter("content = 'hot'").first().run_id == 0
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_min" in plan

@@ -87,3 +87,11 @@ def test_text_helpers(spark):
     rows = df.select(strip(F.col("t")).alias("s"), snippet(F.col("t")).alias("n"), base_name(F.col("p")).alias("b")).collect()
     assert (rows[0].s, rows[0].b) == ("a b", "p1")
     assert rows[1].n == "x" * 117 + "..." and rows[1].b == "p"
+
+
+def test_prices_are_broadcast_by_their_size(spark):
+    log = spark.range(10).select(
+        F.concat(F.lit("p"), F.col("id")).alias("provider"), F.col("id").alias("tokens_in"), F.col("id").alias("tokens_out")
+    )
+    plan = P.priced(log, default_providers(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -25,8 +25,8 @@ def tool_name(payload: Column) -> Column:
 def payload_context(payload: Column, raw: Column) -> Column:
     """The largest useful text of a payload, cut to the context limit.
 
-    raw is the payload's JSON text. Where the reference behaviour is to write an object back as
-    JSON, the object appears in compact form with its keys in their order.
+    raw is the payload's JSON text. An object without text of its own appears as compact JSON
+    with its keys in their order.
     """
     kind = _kind(payload, "$.tool_input")
     from_object = F.coalesce(

@@ -210,7 +210,9 @@ def failure_streaks(
     open_until_s     end of the cool-off in force before the attempt; a success does not clear it
     made_while_open  whether the attempt was made before that end
 
-    state, as written by breaker_state, continues an earlier log. One range shuffle, one pass.
+    state, as written by breaker_state, continues an earlier log. One range shuffle, one pass. All
+    columns of attempts are carried through, so select the needed ones first: provider, the
+    ordering columns and status are required.
     """
     columns = attempts.columns
     rows = attempts.withColumns({"_streak": F.lit(0).cast("long"), "_open": F.lit(_NONE).cast("long")})
@@ -288,7 +290,8 @@ def provider_health(
 
     All of it is one aggregate over failure_streaks, combined map-side.
     """
-    streaks = failure_streaks(attempts, cool_off)
+    needed = attempts.select("provider", *ORDER, "status", "latency_ms")
+    streaks = failure_streaks(needed, cool_off)
     ok = F.col("status") == "success"
     opens = ~ok & (F.col("streak") >= LIMIT)
     after = F.when(opens, F.col("ts_s") + cool_off).otherwise(F.col("open_until_s"))

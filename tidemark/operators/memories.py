@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tidemark import rules
 from tidemark.functions.memory import memory_key
 from tidemark.functions.text import base_name, snippet
+from tidemark.session import stage
 
 RUN_KEYS = ["run_id", "run_part"]
 
@@ -130,10 +131,12 @@ def recent_memories(memories: DataFrame, created: str, key: str, limit: int = 5)
 def touched(memories: DataFrame, hits: DataFrame, key: str = "mem_id", at: Column | None = None) -> DataFrame:
     """The memories after a search: each hit adds one to access_count and sets accessed_at.
 
-    Hits are summed first: their number is bounded by queries times limit. The result is a new
-    snapshot; write it to a new path and switch readers over, never onto its own input.
+    Hits are summed and written first. There are at most queries times limit of them, and with
+    their size known they are broadcast while small, so that the memories are not shuffled. The
+    result is a new snapshot; write it to a new path and switch readers over, never onto its own
+    input.
     """
-    counts = hits.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("_hits"))
+    counts = stage(hits.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("_hits")), "touched")
     joined = memories.join(counts, key, "left")
     out = joined.withColumn("access_count", F.col("access_count") + F.coalesce("_hits", F.lit(0)))
     if at is not None:

@@ -156,19 +156,23 @@ def first_success(spark, sf_dir):
 STREAK_COLUMNS = ["provider", "request_id", "chain_pos", "ts_s", "streak", "open_until_s", "made_while_open"]
 
 
+def _streaks(spark, sf_dir):
+    return A.failure_streaks(view(spark, sf_dir, "attempts").select("provider", *A.ORDER, "status"))
+
+
 @query
 def failure_streaks(spark, sf_dir):
-    return A.failure_streaks(view(spark, sf_dir, "attempts")).select(*STREAK_COLUMNS)
+    return _streaks(spark, sf_dir).select(*STREAK_COLUMNS)
 
 
 @query
 def open_intervals(spark, sf_dir):
-    return A.open_intervals(A.failure_streaks(view(spark, sf_dir, "attempts")))
+    return A.open_intervals(_streaks(spark, sf_dir))
 
 
 @query
 def attempts_while_open(spark, sf_dir):
-    return A.attempts_while_open(A.failure_streaks(view(spark, sf_dir, "attempts")))
+    return A.attempts_while_open(_streaks(spark, sf_dir))
 
 
 @query

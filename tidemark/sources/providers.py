@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark import rules, schemas
 
 
+def _table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """A local relation: the planner knows its size exactly and broadcasts it by that."""
+    arrow = to_arrow_schema(schemas.PROVIDERS)
+    columns = [pa.array(values, field.type) for values, field in zip(zip(*rows), arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow))
+
+
 def default_providers(spark: SparkSession) -> DataFrame:
     rows = [
         (name, model, Decimal(p_in), Decimal(p_out), tier, declared, chain)
         for name, model, _, p_in, p_out, tier, declared, chain in rules.PROVIDERS
     ]
-    return spark.createDataFrame(rows, schemas.PROVIDERS)
+    return _table(spark, rows)
 
 
 def starter_providers(spark: SparkSession) -> DataFrame:
@@ -22,7 +31,7 @@ def starter_providers(spark: SparkSession) -> DataFrame:
         (name, model, Decimal(p_in), Decimal(p_out), 1, pos, None)
         for pos, (name, model, _, p_in, p_out) in enumerate(rules.STARTER_PROVIDERS, start=1)
     ]
-    return spark.createDataFrame(rows, schemas.PROVIDERS)
+    return _table(spark, rows)
 
 
 def providers_from_config(spark: SparkSession, config: dict) -> DataFrame:
@@ -38,4 +47,4 @@ def providers_from_config(spark: SparkSession, config: dict) -> DataFrame:
                 Decimal(str(price.get("input", 0))), Decimal(str(price.get("output", 0))),
                 tier, len(rows) + 1, chain.get(name) if tier == 1 else None,
             ))
-    return spark.createDataFrame(rows, schemas.PROVIDERS)
+    return _table(spark, rows)
