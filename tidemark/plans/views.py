@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["events", "conversations", "documents"]
 TEXT_TABLES = ["conversations", "documents"]
+PARSED_VIEWS = ["hook_events"]  # JSON is parsed row by row
 
 # Text as a JSON string body. chr(92) is a backslash: string escapes differ between engines.
 _JSON_TEXT = (
@@ -165,15 +166,15 @@ FROM documents""",
 }
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; a text table in fewer pieces than there are cores is spread over them.
+def read_table(spark: SparkSession, sf_dir: str, name: str, heavy: bool) -> DataFrame:
+    """A given table; with heavy row-wise work ahead, fewer pieces than cores are spread over them.
 
-    A small file of long texts is one piece and would keep one core busy with all its regexes. A
-    table of a size that matters has more pieces than cores and is left alone.
+    A small file is one piece and would keep one core busy with all regexes and parsing. A table
+    of a size that matters has more pieces than cores and is left alone.
     """
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and table.rdd.getNumPartitions() < cores:
+    if heavy and table.rdd.getNumPartitions() < cores:
         return table.repartition(cores)
     return table
 
@@ -182,7 +183,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view as a DataFrame over the tables in sf_dir."""
     for table in TABLES:
         if f"FROM {table}" in VIEWS[name]:
-            read_table(spark, sf_dir, table).createOrReplaceTempView(table)
+            heavy = table in TEXT_TABLES or name in PARSED_VIEWS
+            read_table(spark, sf_dir, table, heavy).createOrReplaceTempView(table)
     return spark.sql(VIEWS[name])
 
 
