@@ -52,12 +52,10 @@ def _repeat_words(hashes: np.ndarray) -> int:
     return int((np.cumsum(edges)[:-1] > 0).sum())
 
 
-def _duplicate_lines(texts: pa.Array, data: np.ndarray, offsets: np.ndarray, word_starts: np.ndarray) -> np.ndarray:
+def _duplicate_lines(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Lines with a word that equal an earlier line of their text."""
-    breaks = np.flatnonzero(data == 10)
-    count = np.diff(np.searchsorted(breaks, offsets))
+    count = np.diff(np.searchsorted(np.flatnonzero(data == 10), offsets))
     result = np.zeros(len(texts), np.int64)
-    has_word = np.searchsorted(word_starts, breaks)
     for i in np.flatnonzero(count):
         lo, hi = offsets[i], offsets[i + 1]
         own = data[lo:hi].tobytes().split(b"\n")
@@ -76,13 +74,13 @@ def figures_of(texts: pa.Array) -> list[np.ndarray]:
     data, offsets = textkit.utf8(texts)
     starts, ends, ranges = textkit.word_spans(data, offsets)
     begins = (data & 0xC0) != 0x80
-    inside = ~textkit._SPACE[data]
+    inside = ~textkit.WHITE[data]
     codes, dictionary = textkit.word_codes(data, starts, ends)
     hashes = textkit.word_hashes(dictionary)[codes] if len(codes) else np.empty(0, np.uint64)
     repeats = np.fromiter((_repeat_words(hashes[a:b]) for a, b in zip(ranges[:-1], ranges[1:], strict=True)), np.int64, len(texts))
     return [
         np.diff(ranges), _per_text(begins & inside, offsets), _per_text(_SYMBOL[data], offsets),
-        _duplicate_lines(texts, data, offsets, starts), repeats,
+        _duplicate_lines(texts, data, offsets), repeats,
     ]
 
 
@@ -143,6 +141,24 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", limit: floa
     for the counts and once for the join, so they are written to the shared folder in between.
     """
     judged = stage(rule_figures(docs, text).withColumn("base_failed", base_failed()), "quality")
-    verdicts = host_verdicts(judged, host, limit).select(F.col(host).alias("_host"), "host_rate", "host_rejected")
+    # Written first: the planner then knows their size, and few hosts need no shuffle of documents.
+    verdicts = stage(host_verdicts(judged, host, limit).select(F.col(host).alias("_host"), "host_rate", "host_rejected"), "hosts")
     joined = judged.drop("host_rate", "host_rejected", "kept").join(verdicts, F.col(host) == F.col("_host"), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).drop("_host", "host_rejected")
+
+
+def kept_documents(docs: DataFrame, host: str = "source", text: str = "text", limit: float = HOST_LIMIT) -> DataFrame:
+    """The rows of docs that `judge` keeps, as they are; row by row, so keys may repeat or be null.
+
+    The texts are not shuffled: each task drops the rows that fail, and the rejected hosts (written
+    first, so that their size is known) are met by the remaining rows.
+    """
+    counts = stage(rule_figures(docs.select(host, text), text).select(host, base_failed().alias("base_failed")), "quality")
+    rejected = stage(host_verdicts(counts, host, limit).where("host_rejected").select(host), "hosts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in textkit.blocks(batches, text):
+            n_words, _, _, _, repeats = figures_of(block.column(text))
+            yield block.filter(pa.array(~((n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words))))
+
+    return docs.mapInArrow(run, docs.schema).join(rejected, host, "left_anti").select(*docs.columns)

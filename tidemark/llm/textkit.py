@@ -15,8 +15,8 @@ import xxhash
 BLOCK_BYTES = 16 << 20
 BLOCK_ROWS = 20_000
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+WHITE = np.zeros(256, bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SOLID = np.zeros(256, bool)
@@ -78,14 +78,17 @@ def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.LargeBinaryArray:
     )
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of the words `[^\\x20\\x09-\\x0D]+`, and per text its range of words."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of the words, and per text its range of words.
+
+    apart marks the 256 byte values that separate; by default words are `[^\\x20\\x09-\\x0D]+`.
+    """
     n = len(data)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    solid = ~_SPACE[data]
+    solid = ~apart[data]
     before = edge[:n].copy()
     before[1:] |= ~solid[:-1]
     after = edge[1:].copy()
@@ -94,9 +97,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(solid & after) + 1, np.searchsorted(starts, offsets)
 
 
-def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, apart: np.ndarray = WHITE) -> tuple[np.ndarray, pa.Array]:
     """Each word's number in the list of this block's distinct words, and that list."""
-    compact = data[~_SPACE[data]]
+    compact = data[~apart[data]]
     bounds = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=bounds[1:])
     coded = binary_array(compact, bounds).dictionary_encode()
