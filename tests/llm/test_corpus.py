@@ -103,7 +103,7 @@ def test_trust_flows_along_links_and_distrust_against_them(spark):
         for dst in re.findall(r"//([a-z0-9.]+)/", html or ""):
             edges[src, dst] += src != dst
     edges = {e: n for e, n in edges.items() if n}
-    trust, distrust = walk({"good.org": 1.0}, edges, 0.85, 60), walk({"spam.net": 1.0}, {(b, a): n for (a, b), n in edges.items()}, 0.85, 60)
+    trust, distrust = walk({"good.org": 1.0}, edges, 0.85, host_links.ROUNDS), walk({"spam.net": 1.0}, {(b, a): n for (a, b), n in edges.items()}, 0.85, host_links.ROUNDS)
     for host, r in got.items():
         assert r.trust == pytest.approx(trust.get(host, 0), abs=1e-5)
         assert r.distrust == pytest.approx(distrust.get(host, 0), abs=1e-5)
@@ -284,9 +284,9 @@ def test_toxicity_on_held_out_documents(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
     assert not any(n.doc_id in got and got[n.doc_id].held_out for r in got.values() for n in r.neighbours)
     asked = [i for i in truth if got[i].held_out]
-    right = [got[i].predicted == truth[i] for i in asked]
-    assert np.mean(right) >= 0.97
-    assert all(got[i].predicted for i in asked if truth[i]) or np.mean([got[i].predicted for i in asked if truth[i]]) >= 0.8
+    assert np.mean([got[i].predicted == truth[i] for i in asked]) >= 0.95
+    assert not any(got[i].predicted for i in asked if not truth[i])
+    assert np.mean([got[i].predicted for i in asked if truth[i]]) >= 0.6
 
 
 def test_toxicity_odd_tables(spark):

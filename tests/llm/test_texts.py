@@ -25,7 +25,7 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def docs(spark, sf_dir):
-    rows = [(i, t, "en", "src0", None, "clash", 7) for i, t in enumerate(TEXTS)] + [(3, "a ", "en", "src0", 1, "clash", 7), (None, "No key here", None, None, 1, "clash", 7)]
+    rows = [(i, t, "en", None, None, "clash", 7) for i, t in enumerate(TEXTS)] + [(3, "a ", "en", None, 1, "clash", 7), (None, "No key here", None, None, 1, "clash", 7)]
     odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, n_tokens int")
     more = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "text", "lang", "source", "n_chars", "'k' as key", "1 as n_tokens")
     return odd.union(more)
@@ -65,8 +65,9 @@ def test_long_runs_and_index_parts(monkeypatch):
     rng = np.random.default_rng(5)
     words = ["".join(rng.choice(list("abcdeinrst▁,éß好"), n)) for n in (*range(1, 40), 60, 300, 900)]
     monkeypatch.setattr(suffix_pieces, "INDEX_CHARS", 100)
-    for word, ids in zip(words, suffix_pieces.encode_segments(own.pieces, ["▁" + w for w in words]), strict=True):
-        assert ids.tolist() == model.encode(word)
+    ids, counts = suffix_pieces.encode_segments(own.pieces, ["▁" + w for w in words])
+    for word, got in zip(words, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert got.tolist() == model.encode(word)
 
 
 def check_packing(pieces, rows, window):
@@ -181,7 +182,7 @@ def test_base_spans(docs, rows):
     assert len(result) == len(rows)
     for r in result:
         assert tuple(r)[1:6] == want[r.doc_id][:5]
-        assert want[r.doc_id][5] <= set(r.spans.split(","))
+        assert want[r.doc_id][5] - {""} <= set(r.spans.split(","))
     assert sum(sum(w[:4]) for w in want.values()) > 20
     assert pii_votes.find_spans(docs.limit(0)).collect() == []
 
@@ -200,17 +201,18 @@ def test_added_spans_and_masks(spark):
     assert texts[200] == rows[-3][1] and texts[201] is None and texts[202] == ""
 
 
-def test_em_trusts_the_reliable_labeler():
-    # Labeler 1 agrees with a hidden class, labeler 4 votes at random.
-    codes, counts = [], []
-    for v1, n in ((1, 900), (2, 100)):
-        for v2 in (1, 2):
-            for v4 in (0, 2):
-                code = 0
-                for vote in (1, v4, 0, v2 if v1 == 1 else 2, v1, 0):
-                    code = 3 * code + vote
-                codes.append(2 * 4 * 729 + code)
-                counts.append(n)
-    p, tables = pii_votes.reliabilities(np.array(codes), np.array(counts, float))
-    assert tables[1, 1, 1] > 0.9 and tables[0, 1, 2] > 0.9
-    assert abs(tables[1, 4, 2] - tables[0, 4, 2]) < 0.2
+def test_em_trusts_the_reliable_labelers():
+    """Votes drawn from known reliabilities: EM finds the classes and the tables again."""
+    rng = np.random.default_rng(6)
+    truth = rng.random(20_000) < 0.6
+    right = {1: 0.95, 2: 0.9, 4: 0.5, 5: 0.85}
+    codes = np.zeros(len(truth), np.int64)
+    for labeler, share in right.items():
+        vote = np.where((rng.random(len(truth)) < share) == truth, 1, 2)
+        codes += 3**labeler * vote
+    every, counts = np.unique(codes + 2 * 4 * 729, return_counts=True)
+    p, tables = pii_votes.reliabilities(every, counts.astype(float))
+    found = p[np.searchsorted(every, codes + 2 * 4 * 729)] > 0.5
+    assert np.mean(found == truth) > 0.93
+    for labeler, share in right.items():
+        assert abs(tables[1, labeler, 1] - share) < 0.05 and abs(tables[0, labeler, 2] - share) < 0.05

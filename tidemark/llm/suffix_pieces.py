@@ -51,6 +51,7 @@ class Pieces:
         self.points = np.zeros((len(plain), self.longest), np.uint32)
         for row, i in enumerate(plain):
             self.points[row, : self.lengths[row]] = np.frombuffer(text[i].encode("utf-32-le"), np.uint32)
+        self.alphabet = np.unique(self.points)
         raw = [text[i].replace(SPACE_MARK, " ").encode() if i in text else b"" for i in range(count)]
         for b, i in enumerate(self.byte_ids):
             raw[i] = bytes([b])
@@ -62,19 +63,19 @@ class Pieces:
 
         Also each position's character rank; characters that no piece has share the rank of 0.
         """
-        alphabet = np.unique(self.points)
+        alphabet = self.alphabet
         rank = np.searchsorted(alphabet, text)
         rank[rank == len(alphabet)] = 0
         rank[alphabet[rank] != text] = 0
         used, rank = np.unique(np.append(0, rank), return_inverse=True)
-        rank = rank[1:].astype(">u2")
+        rank = rank[1:]
         # Pieces in ranks of this text's alphabet; pieces with other characters do not occur.
         known = np.searchsorted(alphabet[used], self.points)
         known[known == len(used)] = 0
         possible = (alphabet[used][known] == self.points).all(axis=1)
         pieces, lengths, ids = known[possible], self.lengths[possible], self.ids[possible]
         depth = self.longest
-        suffixes = np.lib.stride_tricks.sliding_window_view(np.append(rank, np.zeros(depth, ">u2")), depth)[: len(rank)]
+        suffixes = np.lib.stride_tricks.sliding_window_view(np.append(rank, np.zeros(depth)).astype(">u2"), depth)[: len(rank)]
         order = _suffix_order(rank, depth)
         table = np.full((len(rank), depth + 1), -1, np.int32)
         width = 2 * depth
@@ -92,7 +93,7 @@ class Pieces:
 
 def _suffix_order(rank: np.ndarray, depth: int) -> np.ndarray:
     """Positions in the order of their suffixes, compared by their first `depth` ranks."""
-    padded = np.append(rank, np.zeros(depth + 4, ">u2")).astype(np.uint64)
+    padded = np.append(rank, np.zeros(depth + 4)).astype(np.uint64)
     n = len(rank)
     key = padded[:-3] << np.uint64(48) | padded[1:-2] << np.uint64(32) | padded[2:-1] << np.uint64(16) | padded[3:]
     order = np.argsort(key[:n], kind="stable")
@@ -187,20 +188,22 @@ def _relax_long(table: np.ndarray, scores: np.ndarray, base: int, length: int) -
     return alive, size
 
 
-def encode_segments(pieces: Pieces, segments: list[str]) -> list[np.ndarray]:
-    """Ids of each segment (marks in place of spaces, one in front already)."""
-    result: list[np.ndarray] = []
+def encode_segments(pieces: Pieces, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all segments (marks in place of spaces, one in front already), and how many each has."""
+    ids, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
     start = 0
     lengths = np.fromiter(map(len, segments), np.int64, len(segments))
     while start < len(segments):
         ends = np.cumsum(lengths[start:] + 1)
         stop = start + max(1, int(np.searchsorted(ends, INDEX_CHARS, "right")))
-        result += _encode_part(pieces, segments[start:stop], lengths[start:stop])
+        found, own = _encode_part(pieces, segments[start:stop], lengths[start:stop])
+        ids.append(found)
+        counts.append(own)
         start = stop
-    return result
+    return np.concatenate(ids), np.concatenate(counts)
 
 
-def _encode_part(pieces: Pieces, segments: list[str], lengths: np.ndarray) -> list[np.ndarray]:
+def _encode_part(pieces: Pieces, segments: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     text = np.frombuffer(("\0".join(segments) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
     base = np.cumsum(lengths + 1) - (lengths + 1)
     # A NUL inside a segment has no piece either: it is a character without rank.
@@ -228,7 +231,7 @@ def _encode_part(pieces: Pieces, segments: list[str], lengths: np.ndarray) -> li
     for k, bytes_ in raw.items():
         out[first[k] : first[k] + len(bytes_)] = pieces.byte_ids[list(bytes_)]
     bounds = np.append(first, len(out))[np.searchsorted(starts, np.append(base, len(text)))]
-    return np.split(out, bounds[1:-1])
+    return out, np.diff(bounds)
 
 
 class Encoder:
@@ -253,11 +256,10 @@ class Encoder:
         if len(self.known) > CACHE_SEGMENTS or len(self.pool) > 8 * CACHE_SEGMENTS:
             self._forget()
         new = [x for x in distinct if x not in self.known]
-        found = encode_segments(self.pieces, [SPACE_MARK + x.decode().replace(" ", SPACE_MARK) for x in new])
+        ids, counts = encode_segments(self.pieces, [SPACE_MARK + x.decode().replace(" ", SPACE_MARK) for x in new])
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        if found:
-            self.pool = np.concatenate([self.pool, *found])
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in found])])
+        self.pool = np.concatenate([self.pool, ids])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(counts)])
         number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
         at = number[coded.indices.to_numpy(zero_copy_only=False)]
         starts = self.bounds[at]

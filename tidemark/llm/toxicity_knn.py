@@ -3,7 +3,8 @@
 1. Examples: a bounded sample of the labelled training rows, EXAMPLES per label (those with the
    smallest hash of their id). Rows with crc32(doc_id as text) mod 5 = 0 are never examples.
 2. Vocabulary: at most TERMS terms whose presence depends on the label among the examples
-   (chi-square). Terms are runs of letters and digits, A-Z lower-cased.
+   (chi-square). Terms are runs of letters and digits, A-Z lower-cased, and the beginnings of such
+   words (BEGINNING characters and a star), which inflected and compound forms share.
 3. One pass over all whole texts counts these terms per document; document frequencies cover all
    documents. Weights are (1 + log tf) * log((1 + N) / (1 + df)), vectors have length one.
 4. The index holds the examples in blocks of BLOCK; a term's posting list has one maximum per block.
@@ -28,9 +29,10 @@ from tidemark.session import stage
 
 EXAMPLES = 1024
 TERMS = 512
-#: Chi-square of one degree of freedom at a chance of 1e-4, and the examples a term needs.
-MIN_CHI2 = 15.1
+#: Chi-square of one degree of freedom at a chance of 4e-8 (very many terms are tried), and the examples a term needs.
+MIN_CHI2 = 30.0
 MIN_EXAMPLES = 3
+BEGINNING = 5
 NEAREST = 15
 BLOCK = 64
 FOLDS = 5
@@ -46,46 +48,50 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
-def _terms(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+def _terms(texts: pa.Array) -> tuple[np.ndarray, list[str], list[str | None], np.ndarray]:
+    """Word numbers of all texts end to end, the distinct words and their beginnings, each text's range."""
     data, offsets = textkit.utf8(texts)
     data = textkit.lowered(data)
     starts, ends, ranges = textkit.word_spans(data, offsets, _APART)
     codes, dictionary = textkit.word_codes(data, starts, ends, _APART)
-    return codes, dictionary, ranges
+    words = dictionary.cast(pa.large_string()).to_pylist()
+    return codes, words, [w[:BEGINNING] + "*" if len(w) > BEGINNING else None for w in words], ranges
 
 
 def _distinct_terms(docs: DataFrame) -> DataFrame:
-    """(doc_id, toxic, term): the distinct terms of examples."""
+    """(toxic, term): the distinct terms of each example."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in textkit.blocks(batches, "text"):
-            codes, dictionary, ranges = _terms(block.column("text"))
-            words = dictionary.cast(pa.large_string())
+            codes, words, begun, ranges = _terms(block.column("text"))
             for i, (a, b) in enumerate(zip(ranges[:-1], ranges[1:], strict=True)):
-                own = words.take(pa.array(np.unique(codes[a:b]))).cast(pa.string())
+                numbers = np.unique(codes[a:b])
+                own = sorted({words[n] for n in numbers} | {begun[n] for n in numbers if begun[n]})
                 yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(block.column("toxic")[i], len(own)), own], ["toxic", "term"])
+                    [pa.repeat(block.column("toxic")[i], len(own)), pa.array(own, pa.string())], ["toxic", "term"])
 
     return docs.select("toxic", "text").mapInArrow(run, "toxic int, term string")
 
 
 def _term_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Per row: doc_id, terms array<int> (numbers in the vocabulary), counts array<int>."""
-    number = {word.encode(): i for i, word in enumerate(vocabulary)}
+    number = {word: i for i, word in enumerate(vocabulary)}
+    width = max(1, len(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in textkit.blocks(batches, "text"):
-            codes, dictionary, ranges = _terms(block.column("text"))
-            known = np.fromiter((number.get(w, -1) for w in dictionary.to_pylist()), np.int64, len(dictionary))
-            term = known[codes] if len(codes) else np.empty(0, np.int64)
+            codes, words, begun, ranges = _terms(block.column("text"))
             row = np.repeat(np.arange(len(block)), np.diff(ranges))
-            hit = term >= 0
-            cell, count = np.unique(row[hit] * len(vocabulary) + term[hit], return_counts=True)
-            at = np.searchsorted(cell, np.arange(len(block) + 1) * max(1, len(vocabulary)))
-            offsets = pa.array(at, pa.int32())
+            cells = []
+            for names in (words, begun):
+                known = np.fromiter((number.get(w, -1) for w in names), np.int64, len(names))
+                term = known[codes] if len(codes) else np.empty(0, np.int64)
+                hit = term >= 0
+                cells.append(row[hit] * width + term[hit])
+            cell, count = np.unique(np.concatenate(cells), return_counts=True)
+            offsets = pa.array(np.searchsorted(cell, np.arange(len(block) + 1) * width), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"),
-                 pa.ListArray.from_arrays(offsets, pa.array(cell % max(1, len(vocabulary)), pa.int32())),
+                [block.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(cell % width, pa.int32())),
                  pa.ListArray.from_arrays(offsets, pa.array(count, pa.int32()))], ["doc_id", "terms", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
