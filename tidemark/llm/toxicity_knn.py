@@ -2,8 +2,8 @@
 
 1. Examples: a bounded sample of the labelled training rows, EXAMPLES per label (those with the
    smallest hash of their id). Rows with crc32(doc_id as text) mod 5 = 0 are never examples.
-2. Vocabulary: at most TERMS terms whose presence depends on the label among the examples
-   (chi-square). Terms are runs of letters and digits, A-Z lower-cased, and the beginnings of such
+2. Vocabulary: at most TERMS terms that nearly only one label has among the examples (chi-square
+   and purity). Terms are runs of letters and digits, A-Z lower-cased, and the beginnings of such
    words (BEGINNING characters and a star), which inflected and compound forms share.
 3. One pass over all whole texts counts these terms per document; document frequencies cover all
    documents. Weights are (1 + log tf) * log((1 + N) / (1 + df)), vectors have length one.
@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from tidemark.llm import textkit
 from tidemark.session import stage
 
-EXAMPLES = 1024
+EXAMPLES = 2048
 TERMS = 512
-#: Chi-square of one degree of freedom at a chance of 4e-8 (very many terms are tried), and the examples a term needs.
-MIN_CHI2 = 30.0
+#: A term of the vocabulary has this chi-square (very many terms are tried), occurs in so many examples, and so much
+#: of its occurrence is within one label when both labels are given equal weight.
+MIN_CHI2 = 25.0
 MIN_EXAMPLES = 3
+MIN_PURITY = 0.95
 BEGINNING = 5
 NEAREST = 15
 BLOCK = 64
@@ -198,9 +200,10 @@ def _vocabulary(examples: DataFrame, terms: int) -> list[str]:
     pos, neg, n1, n0 = F.col("pos"), F.col("neg"), F.lit(float(n[1])), F.lit(float(n[0]))
     cross = pos * (n0 - neg) - neg * (n1 - pos)
     chi2 = (n0 + n1) * cross * cross / (n1 * n0 * (pos + neg) * F.greatest(n0 + n1 - pos - neg, F.lit(1.0)))
+    purity = F.greatest(pos / n1, neg / n0) / (pos / n1 + neg / n0)
     counted = _distinct_terms(examples).groupBy("term").agg(
         F.sum("toxic").cast("double").alias("pos"), F.sum(1 - F.col("toxic")).cast("double").alias("neg"))
-    best = counted.where(pos + neg >= MIN_EXAMPLES).where(chi2 >= MIN_CHI2).orderBy(chi2.desc(), "term").limit(terms)
+    best = counted.where(pos + neg >= MIN_EXAMPLES).where((chi2 >= MIN_CHI2) & (purity >= MIN_PURITY)).orderBy(chi2.desc(), "term").limit(terms)
     return [r["term"] for r in best.select("term").collect()]
 
 
