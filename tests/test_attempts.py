@@ -74,8 +74,29 @@ def test_outcomes(spark):
     assert (got[1].provider, got[1].status, got[1].chain_pos, got[1].error) == ("b", "success", 2, None)
     assert (got[2].provider, got[2].status, got[2].error) == ("none", "failed", "a: circuit breaker open; b: t/o")
     assert (got[3].provider, got[3].chain_pos, got[3].latency_ms) == ("x", 0, 9)
-    with pytest.raises(Exception, match="outside the chain"):
-        A.request_outcomes(spark.createDataFrame(rows, SCHEMA), 1).collect()
+    strays = {r.request_id: r for r in A.request_outcomes(spark.createDataFrame(rows, SCHEMA), 1).collect()}
+    assert (strays[1].status, strays[1].error, strays[1].stray_attempts) == ("failed", "a: Quality gate", 1)
+    assert (got[1].stray_attempts, strays[3].stray_attempts) == (0, 0)
+
+
+def test_no_error_is_lost(spark):
+    rows = [
+        ("a", 1, 1, 0, 5, "failed", "x"), ("a", 1, 1, 1, 5, "failed", "y"), ("a", 1, 1, 2, 5, "failed", "y"), (None, 1, 2, 3, 5, None, None),
+        ("b", 1, 2, 4, 5, "skipped", "circuit breaker open"),
+    ]
+    row = A.request_outcomes(spark.createDataFrame(rows, SCHEMA), 2).first()
+    assert row.error == "a: x; a: y x2; None: None; b: circuit breaker open"
+
+
+def test_only_outcomes_count(spark):
+    rows = [("a", i, 1, i, 1, status, None) for i, status in enumerate(["failed", "skipped", None, "state", "failed", "blocked", "rejected"])]
+    rows.append((None, 9, 1, 9, 1, "failed", None))
+    got = {r.request_id: r.streak for r in A.failure_streaks(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: 1, 4: 2, 6: 3}
+    configured = spark.createDataFrame([("a",), ("new",)], "provider string")
+    health = {r.provider: r for r in A.provider_health(spark.createDataFrame(rows, SCHEMA), 30, providers=configured).collect()}
+    assert (health["a"].total_requests, health["a"].circuit_open) == (3, True)
+    assert (health["new"].total_requests, health["new"].available, health["new"].circuit_open) == (0, True, False)
 
 
 def test_health_without_success(spark):

@@ -5,8 +5,10 @@ import pytest
 
 import __spark_entry__ as entry_points
 from tests.conftest import SF_DIR
+from tidemark.plans.catalog import QUERIES as CATALOG
 
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+QUERIES = {name: run for name, run in entry_points.queries().items() if name in CATALOG}
+ORACLES = {name: sql for name, sql in entry_points.oracle_sql().items() if name in CATALOG}
 TABLES = ["events", "conversations", "documents"]
 
 

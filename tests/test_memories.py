@@ -76,7 +76,7 @@ def test_commit_is_idempotent_and_first_wins(spark):
     assert [r.content for r in commit_outputs(more, path).collect()] == ["new"]
     assert read_memories(spark, path).count() == 32
     runs = spark.read.parquet(path + "-runs")
-    assert runs.filter("run_id = 'r0/0'").agg(F.sum("extracted"), F.sum("committed")).first() == (4, 2)
+    assert runs.filter("run_id = 'r0/0'").agg(F.sum("extracted"), F.sum("committed")).first() == (2, 2)
 
 
 def test_touch(spark):

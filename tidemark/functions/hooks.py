@@ -22,30 +22,39 @@ def tool_name(payload: Column) -> Column:
     return F.coalesce(_text(payload, "$.tool_name"), F.lit(""))
 
 
-def payload_context(payload: Column, raw: Column) -> Column:
-    """The largest useful text of a payload, cut to the context limit.
+# A separator of compact JSON outside strings, after what stands before it.
+_SEPARATOR = r'\G((?:"(?:[^"\\]|\\.)*+"|[^",:])*+)([,:])'
 
-    raw is the payload's JSON text. An object without text of its own appears as compact JSON
-    with its keys in their order.
+
+def spaced_json(compact: Column) -> Column:
+    """Compact JSON with a blank after each separator, the spelling of the usual text form."""
+    return F.regexp_replace(compact, _SEPARATOR, "$1$2 ")
+
+
+def payload_context(payload: Column, raw: Column, max_chars: int | None = None) -> Column:
+    """The largest useful text of a payload; max_chars cuts it, by default it stays whole.
+
+    raw is the payload's JSON text. An object without text of its own appears as JSON with its
+    keys in their order and a blank after each separator.
     """
     kind = _kind(payload, "$.tool_input")
     from_object = F.coalesce(
         non_empty(_text(payload, "$.tool_input.content")),
         non_empty(_text(payload, "$.tool_input.text")),
-        F.get_json_object(raw, "$.tool_input"),
+        spaced_json(F.get_json_object(raw, "$.tool_input")),
     )
     context = (
         F.when(kind.isNull(), F.lit("{}"))
         .when(kind.startswith("OBJECT"), from_object)
         .when(kind == "STRING", _text(payload, "$.tool_input"))
-        .otherwise(F.get_json_object(raw, "$"))
+        .otherwise(spaced_json(F.get_json_object(raw, "$")))
     )
     result = F.when(_kind(payload, "$.tool_result") == "STRING", _text(payload, "$.tool_result"))
     whole = F.when(
         F.length(result) > rules.TOOL_RESULT_MIN_CHARS,
         F.concat(context, F.lit(rules.TOOL_RESULT_MARK), result),
     ).otherwise(context)
-    return truncated(whole, rules.MAX_CONTEXT_CHARS)
+    return truncated(whole, max_chars)
 
 
 def payload_project(payload: Column, default: str | None = None) -> Column:

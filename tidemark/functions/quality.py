@@ -18,15 +18,22 @@ def _any_match(text: Column, patterns: list[tuple[str, str]]) -> Column:
     return found
 
 
+def _all_hits(text: Column, patterns: list[tuple[str, str]]) -> list[Column]:
+    """All hits of each pattern."""
+    return [F.regexp_extract_all(text, F.lit(pattern(regex, flags)), F.lit(0)) for regex, flags in patterns]
+
+
 def _hits(text: Column, patterns: list[tuple[str, str]], per_pattern: int, in_all: int) -> Column:
-    """First hits of each pattern, in pattern order."""
-    found = [
-        F.slice(F.regexp_extract_all(text, F.lit(pattern(regex, flags)), F.lit(0)), 1, per_pattern)
-        for regex, flags in patterns
-    ]
+    """First hits of each pattern, in pattern order: what a sentence for readers names."""
+    found = [F.slice(hits, 1, per_pattern) for hits in _all_hits(text, patterns)]
     return F.slice(F.flatten(F.array(*found)), 1, in_all)
 
 
+def gate_findings(text: Column) -> Column:
+    """All matches of Q1 and Q3 in pattern order; the sentences of gate_details name only the first ones."""
+    return F.flatten(F.array(*_all_hits(text, rules.TAG_PATTERNS), *_all_hits(text, rules.INJECTION_PATTERNS)))
+
+
 def has_tags(text: Column) -> Column:
     """Q1. Every pattern starts with '<', so texts without one skip the regexes."""
     return text.contains("<") & _any_match(text, rules.TAG_PATTERNS)

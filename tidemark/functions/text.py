@@ -41,9 +41,9 @@ def snippet(text: Column, width: int = 120) -> Column:
     ).otherwise(text)
 
 
-def truncated(text: Column, chars: int) -> Column:
-    """First chars characters (P11, error text of P15)."""
-    return F.substring(text, 1, chars)
+def truncated(text: Column, chars: int | None) -> Column:
+    """First chars characters (P11, error text of P15); the whole text for None."""
+    return text if chars is None else F.substring(text, 1, chars)
 
 
 def base_name(path: Column) -> Column:

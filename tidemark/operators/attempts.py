@@ -25,7 +25,7 @@ from tidemark.session import stage
 
 ORDER = ["ts_s", "request_id", "chain_pos"]
 LIMIT = rules.FAILURE_LIMIT
-STATE = "state"  # status of a row that carries a provider's state from an earlier log
+OUTCOMES = ["success", "failed", "rejected"]
 _NONE = -1       # no cool-off yet
 _OPENS = [f"_open{carry}" for carry in range(LIMIT + 1)]
 
@@ -34,33 +34,44 @@ def request_outcomes(attempts: DataFrame, last_pos: int) -> DataFrame:
     """Per request the first success in chain order, else 'none' with all errors in order.
 
     Position 0 is an attempt at an explicitly named model: it may succeed, but its error is not
-    listed. Each of the chain's positions gets one aggregate, so requests combine map-side and no
-    list is collected. last_pos is the chain's length; a later position is an error.
+    listed. Any status but success is an error, a skipped or missing one included. Equal errors at
+    one position count once, with their number; so a request's list is as long as it has different
+    errors, and attempts combine map-side before any list is made. Attempts outside 0..last_pos
+    take no part; stray_attempts counts them.
     """
-    pos = F.when(
-        F.col("chain_pos").between(0, last_pos), F.col("chain_pos")
-    ).otherwise(F.raise_error(F.lit("chain_pos outside the chain")).cast("int"))
-    failed = F.col("status") != "success"
-    said = F.concat("provider", F.lit(": "), F.coalesce("error", F.lit("None")))
-    grouped = attempts.withColumn("_pos", pos).groupBy("request_id").agg(
-        F.min(F.when(~failed, F.struct("_pos", "provider", "latency_ms"))).alias("_won"),
-        *[
-            F.max(F.when(failed & (F.col("_pos") == p), said)).alias(f"_e{p}")
-            for p in range(1, last_pos + 1)
-        ],
+    inside = F.coalesce(F.col("chain_pos").between(0, last_pos), F.lit(False))
+    ok = inside & F.col("status").eqNullSafe("success")
+    said = F.concat(F.coalesce("provider", F.lit("None")), F.lit(": "), F.coalesce("error", F.lit("None")))
+    errors = attempts.groupBy("request_id", "chain_pos", F.when(inside & ~ok & (F.col("chain_pos") > 0), said).alias("_said")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(~inside).alias("_stray"),
+        F.min(F.when(ok, F.struct("chain_pos", "ts_s", "provider", "latency_ms"))).alias("_won"),
     )
+    times = F.when(F.col("_n") > 1, F.concat(F.lit(" x"), F.col("_n").cast("string"))).otherwise(F.lit(""))
+    listed = F.when(F.col("_said").isNotNull(), F.struct("chain_pos", F.col("_said"), F.concat("_said", times).alias("text")))
+    grouped = errors.groupBy("request_id").agg(
+        F.min("_won").alias("_won"), F.sum("_stray").alias("stray_attempts"), F.sort_array(F.collect_list(listed)).alias("_errors"))
     won = F.col("_won").isNotNull()
-    errors = F.concat_ws("; ", *[F.col(f"_e{p}") for p in range(1, last_pos + 1)])
     return grouped.select(
         "request_id",
-        F.coalesce(F.col("_won.provider"), F.lit("none")).alias("provider"),
+        F.when(won, F.col("_won.provider")).otherwise("none").alias("provider"),
         F.when(won, "success").otherwise("failed").alias("status"),
-        F.col("_won._pos").alias("chain_pos"),
+        F.col("_won.chain_pos").alias("chain_pos"),
         F.col("_won.latency_ms").alias("latency_ms"),
-        F.when(~won, errors).alias("error"),
+        F.when(~won, F.array_join(F.transform("_errors", lambda e: e["text"]), "; ")).alias("error"),
+        "stray_attempts",
     )
 
 
+def provider_outcomes(attempts: DataFrame) -> DataFrame:
+    """The attempts that say something about a provider: successes, failures and rejections.
+
+    A skipped attempt was never made, a blocked request never sent; rows without a provider or
+    status say nothing either.
+    """
+    return attempts.filter(F.col("status").isin(OUTCOMES) & F.col("provider").isNotNull())
+
+
 def _carry_forward(values: np.ndarray, valid: np.ndarray, start: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Last valid value up to each row and not before its segment's start, else before[row]."""
     index = np.arange(len(values))
@@ -93,8 +104,8 @@ class _RangeReader:
         count = rows.num_rows
         index = np.arange(count)
         key, ts = rows["provider"], numbers("ts_s")
-        is_state = flags(pc.equal(rows["status"], STATE))
-        failed = ~(flags(pc.equal(rows["status"], "success")) | is_state)
+        is_state = flags(rows["_state"])
+        failed = ~(flags(pc.fill_null(pc.equal(rows["status"], "success"), False)) | is_state)
 
         fresh = np.empty(count, bool)
         if self.first is None:
@@ -204,7 +215,7 @@ def _carries(tails: DataFrame) -> DataFrame:
 def failure_streaks(
     attempts: DataFrame, cool_off: int = rules.COOL_OFF_SECONDS, state: DataFrame | None = None
 ) -> DataFrame:
-    """Every attempt with
+    """Every outcome of a provider (see provider_outcomes) with
 
     streak           failures (failed or rejected) since the provider's last success, itself included
     open_until_s     end of the cool-off in force before the attempt; a success does not clear it
@@ -215,11 +226,11 @@ def failure_streaks(
     ordering columns and status are required.
     """
     columns = attempts.columns
-    rows = attempts.withColumns({"_streak": F.lit(0).cast("long"), "_open": F.lit(_NONE).cast("long")})
+    rows = provider_outcomes(attempts).withColumns({"_state": F.lit(False), "_streak": F.lit(0).cast("long"), "_open": F.lit(_NONE).cast("long")})
     if state is not None:
         given = state.select(
             "provider",
-            F.lit(STATE).alias("status"),
+            F.lit(True).alias("_state"),
             F.lit(None).cast(attempts.schema["ts_s"].dataType).alias("ts_s"),
             F.col("streak").cast("long").alias("_streak"),
             F.coalesce(F.col("open_until_s"), F.lit(_NONE)).cast("long").alias("_open"),
@@ -230,7 +241,7 @@ def failure_streaks(
     ordered = ordered.withColumn("ts_s", F.coalesce("ts_s", F.lit(0).cast(attempts.schema["ts_s"].dataType)))
     schema = T.StructType(
         [T.StructField(f.name, f.dataType) for f in attempts.schema.fields]
-        + [T.StructField("_head", T.BooleanType()), T.StructField("_run", T.LongType())]
+        + [T.StructField("_state", T.BooleanType()), T.StructField("_head", T.BooleanType()), T.StructField("_run", T.LongType())]
         + [T.StructField("_closed", T.BooleanType())]
         + [T.StructField(name, T.LongType()) for name in _OPENS]
         + [T.StructField("_chunk", T.IntegerType()), T.StructField("_tail", T.BooleanType())]
@@ -238,13 +249,13 @@ def failure_streaks(
     )
     # Range borders come from a sample and may differ between two runs of the same plan, so the
     # rows are written once and both readers below see the same ranges.
-    ranges = stage(ordered.mapInArrow(_read_range(cool_off, columns), schema), "ranges")
+    ranges = stage(ordered.mapInArrow(_read_range(cool_off, [*columns, "_state"]), schema), "ranges")
     carries = _carries(ranges.filter("_tail").select("_chunk", "provider", "_first", "_head", "_run", "_closed", *_OPENS))
     level = F.when(F.col("_head"), F.least("_carry", F.lit(LIMIT))).otherwise(F.lit(0))
     own = F.element_at(F.array(*_OPENS), (level + 1).cast("int"))
     # Bounded broadcast: one row per range.
     return (
-        ranges.filter(~F.col("_tail") & (F.col("status") != STATE))
+        ranges.filter(~F.col("_tail") & ~F.col("_state"))
         .join(F.broadcast(carries), "_chunk")
         .withColumns({
             "streak": F.col("_run") + F.when(F.col("_head") & ~F.col("_closed"), F.col("_carry")).otherwise(F.lit(0)),
@@ -284,11 +295,13 @@ def breaker_state(streaks: DataFrame, cool_off: int = rules.COOL_OFF_SECONDS) ->
 
 
 def provider_health(
-    attempts: DataFrame, as_of_s: int | None = None, cool_off: int = rules.COOL_OFF_SECONDS
+    attempts: DataFrame, as_of_s: int | None = None, cool_off: int = rules.COOL_OFF_SECONDS,
+    providers: DataFrame | None = None,
 ) -> DataFrame:
     """Counts, mean latency of successes, streak and availability at as_of_s.
 
-    All of it is one aggregate over failure_streaks, combined map-side.
+    All of it is one aggregate over failure_streaks, combined map-side. providers (column
+    provider) are the configured ones: each gets a row, with zeros if nothing was tried.
     """
     needed = attempts.select("provider", *ORDER, "status", "latency_ms")
     streaks = failure_streaks(needed, cool_off)
@@ -296,7 +309,7 @@ def provider_health(
     opens = ~ok & (F.col("streak") >= LIMIT)
     after = F.when(opens, F.col("ts_s") + cool_off).otherwise(F.col("open_until_s"))
     now = F.unix_seconds(F.current_timestamp()) if as_of_s is None else F.lit(as_of_s)
-    return (
+    health = (
         streaks.groupBy("provider")
         .agg(
             F.count(F.lit(1)).alias("total_requests"),
@@ -314,3 +327,7 @@ def provider_health(
             F.coalesce(now >= F.col("_last.open_until_s"), F.lit(True)).alias("available"),
         )
     )
+    if providers is not None:
+        counts = ["total_requests", "total_successes", "total_failures", "consecutive_failures"]
+        health = providers.select("provider").distinct().join(health, "provider", "full").fillna(0, [*counts, "avg_latency_ms"]).fillna(True, ["available"])
+    return health.withColumn("circuit_open", ~F.col("available"))

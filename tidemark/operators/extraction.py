@@ -94,33 +94,36 @@ def model_extraction(
     extract: Callable[[str, str], str],
     key: str = "run_id",
     text: str = "context",
-    max_chars: int = rules.MAX_CONTEXT_CHARS,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Run a caller's function (category, context) -> output text over all contexts.
 
-    Every context gives one row per category; a call that fails gives an empty output. The result
-    goes to read_outputs. Batches stream through Arrow, one context in memory at a time.
+    Every context gives one row per category. A call that fails gives an empty output, and its
+    message in error (null otherwise), for S9. The result goes to read_outputs. Contexts arrive in
+    Arrow batches; max_chars (P11) cuts them, by default they stay whole.
     """
     categories = list(rules.CATEGORIES)
 
     def outputs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def call(category: str, context: str) -> str:
+        def call(category: str, context: str) -> tuple[str, str | None]:
             try:
-                return extract(category, context)
-            except Exception:
-                return ""
+                return extract(category, context), None
+            except Exception as error:
+                return "", f"{type(error).__name__}: {error}"
 
         for rows in batches:
             for category in categories:
+                called = [call(category, context) for context in rows[text]]
                 yield pd.DataFrame({
                     key: rows[key],
                     "category": category,
                     "context_length": rows[text].str.len(),
-                    "output": [call(category, context) for context in rows[text]],
+                    "output": [output for output, _ in called],
+                    "error": pd.Series([error for _, error in called], dtype="object"),
                 })
 
     key_type = contexts.schema[key].dataType.simpleString()
     cut = contexts.select(key, truncated(F.col(text), max_chars).alias(text))
     return cut.mapInPandas(
-        outputs_of, f"{key} {key_type}, category string, context_length long, output string"
+        outputs_of, f"{key} {key_type}, category string, context_length long, output string, error string"
     )

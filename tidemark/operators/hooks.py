@@ -17,15 +17,15 @@ def _keys(events: DataFrame, raw: str) -> list[str]:
 
 def contexts_of(
     events: DataFrame, keep: Column, raw: str = "payload",
-    project: str | None = None, session_id: str | None = None,
+    project: str | None = None, session_id: str | None = None, max_chars: int | None = None,
 ) -> DataFrame:
-    """P12, P13 and F5 over the events that keep selects."""
+    """P12, P13 and F5 over the events that keep selects; max_chars (optional) is P11."""
     return (
         readable(events)
         .filter(keep)
         .select(
             *_keys(events, raw),
-            H.payload_context(F.col("event"), F.col(raw)).alias("context"),
+            H.payload_context(F.col("event"), F.col(raw), max_chars).alias("context"),
             H.payload_project(F.col("event"), project).alias("project"),
             H.payload_session(F.col("event"), session_id).alias("session_id"),
         )
@@ -63,11 +63,12 @@ def shell_commands(events: DataFrame, raw: str = "payload") -> DataFrame:
 
 
 def dispatch_audit(selected: DataFrame, tag: str) -> DataFrame:
-    """One log row per dispatched event."""
+    """One log row per dispatched event, with the tool's name where the event has one."""
+    tool = F.concat(F.lit("tool="), F.col("tool_name"), F.lit(" ")) if "tool_name" in selected.columns else F.lit("")
     return selected.select(
-        *[c for c in selected.columns if c not in ("tool_name", "payload_bytes", "content")],
+        *[c for c in selected.columns if c not in ("payload_bytes", "content")],
         F.lit(tag).alias("tag"),
         F.concat(
-            F.lit("Dispatched (payload_bytes="), F.col("payload_bytes").cast("string"), F.lit(")")
+            F.lit("Dispatched ("), tool, F.lit("payload_bytes="), F.col("payload_bytes").cast("string"), F.lit(")")
         ).alias("text"),
     )

@@ -54,7 +54,7 @@ def committed_memories(
 
 def run_summary(
     outputs: DataFrame, items: DataFrame, committed: DataFrame,
-    max_chars: int = rules.MAX_CONTEXT_CHARS,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Per run the context length after the cut, items extracted and items committed.
 
@@ -62,7 +62,8 @@ def run_summary(
     runs without items keep their row.
     """
     runs = outputs.groupBy(*RUN_KEYS).agg(
-        F.least(F.max("context_length"), F.lit(max_chars)).cast("long").alias("context_length")
+        (F.max("context_length") if max_chars is None else F.least(F.max("context_length"), F.lit(max_chars)))
+        .cast("long").alias("context_length")
     )
     extracted = items.groupBy(*RUN_KEYS).agg(F.count(F.lit(1)).alias("extracted"))
     kept = committed.groupBy(*RUN_KEYS).agg(F.count(F.lit(1)).alias("committed"))

@@ -49,10 +49,11 @@ def safety_verdicts(messages: DataFrame, request: str = "request_id", text: str
 
 
 def scrub_texts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Replace the text by its scrubbed form and add changed."""
+    """Replace the text by its scrubbed form and add changed. A NULL text counts as empty."""
     scrubbed = F.when(S.may_hold_credentials(F.col(text)), S.scrub(F.col(text))).otherwise(F.col(text))
     return (
-        texts.withColumn("_scrubbed", scrubbed)
+        texts.withColumn(text, F.coalesce(text, F.lit("")))
+        .withColumn("_scrubbed", scrubbed)
         .withColumn("changed", F.col("_scrubbed") != F.col(text))
         .withColumn(text, F.col("_scrubbed"))
         .drop("_scrubbed")
@@ -115,10 +116,10 @@ def shell_gate(commands: DataFrame, command: str = "command") -> DataFrame:
 
 
 def blocked_audit(gated: DataFrame, command: str = "command") -> DataFrame:
-    """S9 rows for blocked commands: text cut to its first bytes."""
+    """S9 rows for blocked commands: the whole command, and the log line with its first bytes."""
     cut = F.make_valid_utf8(F.substring(F.col(command).cast("binary"), 1, rules.AUDIT_BYTES))
     return gated.filter("blocked").select(
-        *[c for c in gated.columns if c not in (command, "matched", "blocked")],
+        *[c for c in gated.columns if c not in ("matched", "blocked")],
         F.lit("safety").alias("tag"),
         F.concat(F.lit("BLOCKED command (matched: "), F.col("matched"), F.lit("): "), cut).alias("text"),
     )

@@ -1,9 +1,10 @@
 """Full-text retrieval.
 
-The index is two tables, written once: one row per memory with its
-token arrays, and a vocabulary (one row per distinct token with its stem). A query is first turned into the tokens
-that can satisfy it, by joining its stems with the vocabulary; only then are memories touched, by
-an equality join on tokens. So nothing but the vocabulary is ever stemmed.
+The index is stored: postings (one row per token, memory and column, sorted by token in folders by
+token hash), a vocabulary (one row per distinct token with its stem), and the memories' token counts. A
+query is first turned into the tokens that can satisfy it, by joining its stems with the vocabulary;
+then only the folders of those tokens are read. Nothing but the vocabulary is ever stemmed.
+New memories are appended (`append_to_index`).
 
 Queries come as a table: query_id, query (words), mode, and optionally col, project, category.
 Modes: all, any, phrase, prefix (all words, each the beginning of a token), not (the first word
@@ -25,19 +26,22 @@ from tidemark.functions.text import ascii_lower
 from tidemark.session import shared_path, stage
 
 COLUMNS = ["content", "category", "subcategory", "project"]
-# Beyond this many query units, per-unit figures are joined by shuffle instead of broadcast.
-BROADCAST_QUERIES = 20_000
+MODES = ["all", "any", "phrase", "prefix", "not"]
+BUCKETS = 32
+# Above this many results per query Spark no longer cuts groups before their shuffle.
+_GROUP_LIMIT = 1_000
+_PARTS = 64
 _POS_SPAN = 1 << 40  # more than any column has tokens
 
 
 @dataclass
 class MemoryIndex:
-    """documents: mem_id, project, category, one token array per column, n_tokens.
-    vocabulary: token, stem. stats: one row (n_docs, n_tokens)."""
+    """postings: bucket, token, mem_id, no, positions, n_tokens, project, category.
+    vocabulary: token, stem (a token may repeat after an append). sizes: mem_id, n_tokens."""
 
-    documents: DataFrame
+    postings: DataFrame
     vocabulary: DataFrame
-    stats: DataFrame
+    sizes: DataFrame
 
 
 def analysed(memories: DataFrame, key: str = "mem_id") -> DataFrame:
@@ -58,22 +62,47 @@ def vocabulary_of(documents: DataFrame, stem: bool = True) -> DataFrame:
     return words.withColumn("stem", stem_of(F.col("token")) if stem else F.col("token"))
 
 
-def build_index(memories: DataFrame, path: str | None = None, stem: bool = True, key: str = "mem_id") -> MemoryIndex:
-    """Analyse the memories once and store the result, in the shared folder if no path is given.
+def postings_of(documents: DataFrame) -> DataFrame:
+    """One row per token, memory and column, with its positions.
+
+    Positions meet in an aggregate keyed by token and memory, so a token of every memory is spread
+    over all of them.
+    """
+    columns = F.array(*[
+        F.struct(F.lit(i).alias("no"), F.col(f"_{name}").alias("words")) for i, name in enumerate(COLUMNS)
+    ])
+    words = documents.select("mem_id", "n_tokens", "project", "category", F.explode(columns).alias("c")).select(
+        "mem_id", "n_tokens", "project", "category", "c.no", F.posexplode("c.words").alias("pos", "token"))
+    grouped = words.groupBy("token", "mem_id", "no", "n_tokens", "project", "category").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return grouped.withColumn("bucket", bucket_of(F.col("token")))
+
+
+def bucket_of(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
 
-    The vocabulary is sorted by stem, so a look-up of few stems reads few row groups.
+def append_to_index(memories: DataFrame, path: str, stem: bool = True, key: str = "mem_id") -> None:
+    """Add memories that the index does not hold yet. One writer per index.
+
+    Within a bucket the files are sorted by token, so a look-up of few tokens skips row groups; a hot
+    token's rows spread over several files.
     """
+    documents = stage(analysed(memories, key), "analysed")
+    postings_of(documents).hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "mem_id").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
+    vocabulary_of(documents, stem).sortWithinPartitions("stem").write.mode("append").parquet(f"{path}/vocabulary")
+    documents.select("mem_id", "n_tokens").write.mode("append").parquet(f"{path}/sizes")
+
+
+def build_index(memories: DataFrame, path: str | None = None, stem: bool = True, key: str = "mem_id") -> MemoryIndex:
+    """Analyse the memories once and store the index, in the shared folder if no path is given."""
     spark = memories.sparkSession
     path = path or shared_path(spark, "index")
-    analysed(memories, key).write.parquet(f"{path}/documents")
-    documents = spark.read.parquet(f"{path}/documents")
-    vocabulary_of(documents, stem).sortWithinPartitions("stem").write.parquet(f"{path}/vocabulary")
-    corpus_stats(documents).write.parquet(f"{path}/stats")
+    append_to_index(memories, path, stem, key)
     return read_index(spark, path)
 
 
 def read_index(spark: SparkSession, path: str) -> MemoryIndex:
-    return MemoryIndex(*[spark.read.parquet(f"{path}/{part}") for part in ("documents", "vocabulary", "stats")])
+    return MemoryIndex(*[spark.read.parquet(f"{path}/{part}") for part in ("postings", "vocabulary", "sizes")])
 
 
 def corpus_stats(documents: DataFrame) -> DataFrame:
@@ -104,7 +133,8 @@ def query_units(queries: DataFrame, stem: bool = True) -> DataFrame:
     }
     words = F.filter(F.split(F.trim("query"), r"\s+"), lambda w: w != "")
     unit_texts = F.when(F.col("mode") == "phrase", F.array("query")).otherwise(words)
-    units = queries.select("query_id", "mode", *optional.values(), F.posexplode(unit_texts).alias("unit", "_text"))
+    known = F.when(F.col("mode").isin(MODES), F.col("mode")).otherwise(F.raise_error(F.lit("unknown search mode")).cast("string"))
+    units = queries.withColumn("mode", known).select("query_id", "mode", *optional.values(), F.posexplode(unit_texts).alias("unit", "_text"))
     units = units.withColumn("_tokens", tokens(F.col("_text"))).withColumn("n_terms", F.size("_tokens"))
     terms = units.select(
         "query_id", "unit", "mode", "col", "project", "category", "n_terms",
@@ -125,34 +155,30 @@ def query_units(queries: DataFrame, stem: bool = True) -> DataFrame:
 
 @dataclass
 class QueryPlan:
-    """Query units, written once, and what is known of them."""
+    """Query units, written once, and the corpus tokens that satisfy them."""
 
     units: DataFrame
     tokens: DataFrame
-    small: bool
 
 
 def plan_queries(index: MemoryIndex, queries: DataFrame, stem: bool = True) -> QueryPlan:
     """Units and the corpus tokens that satisfy them, both written to the shared folder.
 
-    An equality join on stems, and for prefixes one on the beginnings of stems of the lengths
+    An equality join on stems, and for prefixes one on the beginnings of stems, of just the lengths
     that are asked for. Written tables have a known size: the planner broadcasts them in later
     joins only below its threshold.
     """
     units = stage(query_units(queries, stem), "query-units")
-    size, prefixed = units.agg(F.count(F.lit(1)), F.count_if("prefix")).first()
-    found = units.filter(~F.col("prefix")).join(index.vocabulary, "stem")
-    if prefixed:
-        prefixes = units.filter("prefix").withColumn("_len", F.length("stem"))
-        begun = (
-            index.vocabulary.select("token", F.col("stem").alias("_stem"))
-            .withColumn("_len", F.explode(F.sequence(F.lit(1), F.length("_stem"))))
-            .join(prefixes.select("_len").distinct(), "_len", "left_semi")
-            .withColumn("stem", F.substr("_stem", F.lit(1), F.col("_len")))
-            .drop("_stem")
-        )
-        found = found.unionByName(prefixes.join(begun, ["stem", "_len"]).drop("_len"))
-    return QueryPlan(units, stage(found, "query-tokens"), size <= BROADCAST_QUERIES)
+    vocabulary = index.vocabulary.distinct()
+    prefixes = units.filter("prefix")
+    asked = prefixes.select(F.array_sort(F.collect_set(F.length("stem")))).scalar()
+    begun = (
+        vocabulary.select("token", F.col("stem").alias("_stem"), asked.alias("_asked"))
+        .select("token", "_stem", F.explode(F.filter("_asked", lambda n: n <= F.length("_stem"))).alias("_len"))
+        .select("token", F.substr("_stem", F.lit(1), F.col("_len")).alias("stem"))
+    )
+    found = units.filter(~F.col("prefix")).join(vocabulary, "stem").unionByName(prefixes.join(begun, "stem"))
+    return QueryPlan(units, stage(found.withColumn("bucket", bucket_of(F.col("token"))), "query-tokens"))
 
 
 def unit_counts(index: MemoryIndex, plan: QueryPlan) -> DataFrame:
@@ -162,23 +188,17 @@ def unit_counts(index: MemoryIndex, plan: QueryPlan) -> DataFrame:
     its tokens stand in a row within one column, that is where their positions less their offsets
     agree: counting those needs no self-join.
     """
-    wanted = plan.tokens
-    columns = F.array(*[
-        F.struct(F.lit(i).cast("long").alias("no"), F.lit(name).alias("col_name"), F.col(f"_{name}").alias("words"))
-        for i, name in enumerate(COLUMNS)
-    ])
-    postings = (
-        index.documents.select(
-            "mem_id", "n_tokens", F.col("project").alias("_project"), F.col("category").alias("_category"),
-            F.explode(columns).alias("_c"),
-        )
-        .select("mem_id", "n_tokens", "_project", "_category", "_c.no", "_c.col_name", F.posexplode("_c.words").alias("pos", "token"))
-    )
-    hits = postings.join(wanted, "token").filter(F.col("col").isNull() | (F.col("col") == F.col("col_name")))
+    names = F.array(*[F.lit(name) for name in COLUMNS])
+    postings = index.postings.select(
+        "bucket", "token", "mem_id", "n_tokens", F.col("project").alias("_project"), F.col("category").alias("_category"),
+        "no", "positions")
+    hits = postings.join(plan.tokens, ["bucket", "token"]).filter(
+        F.col("col").isNull() | (F.col("col") == F.get(names, F.col("no")))
+    ).withColumn("pos", F.explode("positions"))
     in_scope = (F.col("project").isNull() | F.coalesce(F.col("project") == F.col("_project"), F.lit(False))) & (
         F.col("category").isNull() | (F.col("category") == F.col("_category"))
     )
-    start = F.when(F.col("n_terms") > 1, F.col("no") * _POS_SPAN + F.col("pos") - F.col("offset"))
+    start = F.when(F.col("n_terms") > 1, F.col("no").cast("long") * _POS_SPAN + F.col("pos") - F.col("offset"))
     runs = (
         hits.groupBy("query_id", "mem_id", "unit", "wanted", "n_terms", start.alias("_start"))
         .agg(
@@ -213,11 +233,9 @@ def ranked(index: MemoryIndex, queries: DataFrame, limit: int = 10, stem: bool =
     counts = stage(unit_counts(index, plan), "unit-counts")
     asked = plan.units.filter(F.col("wanted") == "all").groupBy("query_id").agg(F.count_distinct("unit").alias("asked"))
     found = counts.groupBy("query_id", "unit").agg(F.count(F.lit(1)).alias("n"))
-    if plan.small:
-        # At most one row per query unit, and those have been counted.
-        found, asked = F.broadcast(found), F.broadcast(asked)
-    n_docs = index.stats.select("n_docs").scalar()
-    avg_size = index.stats.select(F.col("n_tokens") / F.col("n_docs")).scalar()
+    stats = corpus_stats(index.sizes)
+    n_docs = stats.select("n_docs").scalar()
+    avg_size = stats.select(F.col("n_tokens") / F.col("n_docs")).scalar()
     part = _bm25(F.col("n"), F.col("f"), F.col("n_tokens"), n_docs, avg_size).cast("decimal(30,15)")
     scores = (
         counts.join(found, ["query_id", "unit"])
@@ -232,6 +250,10 @@ def ranked(index: MemoryIndex, queries: DataFrame, limit: int = 10, stem: bool =
         .filter(F.col("_in_scope") & (F.col("_unwanted") == 0) & (F.col("_met") == F.coalesce("asked", F.lit(0))))
     )
     best = Window.partitionBy("query_id").orderBy("_rank", "mem_id")
+    if limit > _GROUP_LIMIT:
+        # Two steps: the best of each part of a query's matches, then the best of those.
+        part_of = Window.partitionBy("query_id", F.pmod(F.xxhash64("mem_id"), F.lit(_PARTS))).orderBy("_rank", "mem_id")
+        scores = scores.withColumn("place", F.row_number().over(part_of)).filter(F.col("place") <= limit).drop("place")
     return (
         scores.withColumn("place", F.row_number().over(best))
         .filter(F.col("place") <= limit)
@@ -240,16 +262,59 @@ def ranked(index: MemoryIndex, queries: DataFrame, limit: int = 10, stem: bool =
 
 
 def search(
-    memories: DataFrame, queries: DataFrame, limit: int = 10, stem: bool = True, index: MemoryIndex | None = None
+    memories: DataFrame, queries: DataFrame, limit: int = 10, stem: bool = True, index: MemoryIndex | None = None,
+    key: str = "mem_id",
 ) -> DataFrame:
-    """Ranked memories with their columns; access_count is the one before the touch."""
+    """Ranked memories with their columns; access_count is the one before the touch.
+
+    key names the memories' own key: mem_id, or commit_hash for a store that jobs have written.
+    """
     # Queries times limit rows, written once: broadcast to the memories while that is small.
-    hits = stage(ranked(index or build_index(memories, stem=stem), queries, limit, stem), "hits")
-    return memories.join(hits, "mem_id")
+    hits = stage(ranked(index or build_index(memories, stem=stem, key=key), queries, limit, stem), "hits")
+    return memories.join(hits.withColumnRenamed("mem_id", key), key)
+
+
+def fallback_queries(queries: DataFrame) -> DataFrame:
+    """The queries with a word that holds no token (such as '!!!'); they go to search_like_all."""
+    return queries.filter(F.exists(F.filter(F.split(F.trim("query"), r"\s+"), lambda w: w != ""), lambda w: F.size(tokens(w)) == 0))
+
+
+def search_like_all(memories: DataFrame, queries: DataFrame, limit: int = 10, key: str = "mem_id") -> DataFrame:
+    """R4 for a table of queries (query_id, query, optionally project and category).
+
+    Each query is a text to find as in search_like, most important memories first. Substrings know no
+    equality, so each memory is tested against the stated queries, which are one array; each query
+    keeps its best rows per part of the memories before they meet.
+    """
+    have = set(queries.columns)
+    optional = [(F.col(c) if c in have else F.lit(None)).cast("string").alias(f"_{c}") for c in ("project", "category")]
+    asked = stage(queries.select("query_id", F.col("query").alias("_query"), *optional), "like-queries")
+    every = F.struct("query_id", "_query", "_project", "_category")
+    table = asked.agg(F.collect_list(every)).scalar()  # the stated query set, a row of its own
+    text = ascii_lower(F.col("content"))
+
+    def pattern_of(query: Column) -> Column:
+        return F.concat(F.lit("%"), F.replace(ascii_lower(query), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+
+    found = (
+        memories.withColumn("_all", table)
+        .withColumn("_q", F.explode(F.filter("_all", lambda q: F.like(text, pattern_of(q["_query"])))))
+        .filter(F.col("_q._project").isNull() | (F.col("_q._project") == F.col("project")))
+        .filter(F.col("_q._category").isNull() | (F.col("_q._category") == F.col("category")))
+        .select(F.col("_q.query_id").alias("query_id"), *memories.columns)
+    )
+    part_of = Window.partitionBy("query_id", F.pmod(F.xxhash64(key), F.lit(_PARTS))).orderBy(F.desc("importance"), key)
+    best = Window.partitionBy("query_id").orderBy(F.desc("importance"), key)
+    return (
+        found.withColumn("place", F.row_number().over(part_of)).filter(F.col("place") <= limit)
+        .withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit)
+        .withColumn("rank", F.lit(0.0))
+    )
 
 
 def search_like(
-    memories: DataFrame, text: str, project: str | None = None, category: str | None = None, limit: int = 10
+    memories: DataFrame, text: str, project: str | None = None, category: str | None = None, limit: int = 10,
+    key: str = "mem_id",
 ) -> DataFrame:
     """Memories that contain text, most important first; rank is 0.
 
@@ -264,7 +329,7 @@ def search_like(
     wanted = "%" + text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) + "%"
     return (
         found.filter(ascii_lower(F.col("content")).like(wanted.replace("\\", "\\\\")))
-        .orderBy(F.desc("importance"), "mem_id")
+        .orderBy(F.desc("importance"), key)
         .limit(limit)
         .withColumn("rank", F.lit(0.0))
     )

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from tidemark import schemas
 from tidemark.functions.safety import is_placeholder
 from tidemark.operators import attempts as A
 from tidemark.operators import extraction as E
@@ -18,6 +22,7 @@ from tidemark.operators import pricing as P
 from tidemark.operators import quality as Q
 from tidemark.operators import safety as S
 from tidemark.operators import search as R
+from tidemark.plans.jobs import commit_outputs, log_access, with_access
 from tidemark.plans.views import VIEWS, view
 from tidemark.session import shared_path
 from tidemark.sources.payloads import parse_payloads, quarantined
@@ -46,6 +51,15 @@ SEARCHES = {
 }
 SEARCHES["search_batch"] = [row for rows in SEARCHES.values() for row in rows]
 LIKE_TEXT = "On_T"
+# Over the committed model outputs.
+STORE_SEARCHES = [
+    (1, "shared", "all", None, None, None), (2, "shared fact", "any", None, None, None), (3, "a", "prefix", None, None, None),
+    (4, "how_to", "phrase", None, None, None),
+]
+FALLBACK_SEARCHES = [
+    (1, "###", "all", None, None, None), (2, "the", "all", None, None, None), (3, "&&& ***", "any", None, None, None),
+    (4, "%%%", "all", None, None, "skill"), (5, "|", "all", None, "/home/u/src3", None),
+]
 
 
 def query(run: Query) -> Query:
@@ -178,7 +192,8 @@ def attempts_while_open(spark, sf_dir):
 @query
 def provider_health(spark, sf_dir):
     attempts = view(spark, sf_dir, "attempts")
-    return A.provider_health(attempts, attempts.agg(F.max("ts_s")).first()[0] + 1)
+    as_of = attempts.agg(F.max("ts_s")).first()[0] + 1
+    return A.provider_health(attempts, as_of, providers=view(spark, sf_dir, "prices"))
 
 
 # --- quality -------------------------------------------------------------------------------
@@ -216,7 +231,9 @@ def quality_score(spark, sf_dir):
 @query
 def quality_details(spark, sf_dir):
     scored = Q.score_texts(view(spark, sf_dir, "probe_text"), details=True)
-    return scored.select("doc_id", F.array_join("details", " | ").alias("details"))
+    return scored.select(
+        "doc_id", F.array_join("details", " | ").alias("details"), F.array_join("findings", " | ").alias("findings")
+    )
 
 
 # --- safety --------------------------------------------------------------------------------
@@ -269,7 +286,7 @@ def shell_gate(spark, sf_dir):
 
 @query
 def blocked_audit(spark, sf_dir):
-    return S.blocked_audit(H.shell_commands(_events(spark, sf_dir))).select("event_id", "tag", "text")
+    return S.blocked_audit(H.shell_commands(_events(spark, sf_dir))).select("event_id", "command", "tag", "text")
 
 
 # --- messages and events -------------------------------------------------------------------
@@ -375,18 +392,37 @@ def rule_sentences(spark, sf_dir):
     return E.rule_sentences(view(spark, sf_dir, "contexts"))
 
 
-def length_extractor(category: str, context: str) -> str:
-    """A stand-in for a model: reports the length of the context it saw."""
-    if category == "skill" and len(context) % 2:
+EXTRACT_PATTERNS = {
+    "fact": r"https?://[A-Za-z0-9./?=]+|[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    "decision": r"We [a-z]+ [^.!?\n]* because [^.!?\n]*",
+    "skill": r"The gotcha[^.!?\n]*",
+}
+
+
+def pattern_extractor(category: str, context: str) -> str:
+    """An extractor of the caller: what the category's pattern finds, as a model would return it."""
+    found = re.findall(EXTRACT_PATTERNS[category], context)
+    if category == "skill" and not found:
         raise ValueError("no skill found")
-    return f'Sure: [{{"text": "{category} of {len(context)} chars", "importance": 8}}]'
+    return "Sure: " + json.dumps([{"text": text, "importance": 8} for text in found])
+
+
+def _extracted(spark, sf_dir):
+    contexts = view(spark, sf_dir, "contexts").withColumnRenamed("context_id", "run_id")
+    return E.model_extraction(contexts, pattern_extractor).withColumn("run_part", F.lit(0))
 
 
 @query
 def model_extraction(spark, sf_dir):
-    contexts = view(spark, sf_dir, "contexts").withColumnRenamed("context_id", "run_id")
-    outputs = E.model_extraction(contexts, length_extractor).withColumn("run_part", F.lit(0))
-    return E.parsed_items(outputs).select("run_id", "category", "content", "importance", "subcategory", "context_length")
+    return E.parsed_items(_extracted(spark, sf_dir)).select(
+        "run_id", "category", "pos", "content", "importance", "subcategory", "context_length"
+    )
+
+
+@query
+def extraction_errors(spark, sf_dir):
+    """What extractors failed at."""
+    return _extracted(spark, sf_dir).filter("error is not null").select("run_id", "category", "error")
 
 
 @query
@@ -411,9 +447,22 @@ HIT_COLUMNS = [
 ]
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> R.MemoryIndex:
+    """The index over the memories view: built once per application and tables, as a store keeps its own."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _STORED:
+        path = shared_path(spark, "index")
+        R.build_index(view(spark, sf_dir, "memories"), path)
+        _STORED[known] = path
+    return R.read_index(spark, _STORED[known])
+
+
 def _search(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        hits = R.search(view(spark, sf_dir, "memories"), query_table(spark, SEARCHES[name]))
+        hits = R.search(view(spark, sf_dir, "memories"), query_table(spark, SEARCHES[name]), index=stored_index(spark, sf_dir))
         return hits.select(*HIT_COLUMNS, F.round("rank", 6).alias("rank"))
 
     run.__name__ = name
@@ -448,45 +497,98 @@ def vocabulary_stems(spark, sf_dir):
 
 @query
 def access_touch(spark, sf_dir):
-    memories = view(spark, sf_dir, "memories")
-    hits = R.ranked(R.build_index(memories), query_table(spark, SEARCHES["search_any"]))
-    return M.touched(memories, hits).select("mem_id", "access_count")
+    """A search is logged; readers fold the log into the memories."""
+    memories, log = view(spark, sf_dir, "memories"), shared_path(spark, "accesses")
+    hits = R.ranked(stored_index(spark, sf_dir), query_table(spark, SEARCHES["search_any"]))
+    log_access(hits, log)
+    return with_access(memories, spark.read.parquet(log)).select("mem_id", "access_count")
+
+
+@query
+def search_store(spark, sf_dir):
+    """Commit memories, which keeps the store's index current, then search the store."""
+    out = shared_path(spark, "store")
+    outputs = view(spark, sf_dir, "model_outputs")
+    half = F.col("run_id") % 2 == 0
+    for part in (outputs.filter(half), outputs.filter(~half)):
+        commit_outputs(part, f"{out}/memories", f"{out}/runs", index_path=f"{out}/index")
+    hits = R.search(
+        read_memories(spark, f"{out}/memories"), query_table(spark, STORE_SEARCHES),
+        index=R.read_index(spark, f"{out}/index"), key="commit_hash")
+    return hits.select("query_id", "commit_hash", "category", "content", F.round("rank", 6).alias("rank"))
+
+
+@query
+def run_log(spark, sf_dir):
+    """The runs of two calls over the same outputs; the second one logs nothing."""
+    out = shared_path(spark, "store")
+    for _ in range(2):
+        commit_outputs(view(spark, sf_dir, "model_outputs"), f"{out}/memories", f"{out}/runs")
+    runs = spark.read.schema(schemas.RUNS).parquet(f"{out}/runs")
+    return runs.select("run_id", "context_length", "extracted", "committed")
+
+
+@query
+def search_fallback(spark, sf_dir):
+    """R4 for the queries without tokens that match no index entry."""
+    asked = query_table(spark, FALLBACK_SEARCHES)
+    hits = R.search_like_all(view(spark, sf_dir, "memories"), R.fallback_queries(asked))
+    return hits.select("query_id", *HIT_COLUMNS[1:], "rank")
 
 
 # --- streams -------------------------------------------------------------------------------
 # Each query drains its stream into a fresh folder and returns what was written.
 
 
-def stream_of(spark: SparkSession, sf_dir: str, table: str, name: str) -> DataFrame:
-    """A view over a table that is read as a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
-    source.createOrReplaceTempView(f"{table}_stream")
-    return spark.sql(VIEWS[name].replace(f"FROM {table}", f"FROM {table}_stream"))
+STREAM_BATCHES = 3
+
+
+def arriving(rows: DataFrame, order: str, path: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Let the rows arrive in STREAM_BATCHES parts, in order of a numeric column.
+
+    After each part the stream is started over the folder and drained; it goes on from its checkpoint.
+    """
+    first, last = rows.agg(F.min(order), F.max(order)).first()
+    part = F.least(F.floor((F.col(order) - first) * STREAM_BATCHES / F.lit(max(last - first, 1))), F.lit(STREAM_BATCHES - 1))
+    for number in range(STREAM_BATCHES):
+        rows.filter(part == number).write.mode("append").parquet(path)
+        start(rows.sparkSession.readStream.schema(rows.schema).parquet(path)).awaitTermination()
+
+
+def view_arriving(
+    spark: SparkSession, sf_dir: str, table: str, name: str, order: str, start: Callable[[DataFrame], StreamingQuery]
+) -> None:
+    """The same for a view over a table."""
+
+    def over_view(source: DataFrame) -> StreamingQuery:
+        source.createOrReplaceTempView(f"{table}_stream")
+        return start(spark.sql(VIEWS[name].replace(f"FROM {table}", f"FROM {table}_stream")))
+
+    arriving(spark.read.parquet(f"{sf_dir}/{table}.parquet"), order, shared_path(spark, "stream-source"), over_view)
 
 
 @query
 def stream_gate(spark, sf_dir):
     out = shared_path(spark, "stream")
-    texts = stream_of(spark, sf_dir, "documents", "probe_text")
-    T.append_stream(T.gated_texts(texts), f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    view_arriving(spark, sf_dir, "documents", "probe_text", "doc_id", lambda texts: T.append_stream(
+        T.gated_texts(texts), f"{out}/data", f"{out}/checkpoint"))
     return spark.read.parquet(f"{out}/data").select("doc_id", "text", "score", "passed", "changed")
 
 
 @query
 def stream_commands(spark, sf_dir):
     out = shared_path(spark, "stream")
-    events = parse_payloads(stream_of(spark, sf_dir, "events", "hook_events"))
-    T.append_stream(T.command_alerts(events), f"{out}/data", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/data").select("event_id", "tag", "text")
+    view_arriving(spark, sf_dir, "events", "hook_events", "event_id", lambda events: T.append_stream(
+        T.command_alerts(parse_payloads(events)), f"{out}/data", f"{out}/checkpoint"))
+    return spark.read.parquet(f"{out}/data").select("event_id", "command", "tag", "text")
 
 
 @query
 def stream_rolling_cost(spark, sf_dir):
-    out = shared_path(spark, "stream")
-    ledger = P.priced(stream_of(spark, sf_dir, "events", "ledger_raw"), view(spark, sf_dir, "prices"))
-    T.append_stream(T.rolling_cost_windows(ledger), f"{out}/data", f"{out}/checkpoint").awaitTermination()
-    rows = spark.read.parquet(f"{out}/data")
+    out, prices = shared_path(spark, "stream"), view(spark, sf_dir, "prices")
+    view_arriving(spark, sf_dir, "events", "ledger_raw", "event_id", lambda ledger: T.slide_stream(
+        T.cost_slides(P.priced(ledger, prices)), f"{out}/data", f"{out}/checkpoint"))
+    rows = T.windows_of(spark.read.parquet(f"{out}/data"))
     return rows.select(
         F.unix_seconds("start").alias("start_s"), "provider", "model", "requests", "tokens_in", "tokens_out",
         F.col("cost_usd").cast("double").alias("cost_usd"),
@@ -495,26 +597,24 @@ def stream_rolling_cost(spark, sf_dir):
 
 @query
 def stream_breaker(spark, sf_dir):
-    """The attempts view needs a window, which no stream offers: the log is written, then streamed."""
+    """The attempts view needs a window, which no stream offers: its rows are written, then streamed."""
     out = shared_path(spark, "stream")
-    attempts = view(spark, sf_dir, "attempts")
-    attempts.write.parquet(f"{out}/log")
-    log = spark.readStream.schema(attempts.schema).parquet(f"{out}/log")
-    T.breaker_stream(log, f"{out}/data", f"{out}/state", f"{out}/checkpoint").awaitTermination()
+    arriving(view(spark, sf_dir, "attempts"), "ts_s", f"{out}/log", lambda log: T.breaker_stream(
+        log, f"{out}/data", f"{out}/state", f"{out}/checkpoint"))
     return spark.read.parquet(f"{out}/data").select(*STREAK_COLUMNS)
 
 
 @query
 def stream_memories(spark, sf_dir):
     out = shared_path(spark, "stream")
-    events = parse_payloads(stream_of(spark, sf_dir, "events", "hook_events"))
-    T.memory_stream(events, length_extractor, f"{out}/store", f"{out}/checkpoint").awaitTermination()
+    view_arriving(spark, sf_dir, "events", "hook_events", "event_id", lambda events: T.memory_stream(
+        parse_payloads(events), pattern_extractor, f"{out}/store", f"{out}/checkpoint"))
     return read_memories(spark, f"{out}/store").select("commit_hash", "category", "subcategory", "content", "importance")
 
 
 @query
 def stream_counters(spark, sf_dir):
     out = shared_path(spark, "stream")
-    counters = T.gate_counters(stream_of(spark, sf_dir, "events", "ledger_raw"))
-    T.snapshot_stream(counters, f"{out}/data", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/data/batch_id=0").select("outcome", "requests")
+    view_arriving(spark, sf_dir, "events", "ledger_raw", "event_id", lambda ledger: T.snapshot_stream(
+        T.gate_counters(ledger), f"{out}/data", f"{out}/checkpoint"))
+    return T.newest_snapshot(spark, f"{out}/data").select("outcome", "requests")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark import rules
-from tidemark.plans.catalog import LIKE_TEXT, SEARCHES
+from tidemark.plans.catalog import EXTRACT_PATTERNS, FALLBACK_SEARCHES, LIKE_TEXT, SEARCHES, STORE_SEARCHES
 from tidemark.plans.views import with_views
 
 ORACLES: dict[str, str] = {}
@@ -89,16 +89,19 @@ WHERE target_provider NOT IN (SELECT provider FROM prices WHERE tier = 1)""")
 # --- attempts ------------------------------------------------------------------------------
 
 ORACLES["first_success"] = with_views(["attempts"], """
-, won AS (SELECT request_id, min(chain_pos) AS chain_pos FROM attempts WHERE status = 'success' GROUP BY request_id)
-, w AS (SELECT a.* FROM attempts a JOIN won USING (request_id, chain_pos))
-, e AS (SELECT request_id, string_agg(provider || ': ' || coalesce(error, 'None'), '; ' ORDER BY chain_pos) AS errors
- FROM attempts WHERE status <> 'success' GROUP BY request_id)
+, won AS (SELECT request_id, min(chain_pos) AS chain_pos FROM attempts WHERE status = 'success' AND chain_pos <= 6 GROUP BY request_id)
+, w AS (SELECT a.* FROM attempts a JOIN won USING (request_id, chain_pos) WHERE status = 'success')
+, e0 AS (SELECT request_id, chain_pos, provider || ': ' || coalesce(error, 'None') AS said, count(*) AS n
+ FROM attempts WHERE status IS DISTINCT FROM 'success' AND chain_pos <= 6 GROUP BY ALL)
+, e AS (SELECT request_id, string_agg(said || CASE WHEN n > 1 THEN ' x' || n ELSE '' END, '; ' ORDER BY chain_pos, said) AS errors FROM e0 GROUP BY request_id)
 SELECT r.request_id, coalesce(w.provider, 'none') AS provider,
  CASE WHEN w.request_id IS NULL THEN 'failed' ELSE 'success' END AS status, w.chain_pos, w.latency_ms,
- CASE WHEN w.request_id IS NULL THEN e.errors END AS error
-FROM (SELECT DISTINCT request_id FROM attempts) r LEFT JOIN w ON w.request_id = r.request_id LEFT JOIN e ON e.request_id = r.request_id""")
+ CASE WHEN w.request_id IS NULL THEN coalesce(e.errors, '') END AS error, stray_attempts
+FROM (SELECT request_id, count(*) FILTER (chain_pos > 6) AS stray_attempts FROM attempts GROUP BY request_id) r
+LEFT JOIN w ON w.request_id = r.request_id LEFT JOIN e ON e.request_id = r.request_id""")
 _STREAKS = """
-, s1 AS (SELECT *, sum(CASE WHEN status = 'success' THEN 1 ELSE 0 END) OVER w AS island FROM attempts
+, made AS (SELECT * FROM attempts WHERE status IN ('success', 'failed', 'rejected') AND provider IS NOT NULL)
+, s1 AS (SELECT *, sum(CASE WHEN status = 'success' THEN 1 ELSE 0 END) OVER w AS island FROM made
  WINDOW w AS (PARTITION BY provider ORDER BY ts_s, request_id, chain_pos ROWS UNBOUNDED PRECEDING))
 , s2 AS (SELECT *, CAST(sum(CASE WHEN status = 'success' THEN 0 ELSE 1 END) OVER (PARTITION BY provider, island
  ORDER BY ts_s, request_id, chain_pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM s1)
@@ -113,16 +116,16 @@ SELECT provider, ts_s AS opened_s, ts_s + 60 AS open_until_s, streak FROM s4 WHE
 ORACLES["attempts_while_open"] = with_views(["attempts"], _STREAKS + """
 SELECT provider, count(*) AS attempts, count(*) FILTER (made_while_open) AS while_open,
  count(*) FILTER (made_while_open AND status = 'success') AS while_open_ok FROM s4 GROUP BY provider""")
-ORACLES["provider_health"] = with_views(["attempts"], _STREAKS + """
+ORACLES["provider_health"] = with_views(["attempts", "prices"], _STREAKS + """
 , l AS (SELECT provider, streak, CASE WHEN status <> 'success' AND streak >= 3 THEN ts_s + 60 ELSE open_until_s END AS until,
  row_number() OVER (PARTITION BY provider ORDER BY ts_s DESC, request_id DESC, chain_pos DESC) AS r FROM s4)
 , g AS (SELECT provider, count(*) AS total_requests, count(*) FILTER (status = 'success') AS total_successes,
  count(*) FILTER (status <> 'success') AS total_failures,
  CAST(sum(CASE WHEN status = 'success' THEN latency_ms END) AS DOUBLE) AS latency FROM s4 GROUP BY provider)
-SELECT provider, total_requests, total_successes, total_failures,
- coalesce(round(latency / nullif(total_successes, 0), 1), 0.0) AS avg_latency_ms, streak AS consecutive_failures,
- coalesce((SELECT max(ts_s) + 1 FROM attempts) >= until, true) AS available
-FROM g JOIN l USING (provider) WHERE r = 1""")
+SELECT p.provider, coalesce(total_requests, 0) AS total_requests, coalesce(total_successes, 0) AS total_successes, coalesce(total_failures, 0) AS total_failures,
+ coalesce(round(latency / nullif(total_successes, 0), 1), 0.0) AS avg_latency_ms, coalesce(streak, 0) AS consecutive_failures,
+ coalesce((SELECT max(ts_s) + 1 FROM attempts) >= until, true) AS available, NOT coalesce((SELECT max(ts_s) + 1 FROM attempts) >= until, true) AS circuit_open
+FROM (SELECT DISTINCT provider FROM prices) p LEFT JOIN (SELECT * FROM g JOIN l USING (provider) WHERE r = 1) h ON h.provider = p.provider""")
 
 # --- quality -------------------------------------------------------------------------------
 
@@ -137,7 +140,7 @@ def quality_ctes(source: str, key: str, text: str) -> str:
     count = {m: f"(length(s) - length(replace(s, '{m}', '')))" for m in "{}[]"}
     marks = ", ".join(text_literal(m) for m in rules.TERMINAL_MARKS if m != "\n") + ", chr(10)"
     return f"""
-, q0 AS (SELECT {key} AS k, {text} AS text, {strip_sql(text)} AS s FROM {source})
+, q0 AS (SELECT {key} AS k, coalesce({text}, '') AS text, {strip_sql(f"coalesce({text}, '')")} AS s FROM {source})
 , q1 AS (SELECT k, unnest(string_split(s, '')) AS c, generate_subscripts(string_split(s, ''), 1) AS i FROM q0)
 , q2 AS (SELECT k, c, i - row_number() OVER (PARTITION BY k, c ORDER BY i) AS island FROM q1 WHERE c <> chr(10))
 , q3 AS (SELECT DISTINCT k FROM (SELECT k, c, island FROM q2 GROUP BY k, c, island HAVING count(*) >= 21) r)
@@ -169,6 +172,10 @@ def hits_sql(patterns: list[tuple[str, str]], per_pattern: int) -> str:
     return f"(flatten([{', '.join(lists)}]))[1:5]"
 
 
+def all_hits_sql(patterns: list[tuple[str, str]]) -> str:
+    return "flatten([" + ", ".join(f"regexp_extract_all(text, {re_literal(p, f)})" for p, f in patterns) + "])"
+
+
 ORACLES["quality_details"] = with_views(["probe_text"], _PROBE + f"""
 SELECT k AS doc_id, array_to_string(list_filter([
  CASE WHEN tags THEN 'XML hallucination detected: ' || array_to_string({hits_sql(rules.TAG_PATTERNS, 3)}, ', ') END,
@@ -178,7 +185,8 @@ SELECT k AS doc_id, array_to_string(list_filter([
  CASE WHEN s <> '' AND length(s) < 10 THEN 'Suspiciously short response (' || length(s) || ' chars)' END,
  CASE WHEN repeats THEN 'Repeated character pattern detected' END,
  CASE WHEN noise THEN 'Excessive non-ASCII character sequence' END,
- CASE WHEN cut_off THEN 'Response may be truncated (no terminal punctuation)' END], lambda d: d IS NOT NULL), ' | ') AS details FROM q""")
+ CASE WHEN cut_off THEN 'Response may be truncated (no terminal punctuation)' END], lambda d: d IS NOT NULL), ' | ') AS details,
+ array_to_string(flatten([{all_hits_sql(rules.TAG_PATTERNS)}, {all_hits_sql(rules.INJECTION_PATTERNS)}]), ' | ') AS findings FROM q""")
 
 # --- safety --------------------------------------------------------------------------------
 
@@ -218,7 +226,8 @@ def scrub_sql(text: str) -> str:
 
 
 ORACLES["scrubbed_text"] = with_views(["probe_text"], f"""
-SELECT doc_id, {scrub_sql('text')} AS text, {scrub_sql('text')} <> text AS changed FROM probe_text""")
+SELECT doc_id, {scrub_sql('text')} AS text, {scrub_sql('text')} <> text AS changed
+FROM (SELECT doc_id, coalesce(text, '') AS text FROM probe_text) p""")
 
 
 def placeholder_sql(value: str) -> str:
@@ -265,17 +274,22 @@ _COMMANDS = _EVENTS + f"""
 """
 ORACLES["shell_gate"] = with_views(["hook_events"], _COMMANDS + "SELECT event_id, command, matched, matched IS NOT NULL AS blocked FROM gated")
 ORACLES["blocked_audit"] = with_views(["hook_events"], _COMMANDS + """
-SELECT event_id, 'safety' AS tag, 'BLOCKED command (matched: ' || matched || '): ' || left(command, 500) AS text FROM gated WHERE matched IS NOT NULL""")
-_CONTEXT = """
-, c0 AS (SELECT event_id, CASE WHEN kind IS NULL THEN '{}' WHEN kind = 'OBJECT' THEN
-   coalesce(nullif(json_extract_string(payload, '$.tool_input.content'), ''), nullif(json_extract_string(payload, '$.tool_input.text'), ''), CAST(json_extract(payload, '$.tool_input') AS VARCHAR))
-   WHEN kind = 'VARCHAR' THEN plain ELSE CAST(json_extract(payload, '$') AS VARCHAR) END AS c,
+SELECT event_id, command, 'safety' AS tag, 'BLOCKED command (matched: ' || matched || '): ' || left(command, 500) AS text FROM gated WHERE matched IS NOT NULL""")
+# A blank after each string and separator, then none between a string and what follows it.
+def spaced_sql(text: str) -> str:
+    return rf"""regexp_replace(regexp_replace({text}, '("(?:[^"\\]|\\.)*")|([,:])', '\1\2 ', 'g'), '" ([,:}}\]])', '"\1', 'g')"""
+
+
+_CONTEXT = f"""
+, c0 AS (SELECT event_id, CASE WHEN kind IS NULL THEN '{{}}' WHEN kind = 'OBJECT' THEN
+   coalesce(nullif(json_extract_string(payload, '$.tool_input.content'), ''), nullif(json_extract_string(payload, '$.tool_input.text'), ''), {spaced_sql("CAST(json_extract(payload, '$.tool_input') AS VARCHAR)")})
+   WHEN kind = 'VARCHAR' THEN plain ELSE {spaced_sql("CAST(json_extract(payload, '$') AS VARCHAR)")} END AS c,
   json_extract_string(payload, '$.tool_result') AS r,
   coalesce(json_extract_string(payload, '$.cwd'), 'unknown') AS project, coalesce(json_extract_string(payload, '$.session_id'), 'unknown') AS session_id FROM ev)
 , c1 AS (SELECT event_id, CASE WHEN length(r) > 100 THEN c || chr(10) || chr(10) || '--- tool_result ---' || chr(10) || r ELSE c END AS context, project, session_id FROM c0)
 """
 ORACLES["payload_context"] = with_views(["hook_events"], _EVENTS + _CONTEXT + """
-SELECT event_id, left(context, 100000) AS context, project, session_id FROM c1 WHERE length(context) >= 100""")
+SELECT event_id, context, project, session_id FROM c1 WHERE length(context) >= 100""")
 ORACLES["quarantined_payloads"] = with_views(["hook_events"], "SELECT event_id, payload FROM hook_events WHERE NOT json_valid(payload)")
 ORACLES["compaction_events"] = with_views(["hook_events"], _EVENTS + """
 SELECT event_id, tool AS tool_name, CAST(strlen(payload) AS INT) AS payload_bytes FROM ev
@@ -320,7 +334,7 @@ def items_ctes() -> str:
  FROM o7 WHERE NOT blank AND (run_id, run_part, category) NOT IN (SELECT (run_id, run_part, category) FROM lost))
 , keyed AS (SELECT *, sha256(category || ':' || subcategory || ':' || content) AS commit_hash FROM items WHERE importance >= 7)
 , committed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY commit_hash ORDER BY run_id, run_part, cat_order, pos) AS r FROM keyed) k WHERE r = 1)
-, runs AS (SELECT run_id, run_part, CAST(least(max(context_length), 100000) AS BIGINT) AS context_length,
+, runs AS (SELECT run_id, run_part, CAST(max(context_length) AS BIGINT) AS context_length,
   (SELECT count(*) FROM items i WHERE i.run_id = m.run_id AND i.run_part = m.run_part) AS extracted,
   (SELECT count(*) FROM committed c WHERE c.run_id = m.run_id AND c.run_part = m.run_part) AS committed
  FROM model_outputs m GROUP BY run_id, run_part)
@@ -355,10 +369,16 @@ SELECT context_id, sentence_no, """ + ", ".join(
         ("importance", lambda r: f"CAST({r[2]} AS BIGINT)"),
     ]
 ) + ", content FROM h WHERE hit IS NOT NULL")
-ORACLES["model_extraction"] = with_views(["contexts"], """
-SELECT context_id AS run_id, category, category || ' of ' || length(context) || ' chars' AS content, CAST(8 AS BIGINT) AS importance,
- subcategory, length(context) AS context_length FROM contexts, (VALUES ('fact', 'reference'), ('decision', 'strategy'), ('skill', 'how_to')) t(category, subcategory)
-WHERE NOT (category = 'skill' AND length(context) % 2 = 1)""")
+_EXTRACTED = ", x AS (" + " UNION ALL ".join(
+    f"SELECT *, '{category}' AS category, '{subcategory}' AS subcategory, regexp_extract_all(context, {re_literal(EXTRACT_PATTERNS[category])}) AS found FROM {{source}}"
+    for category, subcategory in rules.DEFAULT_SUBCATEGORY.items()
+) + ")"
+ORACLES["model_extraction"] = with_views(["contexts"], _EXTRACTED.replace("{source}", "contexts") + f"""
+SELECT context_id AS run_id, category, CAST(i - 1 AS INT) AS pos, {strip_sql('content')} AS content, CAST(8 AS BIGINT) AS importance, subcategory,
+ length(context) AS context_length
+FROM (SELECT *, unnest(found) AS content, generate_subscripts(found, 1) AS i FROM x) y""")
+ORACLES["extraction_errors"] = with_views(["contexts"], _EXTRACTED.replace("{source}", "contexts") + """
+SELECT context_id AS run_id, category, 'ValueError: no skill found' AS error FROM x WHERE category = 'skill' AND len(found) = 0""")
 ORACLES["memory_stats"] = with_views(["memories"], """
 SELECT 'total' AS section, 'all' AS name, count(*) AS memories FROM memories UNION ALL
 SELECT 'category', category, count(*) FROM memories GROUP BY category""")
@@ -461,6 +481,17 @@ for _name, _rows in SEARCHES.items():
     ORACLES[_name] = with_views(["memories"], _ranked(_rows) + f"SELECT query_id, {_HIT}, round(rank, 6) AS rank FROM ok WHERE place <= 10")
 ORACLES["access_touch"] = with_views(["memories"], _ranked(SEARCHES["search_any"]) + """
 SELECT m.mem_id, CAST(m.access_count + (SELECT count(*) FROM ok WHERE ok.mem_id = m.mem_id AND place <= 10) AS INT) AS access_count FROM memories m""")
+ORACLES["search_store"] = with_views(["model_outputs"], items_ctes() + """
+, memories AS (SELECT commit_hash AS mem_id, category, subcategory, content, importance, CAST(NULL AS VARCHAR) AS project FROM committed)
+""" + _ranked(STORE_SEARCHES) + "SELECT query_id, mem_id AS commit_hash, category, content, round(rank, 6) AS rank FROM ok WHERE place <= 10")
+ORACLES["run_log"] = with_views(["model_outputs"], items_ctes() + """
+SELECT CAST(run_id AS VARCHAR) || '/' || CAST(run_part AS VARCHAR) AS run_id, context_length, extracted, committed FROM runs""")
+ORACLES["search_fallback"] = with_views(["memories"], f"""
+, qs AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join([str(r[0]), *[text_literal(x) for x in r[1:]]]) + ")" for r in FALLBACK_SEARCHES)}) t(query_id, query, mode, col, project, category))
+, ok AS (SELECT query_id, m.*, row_number() OVER (PARTITION BY query_id ORDER BY importance DESC, mem_id) AS place FROM memories m JOIN qs
+  ON lower(m.content) LIKE '%' || lower(query) || '%' AND NOT regexp_matches(query, '[a-z]')
+  AND (qs.project IS NULL OR qs.project = m.project) AND (qs.category IS NULL OR qs.category = m.category))
+SELECT query_id, {_HIT}, 0e0 AS rank FROM ok WHERE place <= 10""")
 ORACLES["search_like"] = with_views(["memories"], f"""
 SELECT {_HIT}, 0e0 AS rank FROM memories WHERE content ILIKE '%{LIKE_TEXT}%' AND category = 'skill' ORDER BY importance DESC, mem_id LIMIT 10""")
 ORACLES["term_frequencies"] = with_views(["memories"], _corpus() + "SELECT token, count(DISTINCT mem_id) AS memories FROM toks GROUP BY token")
@@ -481,13 +512,13 @@ ORACLES["stream_rolling_cost"] = ledger_sql("""
 , e AS (SELECT h.*, hour_s - o * 3600 AS start_s FROM h, range(24) r(o))
 SELECT start_s, provider, model, count(*) AS requests, CAST(sum(tokens_in) AS BIGINT) AS tokens_in,
  CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum(cost) AS DOUBLE) AS cost_usd FROM e
-WHERE start_s + 86400 <= (SELECT epoch(max(ts)) - 3600 FROM ledger) GROUP BY start_s, provider, model""")
+GROUP BY start_s, provider, model""")
 ORACLES["stream_memories"] = with_views(["hook_events"], _EVENTS + _CONTEXT + """
 , s AS (SELECT event_id FROM (SELECT event_id, payload, coalesce(nullif(json_extract_string(payload, '$.summary'), ''), nullif(json_extract_string(payload, '$.message'), ''),
  nullif(json_extract_string(payload, '$.stop_reason'), ''),
  CASE WHEN kind = 'VARCHAR' THEN plain ELSE coalesce(nullif(json_extract_string(payload, '$.tool_input.content'), ''), json_extract_string(payload, '$.tool_input.text')) END, '') AS content, tool FROM ev) x
  WHERE coalesce(regexp_matches(tool, '[Cc]ompact|[Ss]ummariz|[Cc]ompress'), false) OR (strlen(payload) >= 50 AND length(content) > 50))
-, c AS (SELECT DISTINCT length(context) AS n FROM c1 WHERE length(context) >= 100 AND event_id IN (SELECT event_id FROM s))
-, m AS (SELECT category, subcategory, category || ' of ' || n || ' chars' AS content FROM c,
- (VALUES ('fact', 'reference'), ('decision', 'strategy'), ('skill', 'how_to')) t(category, subcategory) WHERE NOT (category = 'skill' AND n % 2 = 1))
+, c AS (SELECT context FROM c1 WHERE length(context) >= 100 AND event_id IN (SELECT event_id FROM s))
+""" + _EXTRACTED.replace("{source}", "c") + f"""
+, m AS (SELECT DISTINCT category, subcategory, {strip_sql('content')} AS content FROM (SELECT *, unnest(found) AS content FROM x) y)
 SELECT sha256(category || ':' || subcategory || ':' || content) AS commit_hash, category, subcategory, content, CAST(8 AS BIGINT) AS importance FROM m""")

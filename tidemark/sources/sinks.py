@@ -17,7 +17,7 @@ def memory_rows(committed: DataFrame) -> DataFrame:
     have = set(committed.columns)
     defaults = {
         "project": F.lit(None), "session_id": F.lit(None), "created_at": F.current_timestamp(),
-        "accessed_at": F.lit(None), "access_count": F.lit(0), "metadata": F.create_map(),
+        "accessed_at": F.current_timestamp(), "access_count": F.lit(0), "metadata": F.create_map(),
     }
     return committed.select(*[
         (F.col(f.name) if f.name in have else defaults[f.name]).cast(f.dataType).alias(f.name)

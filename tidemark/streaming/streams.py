@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -67,6 +67,56 @@ def rolling_cost_windows(
     )
 
 
+def cost_slides(ledger: DataFrame, lateness: str = "25 hours", slide: str = "1 hour") -> DataFrame:
+    """Sums per slide, provider and model; write with update mode (slide_stream).
+
+    A slide is updated until the watermark has passed it by the lateness; `windows_of` turns the
+    written slides into windows, the open ones included.
+    """
+    return (
+        ledger.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", lateness)
+        .groupBy(F.window("ts", slide).alias("s"), "provider", "model")
+        .agg(
+            F.count(F.lit(1)).alias("requests"),
+            *[F.sum(name).alias(name) for name in ("tokens_in", "tokens_out", "cost_usd")],
+        )
+        .select("s.start", "provider", "model", "requests", "tokens_in", "tokens_out", "cost_usd")
+    )
+
+
+def slide_stream(slides: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write each batch's changed slides to its own folder; a batch run again replaces its own."""
+
+    def write(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        slides.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).foreachBatch(write).start()
+    )
+
+
+def windows_of(written: DataFrame, width: str = "24 hours", slide: str = "1 hour") -> DataFrame:
+    """T3 as a report over written slides (with batch_id): every window that holds one, closed or open.
+
+    The newest version of each slide counts. Rows are slides, not requests.
+    """
+    sums = ["requests", "tokens_in", "tokens_out", "cost_usd"]
+    newest = written.groupBy("start", "provider", "model").agg(F.max_by(F.struct(*sums), "batch_id").alias("x"))
+    return (
+        newest.groupBy(F.window("start", width, slide).alias("w"), "provider", "model")
+        .agg(*[F.sum(f"x.{name}").alias(name) for name in sums])
+        .select("w.start", "w.end", "provider", "model", *sums)
+    )
+
+
+def newest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The last complete result that snapshot_stream has written."""
+    written = spark.read.parquet(path)
+    return written.filter(F.col("batch_id") == written.agg(F.max("batch_id")).scalar()).drop("batch_id")
+
+
 def gate_counters(ledger: DataFrame, threshold: float = rules.PASS_MARK) -> DataFrame:
     """Running counts of gate outcomes; write with complete or update mode."""
     return gate_outcomes(ledger, threshold)
