@@ -34,7 +34,9 @@ def parsed_items(outputs: DataFrame) -> DataFrame:
     """One row per valid item; cat_order and pos give the order within a run."""
     read = read_outputs(outputs)
     return (
-        read.select(*[c for c in read.columns if c != "items"], F.explode("items").alias("_i"))
+        # outer: a plain explode would be given a filter that computes the items once more
+        read.select(*[c for c in read.columns if c != "items"], F.explode_outer("items").alias("_i"))
+        .filter(F.col("_i").isNotNull())
         .withColumn("cat_order", category_order())
         .select("*", "_i.pos", "_i.content", "_i.importance", "_i.subcategory")
         .drop("_i")

@@ -58,6 +58,7 @@ def canonical_responses(
             "tokens_in": C.usage_tokens(F.col("_r"), "input"),
             "tokens_out": C.usage_tokens(F.col("_r"), "output"),
             "passed": passed,
+            "score": F.round("_raw", 3),
             "scrubbed": passed & F.col("changed"),
         })
         .drop("_r", "_text", "_raw", "_clean", "changed", response)

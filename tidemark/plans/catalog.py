@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark import schemas
+from tidemark import rules, schemas
 from tidemark.functions.safety import is_placeholder
 from tidemark.operators import attempts as A
 from tidemark.operators import extraction as E
@@ -22,11 +22,14 @@ from tidemark.operators import pricing as P
 from tidemark.operators import quality as Q
 from tidemark.operators import safety as S
 from tidemark.operators import search as R
+from tidemark.plans import jobs
 from tidemark.plans.jobs import commit_outputs, log_access, with_access
 from tidemark.plans.views import VIEWS, view
 from tidemark.session import shared_path
 from tidemark.sources.payloads import parse_payloads, quarantined
-from tidemark.sources.sinks import read_memories
+from tidemark.sources.ledger import append_ledger, read_ledger
+from tidemark.sources.providers import default_providers
+from tidemark.sources.sinks import append_audit, read_memories
 from tidemark.streaming import streams as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,6 +161,32 @@ def unknown_providers(spark, sf_dir):
     return found.select("request_id", "target_provider", "status")
 
 
+def _request_ledger(spark, sf_dir):
+    prices = default_providers(spark)
+    last = max(position for *_, position in rules.PROVIDERS if position)
+    responses = view(spark, sf_dir, "responses").filter("turn = 0")
+    return jobs.request_ledger(view(spark, sf_dir, "chat_messages"), view(spark, sf_dir, "attempts"), responses, prices, last)
+
+
+LEDGER_COLUMNS = ["provider", "model", "status", "tokens_in", "tokens_out", "quality_score", "latency_ms"]
+
+
+@query
+def request_ledger(spark, sf_dir):
+    """Stored messages, attempts and responses as ledger rows."""
+    return _request_ledger(spark, sf_dir).select("request_id", *LEDGER_COLUMNS, F.col("cost_usd").cast("double").alias("cost_usd"))
+
+
+@query
+def request_ledger_costs(spark, sf_dir):
+    """The same rows appended to a ledger, read back and summed."""
+    path = shared_path(spark, "ledger")
+    append_ledger(_request_ledger(spark, sf_dir), path)
+    return read_ledger(spark, path).groupBy("provider", "status").agg(
+        F.count(F.lit(1)).alias("requests"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
+        F.sum("cost_usd").cast("double").alias("cost_usd"))
+
+
 # --- attempts ------------------------------------------------------------------------------
 
 
@@ -328,6 +357,17 @@ def compaction_events(spark, sf_dir):
     return H.compaction_events(_events(spark, sf_dir)).select("event_id", "tool_name", "payload_bytes")
 
 
+@query
+def dispatch_audit(spark, sf_dir):
+    """Compaction events in the audit log."""
+    path = shared_path(spark, "audit")
+    rows = H.dispatch_audit(H.compaction_events(_events(spark, sf_dir)), "compaction").select("event_id", "tool_name", "tag", "text")
+    append_audit(rows.select("tag", "text"), path)
+    logged = spark.read.parquet(path).groupBy("tag", "text").agg(F.count(F.lit(1)).alias("logged"))
+    # Every row must be found in the log again.
+    return rows.join(logged, ["tag", "text"], "left_semi").select("event_id", "tool_name", "tag", "text")
+
+
 @query
 def session_end_events(spark, sf_dir):
     return H.session_end_events(_events(spark, sf_dir)).select("event_id", "content", "payload_bytes")

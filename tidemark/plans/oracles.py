@@ -88,17 +88,19 @@ WHERE target_provider NOT IN (SELECT provider FROM prices WHERE tier = 1)""")
 
 # --- attempts ------------------------------------------------------------------------------
 
-ORACLES["first_success"] = with_views(["attempts"], """
+_FIRST = """
 , won AS (SELECT request_id, min(chain_pos) AS chain_pos FROM attempts WHERE status = 'success' AND chain_pos <= 6 GROUP BY request_id)
 , w AS (SELECT a.* FROM attempts a JOIN won USING (request_id, chain_pos) WHERE status = 'success')
 , e0 AS (SELECT request_id, chain_pos, provider || ': ' || coalesce(error, 'None') AS said, count(*) AS n
  FROM attempts WHERE status IS DISTINCT FROM 'success' AND chain_pos <= 6 GROUP BY ALL)
 , e AS (SELECT request_id, string_agg(said || CASE WHEN n > 1 THEN ' x' || n ELSE '' END, '; ' ORDER BY chain_pos, said) AS errors FROM e0 GROUP BY request_id)
-SELECT r.request_id, coalesce(w.provider, 'none') AS provider,
+, first AS (SELECT r.request_id, coalesce(w.provider, 'none') AS provider,
  CASE WHEN w.request_id IS NULL THEN 'failed' ELSE 'success' END AS status, w.chain_pos, w.latency_ms,
  CASE WHEN w.request_id IS NULL THEN coalesce(e.errors, '') END AS error, stray_attempts
 FROM (SELECT request_id, count(*) FILTER (chain_pos > 6) AS stray_attempts FROM attempts GROUP BY request_id) r
-LEFT JOIN w ON w.request_id = r.request_id LEFT JOIN e ON e.request_id = r.request_id""")
+LEFT JOIN w ON w.request_id = r.request_id LEFT JOIN e ON e.request_id = r.request_id)
+"""
+ORACLES["first_success"] = with_views(["attempts"], _FIRST + "SELECT * FROM first")
 _STREAKS = """
 , made AS (SELECT * FROM attempts WHERE status IN ('success', 'failed', 'rejected') AND provider IS NOT NULL)
 , s1 AS (SELECT *, sum(CASE WHEN status = 'success' THEN 1 ELSE 0 END) OVER w AS island FROM made
@@ -299,17 +301,42 @@ ORACLES["session_end_events"] = with_views(["hook_events"], _EVENTS + """
  nullif(json_extract_string(payload, '$.stop_reason'), ''),
  CASE WHEN kind = 'VARCHAR' THEN plain ELSE coalesce(nullif(json_extract_string(payload, '$.tool_input.content'), ''), json_extract_string(payload, '$.tool_input.text')) END, '') AS content FROM ev)
 SELECT event_id, content, CAST(strlen(payload) AS INT) AS payload_bytes FROM s WHERE strlen(payload) >= 50 AND length(content) > 50""")
-ORACLES["canonical_responses"] = with_views(["responses"], """
+_CANON = """
 , r AS (SELECT request_id, turn, request_id * 1000 + turn AS rk, response, coalesce(json_extract_string(response, '$.choices[0].message.content'), '') AS body FROM responses)
 """ + quality_ctes("r", "rk", "body") + f"""
-, x AS (SELECT r.*, raw >= 0.5 AS passed, CASE WHEN raw >= 0.5 THEN {scrub_sql('body')} ELSE body END AS clean FROM r JOIN qs ON qs.k = r.rk)
+, x AS (SELECT r.*, round(raw, 3) AS score, raw >= 0.5 AS passed, CASE WHEN raw >= 0.5 THEN {scrub_sql('body')} ELSE body END AS clean FROM r JOIN qs ON qs.k = r.rk)
 , u AS (SELECT *, CAST(json_extract(response, '$.usage.prompt_tokens') AS BIGINT) AS p, CAST(json_extract(response, '$.usage.completion_tokens') AS BIGINT) AS c,
  CAST(json_extract(response, '$.usage.input_tokens') AS BIGINT) AS i, CAST(json_extract(response, '$.usage.output_tokens') AS BIGINT) AS o FROM x)
-SELECT request_id, turn, coalesce(json_extract_string(response, '$.id'), '') AS id, 'message' AS type, 'assistant' AS role, clean AS text,
+, canon AS (SELECT request_id, turn, score, coalesce(json_extract_string(response, '$.id'), '') AS id, 'message' AS type, 'assistant' AS role, clean AS text,
  coalesce(json_extract_string(response, '$.model'), '') AS model,
  CASE WHEN json_extract_string(response, '$.choices[0].finish_reason') = 'length' THEN 'max_tokens' ELSE 'end_turn' END AS stop_reason,
  coalesce(p, 0) AS input_tokens, coalesce(c, 0) AS output_tokens,
- coalesce(nullif(p, 0), i, 0) AS tokens_in, coalesce(nullif(c, 0), o, 0) AS tokens_out, passed, clean <> body AS scrubbed FROM u""")
+ coalesce(nullif(p, 0), i, 0) AS tokens_in, coalesce(nullif(c, 0), o, 0) AS tokens_out, passed, clean <> body AS scrubbed FROM u)
+"""
+ORACLES["canonical_responses"] = with_views(["responses"], _CANON + "SELECT * EXCLUDE (score) FROM canon")
+_REQUESTS = _FLAT + _HITS + _FIRST + _CANON + """
+, price AS (SELECT provider, arg_min(price_in, tier) AS price_in, arg_min(price_out, tier) AS price_out FROM prices GROUP BY provider)
+, j AS (SELECT m.request_id, f.provider AS won_by, f.latency_ms, c.model, c.tokens_in AS ti, c.tokens_out AS tout, c.score,
+  CASE WHEN m.request_id IN (SELECT request_id FROM hits) THEN 'blocked' WHEN f.status IS DISTINCT FROM 'success' OR c.passed IS NULL THEN 'failed'
+   WHEN NOT c.passed THEN 'rejected' ELSE 'success' END AS status
+ FROM (SELECT DISTINCT request_id FROM flat) m LEFT JOIN first f ON f.request_id = m.request_id
+ LEFT JOIN (SELECT * FROM canon WHERE turn = 0) c ON c.request_id = m.request_id)
+, k AS (SELECT request_id, status, CASE WHEN status IN ('success', 'rejected') THEN won_by ELSE 'none' END AS provider,
+  CASE WHEN status IN ('success', 'rejected') THEN model ELSE 'none' END AS model, CASE WHEN status = 'success' THEN ti ELSE 0 END AS tokens_in,
+  CASE WHEN status = 'success' THEN tout ELSE 0 END AS tokens_out, CASE WHEN status IN ('success', 'rejected') THEN score ELSE 0e0 END AS quality_score,
+  CASE WHEN status IN ('success', 'rejected') THEN latency_ms ELSE 0 END AS latency_ms FROM j)
+, l AS (SELECT k.*, round(CAST(tokens_in AS DECIMAL(18,0)) * CAST(coalesce(price_in, 0) AS DECIMAL(10,4)) * CAST(0.000001 AS DECIMAL(6,6))
+  + CAST(tokens_out AS DECIMAL(18,0)) * CAST(coalesce(price_out, 0) AS DECIMAL(10,4)) * CAST(0.000001 AS DECIMAL(6,6)), 8) AS cost FROM k LEFT JOIN price USING (provider))
+"""
+_REQUEST_VIEWS = ["chat_messages", "attempts", "responses", "prices"]
+ORACLES["request_ledger"] = with_views(_REQUEST_VIEWS, _REQUESTS + """
+SELECT request_id, provider, model, status, tokens_in, tokens_out, quality_score, latency_ms, CAST(cost AS DOUBLE) AS cost_usd FROM l""")
+ORACLES["request_ledger_costs"] = with_views(_REQUEST_VIEWS, _REQUESTS + """
+SELECT provider, status, count(*) AS requests, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out,
+ CAST(sum(cost) AS DOUBLE) AS cost_usd FROM l GROUP BY provider, status""")
+ORACLES["dispatch_audit"] = with_views(["hook_events"], _EVENTS + """
+SELECT event_id, tool AS tool_name, 'compaction' AS tag, 'Dispatched (tool=' || tool || ' payload_bytes=' || strlen(payload) || ')' AS text FROM ev
+WHERE regexp_matches(tool, '[Cc]ompact|[Ss]ummariz|[Cc]ompress')""")
 
 # --- memories ------------------------------------------------------------------------------
 

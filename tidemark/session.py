@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,12 +32,12 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by the cluster in spark.checkpoint.dir.
 
-    Only a local session without the setting gets a folder of its own.
+    Only a session in one process, as in tests, gets a folder of its own if the setting is missing.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="tidemark-")
     spark.conf.set("spark.checkpoint.dir", folder)
