@@ -31,7 +31,7 @@ EXAMPLES = 2048
 TERMS = 512
 #: A term of the vocabulary has this chi-square (very many terms are tried), occurs in so many examples, and so much
 #: of its occurrence is within one label when both labels are given equal weight.
-MIN_CHI2 = 25.0
+MIN_CHI2 = 30.0
 MIN_EXAMPLES = 3
 MIN_PURITY = 0.95
 BEGINNING = 5
