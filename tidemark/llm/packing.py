@@ -169,7 +169,7 @@ class Packer:
 
 def pack(
     docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = 1,
-    block_bytes: int = textkit.BLOCK_BYTES // 2, with_ids: bool = False,
+    block_bytes: int = textkit.BLOCK_BYTES, with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens.
 

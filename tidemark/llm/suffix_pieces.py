@@ -288,7 +288,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", block_bytes: int = textkit.BLOCK_BYTES // 2) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", block_bytes: int = textkit.BLOCK_BYTES) -> DataFrame:
     """One row per row: key, ids array<int>. A null text counts as empty and has no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +318,7 @@ def decode(encoded: DataFrame, model_path: str, key: str = "doc_id", ids: str =
     return encoded.select(encoded[key].alias("key"), encoded[ids].alias("ids")).mapInArrow(run, f"`{key}` {kind}, text string")
 
 
-def round_trips(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", block_bytes: int = textkit.BLOCK_BYTES // 2) -> DataFrame:
+def round_trips(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", block_bytes: int = textkit.BLOCK_BYTES) -> DataFrame:
     """One row per row: key, n_ids, ids_crc32 (little-endian unsigned 32 bits), same (decoded = text).
 
     A null text counts as empty. `same` is false only for texts that hold the model's space mark
