@@ -1,9 +1,10 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from tests.test_attempts import SCHEMA, fold, random_log
-from tidemark.session import shared_path
+from tidemark.session import shared_folder, shared_path, stage, staging
 from tidemark.sources.payloads import read_payload_stream
 from tidemark.sources.sinks import read_memories
 from tidemark.streaming import streams as T
@@ -68,3 +69,28 @@ def test_late_rows_are_dropped(spark):
     early = spark.read.parquet(f"{base}/out").filter("start < '2024-01-02'")
     assert early.count() == 24
     assert early.agg(F.max("requests")).first()[0] == 1
+
+
+def staged(spark, label):
+    folder = os.path.join(shared_folder(spark).removeprefix("file:"), "tidemark")
+    return {name for name in os.listdir(folder) if name.startswith(label)}
+
+
+def test_staged_tables_go_with_their_scope(spark):
+    with staging(spark):
+        assert stage(spark.range(3), "scoped").count() == 3
+        with staging(spark):
+            stage(spark.range(3), "scoped")
+            assert len(staged(spark, "scoped")) == 2
+        assert len(staged(spark, "scoped")) == 1
+    assert not staged(spark, "scoped")
+
+
+def test_breaker_batches_leave_nothing_staged(spark):
+    base, before = shared_path(spark, "test-breaker"), staged(spark, "ranges")
+    schema = "provider string, request_id long, chain_pos int, ts_s long, latency_ms long, status string, error string"
+    for batch in range(2):
+        spark.createDataFrame([("a", 10 * batch + i, 1, 100 * batch + i, 1, "failed", "e") for i in range(4)], schema).write.mode("append").parquet(f"{base}/in")
+        T.breaker_stream(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/state", f"{base}/checkpoint").awaitTermination()
+    assert sorted(r.streak for r in spark.read.parquet(f"{base}/out").collect()) == list(range(1, 9))
+    assert staged(spark, "ranges") == before

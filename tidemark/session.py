@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,13 +52,37 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
+_SCOPE: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
     Used where later steps must see the very same rows and partition numbers again, whatever
-    executors are lost in between. Written Parquet also keeps column pruning for those steps.
+    executors are lost in between. Written Parquet also keeps column pruning for those steps. The
+    table stays until its scope ends (`staging`); without a scope it stays for good.
     """
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Scope of staged tables: they are deleted when it ends.
+
+    Results that read them must be written inside the scope. Scopes nest; each deletes its own.
+    """
+    paths: list[str] = []
+    token = _SCOPE.set(paths)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in paths:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+

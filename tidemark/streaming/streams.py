@@ -18,7 +18,7 @@ from tidemark.operators.ledger import gate_outcomes
 from tidemark.operators.quality import score_texts
 from tidemark.operators.safety import blocked_audit, scrub_texts
 from tidemark.plans.jobs import commit_outputs
-from tidemark.session import stage
+from tidemark.session import stage, staging
 
 STATE_SCHEMA = T.StructType([
     T.StructField("provider", T.StringType()),
@@ -159,12 +159,14 @@ def breaker_stream(
         before = None
         if batch_id:
             before = spark.read.schema(STATE_SCHEMA).parquet(f"{state_path}/batch_id={batch_id - 1}")
-        streaks = stage(failure_streaks(batch, cool_off, before), "streaks")
-        after = breaker_state(streaks, cool_off).select(*STATE_SCHEMA.names)
-        if before is not None:
-            after = after.unionByName(before.join(after.select("provider"), "provider", "left_anti"))
-        streaks.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        after.write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
+        with staging(spark):
+            streaks = failure_streaks(batch, cool_off, before)
+            streaks.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            written = spark.read.schema(streaks.schema).parquet(f"{path}/batch_id={batch_id}")
+            after = breaker_state(written, cool_off).select(*STATE_SCHEMA.names)
+            if before is not None:
+                after = after.unionByName(before.join(after.select("provider"), "provider", "left_anti"))
+            after.write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
 
     return (
         attempts.writeStream.option("checkpointLocation", checkpoint)
@@ -190,10 +192,11 @@ def memory_stream(
     contexts = contexts_of(events, keep).withColumnRenamed(key, "run_id")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = stage(batch.select("run_id", "context", "project", "session_id"), "contexts")
-        outputs = model_extraction(batch, extract).withColumn("run_part", F.lit(0))
-        outputs = outputs.join(batch.select("run_id", "project", "session_id"), "run_id")
-        commit_outputs(outputs, store_path, runs_path, keep=["project", "session_id"])
+        with staging(batch.sparkSession):
+            batch = stage(batch.select("run_id", "context", "project", "session_id"), "contexts")
+            outputs = model_extraction(batch, extract).withColumn("run_part", F.lit(0))
+            outputs = outputs.join(batch.select("run_id", "project", "session_id"), "run_id")
+            commit_outputs(outputs, store_path, runs_path, keep=["project", "session_id"])
 
     return (
         contexts.writeStream.option("checkpointLocation", checkpoint)
