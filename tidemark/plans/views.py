@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark import rules
+
 TABLES = ["events", "conversations", "documents"]
 
 # Text as a JSON string body. chr(92) is a backslash: string escapes differ between engines.
@@ -16,19 +18,15 @@ _JSON_TEXT = (
     " chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
 )
 
+_PRICES = ",\n".join(
+    f" ('{name}', '{model}', {p_in}, {p_out}, {tier}, {declared}, {'CAST(NULL AS INT)' if chain is None else chain})"
+    for name, model, _, p_in, p_out, tier, declared, chain in rules.PROVIDERS
+)
+
 VIEWS = {
-    "prices": """
+    "prices": f"""
 SELECT * FROM (VALUES
- ('deepseek', 'deepseek-chat', 0.14, 0.28, 1, 1, 1),
- ('xai', 'grok-4.1-fast', 0.20, 0.50, 1, 2, 2),
- ('kimi', 'kimi-k2-turbo-preview', 0.60, 0.60, 1, 3, CAST(NULL AS INT)),
- ('openrouter', 'meta-llama/llama-3.1-70b-instruct', 0.40, 0.40, 1, 4, 3),
- ('minimax', 'MiniMax-Text-01', 0.30, 2.40, 1, 5, 4),
- ('cerebras', 'llama-3.3-70b', 0.60, 0.60, 1, 6, 5),
- ('ollama', 'qwen2.5-coder:7b', 0.00, 0.00, 1, 7, 6),
- ('anthropic', 'claude-opus-4', 15.00, 75.00, 2, 8, NULL),
- ('openai', 'gpt-4o', 2.50, 10.00, 2, 9, NULL),
- ('google', 'gemini-2.5-pro', 1.25, 10.00, 2, 10, NULL)
+{_PRICES}
 ) AS t(provider, model, price_in, price_out, tier, declared_pos, chain_pos)""",
     # Request log without costs. Every ninth request goes to a second model of its provider;
     # 'mystery' has no price, 'anthropic' only one in the second tier.

@@ -109,7 +109,7 @@ DANGEROUS_PATTERNS = [
 ]
 
 # Credentials, replaced in this order: kind, pattern, flags, replacement. A replacement may refer
-# to groups as $1; "value" is the group holding the secret itself (0 = the whole match).
+# to groups as $1; the last entry is the group holding the secret itself (0 = the whole match).
 CREDENTIAL_RULES = [
     ("sk", r"\bsk-[a-zA-Z0-9_-]{20,}\b", "", "[REDACTED_API_KEY]", 0),
     ("sk_live", r"\bsk_live_[a-zA-Z0-9_-]{20,}\b", "", "[REDACTED_API_KEY]", 0),
