@@ -1,6 +1,7 @@
 """Ranked search against SQLite's full-text index over the same rows."""
 
 import random
+import re
 import sqlite3
 
 import pytest
@@ -125,3 +126,49 @@ def test_plan_has_no_cross_join(spark, index):
     queries = spark.createDataFrame([(1, "a b", "any")], "query_id int, query string, mode string")
     plan = R.ranked(index, queries)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_unknown_modes_are_refused(spark, index):
+    queries = spark.createDataFrame([(1, "a b", "every")], "query_id int, query string, mode string")
+    with pytest.raises(Exception, match="unknown search mode"):
+        R.ranked(index, queries).collect()
+
+
+def test_an_index_grows_by_appends(spark, memories, index):
+    path = shared_path(spark, "test-index")
+    for part in range(3):
+        R.append_to_index(memories.filter(F.col("mem_id") % 3 == part), path)
+    queries = spark.createDataFrame(
+        [(1, "running data", "any"), (2, "con", "prefix"), (3, "data base", "phrase")], "query_id int, query string, mode string")
+    assert R.ranked(R.read_index(spark, path), queries).collect() == R.ranked(index, queries).collect()
+
+
+def test_many_results_are_cut_in_two_steps(spark, index, monkeypatch):
+    queries = spark.createDataFrame([(1, "the of data", "any")], "query_id int, query string, mode string")
+    plain = R.ranked(index, queries, 20).collect()
+    monkeypatch.setattr(R, "_GROUP_LIMIT", 5)
+    assert R.ranked(index, queries, 20).collect() == plain
+
+
+def test_a_search_reads_the_folders_of_its_tokens(spark, index):
+    queries = spark.createDataFrame([(1, "running", "all")], "query_id int, query string, mode string")
+    asked = R.plan_queries(index, queries)
+    assert 0 < len(asked.buckets) < R.BUCKETS
+    plan = R.unit_counts(index, asked)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+
+
+def test_any_key_will_do(spark, memories):
+    renamed = memories.select(F.sha2(F.col("mem_id").cast("string"), 256).alias("commit_hash"), "category", "subcategory", "content", "importance", "project")
+    queries = spark.createDataFrame([(1, "running", "all")], "query_id int, query string, mode string")
+    hits = R.search(renamed, queries, key="commit_hash").collect()
+    assert hits and all("run" in r.content for r in hits)
+
+
+def test_fallback_takes_queries_without_tokens(spark, memories):
+    queries = spark.createDataFrame([(1, "data base", "all"), (2, "!!! data", "all"), (3, "% the", "any")], "query_id int, query string, mode string")
+    assert {r.query_id for r in R.fallback_queries(queries).collect()} == {2, 3}
+    hits = R.search_like_all(memories, queries, 5)
+    for i, text in ((1, "data base"), (2, "!!! data"), (3, "% the")):
+        one = [r.mem_id for r in R.search_like(memories, text, limit=5).collect()]
+        assert [r.mem_id for r in hits.filter(F.col("query_id") == i).orderBy("place").collect()] == one

@@ -1,5 +1,6 @@
 """Quality gate and safety columns against Python's re and plain Python rules."""
 
+import json
 import re
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import rules
 from tidemark.functions import safety as S
+from tidemark.functions.hooks import spaced_json
 from tidemark.operators.quality import score_texts
 from tidemark.operators.safety import safety_hits, safety_verdicts, scrub_texts, secret_inventory
 
@@ -130,3 +132,21 @@ def test_placeholders_and_masks(spark):
     got = df.select("c", S.is_placeholder(F.col("c")).alias("p"), S.masked(F.col("c")).alias("m")).collect()
     assert {r.c: r.p for r in got} == cases
     assert {r.c: r.m for r in got}["abcd1234efgh5678ijkl"] == "abcd...ijkl" and {r.c: r.m for r in got}["short"] == "****"
+
+
+def test_json_spelling(spark):
+    """Compact JSON gets the separators of the usual text form, outside strings only."""
+    values = [
+        {"a": 1, "b": [1, 2, {"c": "x:y,z"}]}, {"q": 'say "hi", ok: yes', "e": "", "back": "a\\", "n": None}, {"é": "ü,:"}, {}, {"a": {}}, [1, "x"], "a,b",
+        {"k": "\\\",:"},
+    ]
+    rows = [(json.dumps(v, separators=(",", ":"), ensure_ascii=False), json.dumps(v, ensure_ascii=False)) for v in values]
+    got = spark.createDataFrame(rows, "compact string, wanted string").select(spaced_json(F.col("compact")).alias("got"), "wanted").collect()
+    assert [r.got for r in got] == [r.wanted for r in got]
+
+
+def test_null_text_counts_as_empty(spark):
+    texts = spark.createDataFrame([(1, None), (2, "")], "id int, text string")
+    scores = {r.id: (r.score, r.passed) for r in score_texts(texts).collect()}
+    assert scores[1] == scores[2] == (0.5, True)
+    assert {(r.text, r.changed) for r in scrub_texts(texts).collect()} == {("", False)}

@@ -155,10 +155,11 @@ def query_units(queries: DataFrame, stem: bool = True) -> DataFrame:
 
 @dataclass
 class QueryPlan:
-    """Query units, written once, and the corpus tokens that satisfy them."""
+    """Query units, written once, the corpus tokens that satisfy them, and those tokens' folders."""
 
     units: DataFrame
     tokens: DataFrame
+    buckets: list[int]
 
 
 def plan_queries(index: MemoryIndex, queries: DataFrame, stem: bool = True) -> QueryPlan:
@@ -178,7 +179,9 @@ def plan_queries(index: MemoryIndex, queries: DataFrame, stem: bool = True) -> Q
         .select("token", F.substr("_stem", F.lit(1), F.col("_len")).alias("stem"))
     )
     found = units.filter(~F.col("prefix")).join(vocabulary, "stem").unionByName(prefixes.join(begun, "stem"))
-    return QueryPlan(units, stage(found.withColumn("bucket", bucket_of(F.col("token"))), "query-tokens"))
+    wanted = stage(found.withColumn("bucket", bucket_of(F.col("token"))), "query-tokens")
+    # At most BUCKETS numbers: they let the scan of the postings pass over the other folders.
+    return QueryPlan(units, wanted, [row["bucket"] for row in wanted.select("bucket").distinct().collect()])
 
 
 def unit_counts(index: MemoryIndex, plan: QueryPlan) -> DataFrame:
@@ -189,7 +192,7 @@ def unit_counts(index: MemoryIndex, plan: QueryPlan) -> DataFrame:
     agree: counting those needs no self-join.
     """
     names = F.array(*[F.lit(name) for name in COLUMNS])
-    postings = index.postings.select(
+    postings = index.postings.filter(F.col("bucket").isin(plan.buckets)).select(
         "bucket", "token", "mem_id", "n_tokens", F.col("project").alias("_project"), F.col("category").alias("_category"),
         "no", "positions")
     hits = postings.join(plan.tokens, ["bucket", "token"]).filter(
