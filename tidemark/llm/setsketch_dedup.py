@@ -229,7 +229,7 @@ def _links(docs: DataFrame, families: DataFrame, classes: DataFrame, width: int,
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     placed = (
         families.join(size, "family").withColumn("blocks", n_blocks).withColumn("block", block)
-        .join(classes.select("doc_id", "registers", "copies"), "doc_id")
+        .join(classes.select("doc_id", "registers"), "doc_id")
         .select("doc_id", "family", "blocks", "block", "registers"))
     texts = docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).join(placed, "doc_id")
 
@@ -272,8 +272,7 @@ def near_duplicates(
     bands, rows = banding(num / den)
     all_rows = stage(sketched(docs, width, bands, rows, key, text), "sketches")
     classes = all_rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(
-        F.min_by(F.struct("doc_id", "n_shingles", "bands", "registers"), "doc_id").alias("c"), F.count(F.lit(1)).alias("copies"),
-    ).select("digest", "c.*", "copies")
+        F.min_by(F.struct("doc_id", "n_shingles", "bands", "registers"), "doc_id").alias("c")).select("digest", "c.*")
     classes = stage(classes, "classes")
     families = stage(_families(classes, bands * rows), "families")
     found = _links(docs, families, classes, width, bands * rows, num, den, key, text)

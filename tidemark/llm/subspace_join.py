@@ -181,7 +181,7 @@ def _pairs_of(group: pd.DataFrame, turns: dict, cosine: float) -> tuple[np.ndarr
             a, b = i[at : at + 65_536], j[at : at + 65_536]
             linked = (x[a] * x[b]).sum(1) >= cosine
             a, b = a[linked], b[linked]
-            apart = np.square(((x[a] - x[b])[:, :, None] * axes[None]).sum(1)) if False else np.square((x[a] - x[b]) @ axes)
+            apart = np.square((x[a] - x[b]) @ axes)
             inside = np.stack([apart[:, p].sum(1) <= budget * s + SLACK for p, s in zip(parts, shares, strict=True)], axis=1)
             first = np.argmax(inside, axis=1) == part
             found_i.append(a[first])
