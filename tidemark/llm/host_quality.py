@@ -31,7 +31,11 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 
 
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.diff(np.append(0, np.cumsum(flags))[offsets])
+    """How many bytes of each text are flagged, without an integer per byte."""
+    out, filled = np.zeros(len(offsets) - 1, np.int64), np.diff(offsets) > 0
+    if filled.any():
+        out[filled] = np.add.reduceat(flags, offsets[:-1][filled], dtype=np.int64)
+    return out
 
 
 def _repeat_words(hashes: np.ndarray) -> int:

@@ -157,7 +157,7 @@ def space_segments(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.
     first[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(first)
     bounds = np.append(starts, len(data))
-    return binary_array(data[~cut], bounds - np.append(0, np.cumsum(cut))[bounds]), np.searchsorted(starts, offsets)
+    return binary_array(data[~cut], bounds - np.searchsorted(np.flatnonzero(cut), bounds)), np.searchsorted(starts, offsets)
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
