@@ -219,13 +219,16 @@ def test_line_windows(spark, sf_dir):
     assert Counter((r.doc_id, r.text) for r in line_windows.dedup_lines(twice).collect()) == Counter({(1, "a\nb\nc"): 2, (None, "a\nb\nc"): 1, (2, "d"): 1})
 
 
-def test_line_windows_check_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_check_sql(spark, sf_dir, name):
     duck = duckdb.connect()
     duck.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
-    want = duck.execute(queries.ORACLES["op4_line_windows"])
+    want = duck.execute(queries.ORACLES[name])
     names = [d[0] for d in want.description]
     want = Counter(want.fetchall())
-    assert Counter(tuple(r[n] for n in names) for r in queries.op4_line_windows(spark, sf_dir).collect()) == want
+    result = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(names) == sorted(result.columns)
+    assert Counter(tuple(r[n] for n in names) for r in result.collect()) == want
 
 
 # Operator 5

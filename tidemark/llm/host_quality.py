@@ -166,3 +166,42 @@ def kept_documents(docs: DataFrame, host: str = "source", text: str = "text", li
             yield block.filter(pa.array(~((n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words))))
 
     return docs.mapInArrow(run, docs.schema).join(rejected, host, "left_anti").select(*docs.columns)
+
+
+ORACLE = """
+with d as (
+  select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents
+), lines as (
+  select doc_id, line, row_number() over (partition by doc_id, line order by i) as k
+  from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from d)
+), dups as (
+  select doc_id, count(*) as n_dup_lines from lines where k > 1 and regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by doc_id
+), windows as (
+  select doc_id, i, array_to_string(ws[i + 1 : i + 8], ' ') as body from (select doc_id, ws, unnest(range(len(ws) - 7)) as i from d where len(ws) > 7)
+), again as (
+  select doc_id, i, count(*) over (partition by doc_id, body) as n from windows
+), repeats as (
+  select doc_id, count(distinct i + j) as n_repeat_words from again, range(8) r(j) where n > 1 group by doc_id
+), figures as (
+  select d.doc_id, d.source, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+    coalesce(n_repeat_words, 0)::bigint as n_repeat_words
+  from d left join dups using (doc_id) left join repeats using (doc_id)
+), judged as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from figures
+), hosts as (
+  select source, count(*)::double as n, count(*) filter (base_failed)::double as x from judged where source is not null group by source
+), sums as (
+  select count(*)::double as k, sum(n) as n1, sum(n * n) as n2, sum(x) as x1, sum(x * x / n) as xx from hosts
+), spread as (
+  select *, x1 / n1 as mean, (n1 - n2 / n1) / greatest(k - 1, 1) as size,
+    (xx - x1 * x1 / n1) / greatest(k - 1, 1) - (x1 - xx) / greatest(n1 - k, 1) as surplus from sums
+), prior as (
+  select mean, case when size > 0 and surplus > 0 then greatest(mean * (1 - mean) / (surplus / size) - 1, 1) else n1 / k end as weight from spread
+), rates as (
+  select source, (x + mean * weight) / (n + weight) as rate from hosts, prior
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) as host_rate,
+  not base_failed and coalesce(rate, 0) < 0.6 as kept
+from judged left join rates using (source)
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import (
     host_links,
@@ -61,7 +62,7 @@ def op9_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return host_quality.judge(docs).select("doc_id", *host_quality.FIGURES, "base_failed", "host_rate", "kept")
+    return host_quality.judge(docs).select("doc_id", *host_quality.FIGURES, "base_failed", F.round("host_rate", 6).alias("host_rate"), "kept")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,4 @@ QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_host_links, op3_setsketch_dedup, op4_line_windows, op5_subspace_join,
     op6_toxicity, op7_pii_votes, op8_packing, op9_suffix_pieces, op10_host_quality, pipeline,
 )}
-ORACLES = {"op4_line_windows": line_windows.ORACLE}
+ORACLES = {"op4_line_windows": line_windows.ORACLE, "op10_host_quality": host_quality.ORACLE}
