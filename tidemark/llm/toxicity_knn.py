@@ -100,6 +100,23 @@ def _term_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, terms array<int>, counts array<int>")
 
 
+def _document_frequencies(counted: DataFrame, width: int) -> np.ndarray:
+    """In how many documents each term of the vocabulary occurs; each task adds up its own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=width)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], ["t", "n"])
+
+    frequency = np.zeros(width)
+    if width:
+        for row in counted.select("terms").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
+            frequency[row["t"]] = row["n"]  # at most one row per term of the vocabulary
+    return frequency
+
+
 def _vectors(terms: list, counts: list, idf: np.ndarray) -> np.ndarray:
     """Unit TF-IDF vectors, dense over the vocabulary; zero for a row without terms."""
     out = np.zeros((len(terms), len(idf)))
@@ -219,11 +236,7 @@ def score(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES, terms:
     examples, share = _examples(docs, labels, per_label)
     vocabulary = _vocabulary(examples, terms)
     counted = stage(_term_counts(docs, vocabulary), "term-counts")
-    frequency = np.zeros(len(vocabulary))
-    for row in counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():
-        frequency[row["t"]] = row["n"]  # at most one row per term of the vocabulary
-    total = counted.count()
-    idf = np.log((1 + total) / (1 + frequency))
+    idf = np.log((1 + counted.count()) / (1 + _document_frequencies(counted, len(vocabulary))))
     sample = _term_counts(examples, vocabulary).join(examples.select("doc_id", "toxic"), "doc_id").orderBy("doc_id").collect() if vocabulary else []
     index = BlockMaxIndex([r["doc_id"] for r in sample], np.array([r["toxic"] for r in sample], float), _vectors([r["terms"] for r in sample], [r["counts"] for r in sample], idf))
     slope, offset = _curve(index, share, nearest)
