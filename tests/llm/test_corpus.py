@@ -169,6 +169,22 @@ def test_near_duplicates_odd_tables(spark, near_docs):
     assert [r for r in got if r[0] is not None] == [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False)]
 
 
+def test_near_copies_under_a_distant_hub(spark, monkeypatch):
+    """Near copies meet though the smallest id of all their buckets is a far longer, distant document."""
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 2**40, n)]
+    common, texts = word(80), {}
+    texts |= {i: " ".join(common + word(420)) for i in range(4)}
+    for pair in range(6):
+        own = word(22)
+        texts[100 + 2 * pair], texts[101 + 2 * pair] = " ".join(common + own), " ".join(common + own[:-4] + word(4))
+    sketched = setsketch_dedup.sketched
+    monkeypatch.setattr(setsketch_dedup, "sketched", lambda *args: sketched(*args).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setsketch_dedup.near_duplicates(docs, 3, 85, 100).collect()}
+    assert got == near_by_hand(texts, 3, 85, 100) and got[101][1] == 100
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(2)
     values = rng.integers(0, 2**63, 3000, dtype=np.uint64)

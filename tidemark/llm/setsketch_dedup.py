@@ -5,9 +5,10 @@
    BASE, of the minimum of exponential values over the set, so registers are exponentially
    spaced. The registers of a union are the element-wise maximum of the parts' (`merged`).
 2. Documents with equal sets (equal digests) form a class; only its smallest doc_id goes on.
-3. Bands of registers are hashed. Classes of one bucket are linked to the bucket's smallest class;
-   pairs whose registers rule out a distant relation are dropped. The connected components
-   of these candidate links are families: every two classes that share a bucket are in one family.
+3. Bands of registers are hashed, and each bucket is cut into overlapping ranges of set sizes. All
+   classes of one range are linked to its smallest class. The connected components of these candidate
+   links are families: every two classes that share a band, and whose sizes do not rule out the
+   threshold, are in one family, whatever else the bucket holds.
 4. Families are split into blocks of at most BLOCK_MEMBERS classes. A task gets one pair of blocks
    and walks the link graph breadth-first: each newly reached class is compared with those not
    yet reached, first by the joint likelihood of the registers, then exactly on the full sets.
@@ -38,8 +39,6 @@ RATE = 20.0
 TOP = 65_534
 #: Log likelihood ratio beyond which registers rule a similarity out.
 CERTAIN = 25.0
-#: Families are not tied together by links that are certainly less similar than this.
-DISTANT = 0.25
 BLOCK_MEMBERS = 1024
 MAX_MISS = 1e-6
 
@@ -149,25 +148,20 @@ def _band_keys(regs: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _families(classes: DataFrame, registers: int) -> DataFrame:
-    """(doc_id, family) of the classes that share a bucket with another one."""
-    entries = classes.select("doc_id", F.explode("bands").alias("bucket"))
-    hubs = entries.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = entries.join(hubs, "bucket").where("doc_id <> hub").select("doc_id", "hub").distinct()
-    sides = classes.select("doc_id", "n_shingles", "registers")
-    pairs = pairs.join(sides, "doc_id").join(
-        sides.select(F.col("doc_id").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("registers").alias("hub_registers")), "hub")
-
-    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a = _matrix(batch.column("registers"), registers)
-            b = _matrix(batch.column("hub_registers"), registers)
-            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_shingles", "hub_n"))
-            yield batch.select(["doc_id", "hub"]).filter(pa.array(may_reach(a, b, n, m, DISTANT)))
+def _families(classes: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, family) of the classes that share a bucket with another one of about their size.
 
-    kind = classes.schema["doc_id"].dataType.simpleString()
-    close = pairs.select("doc_id", "hub", "n_shingles", "hub_n", "registers", "hub_registers").mapInArrow(plausible, f"doc_id {kind}, hub {kind}")
-    return components(close.toDF("a", "b")).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    Sizes are cut into steps of a factor 1 / similarity, and a class enters each bucket under its own
+    step and the next one: two sets that can be similar enough share at least one of the two.
+    """
+    # Slightly wider than the threshold, so that rounding never parts two sets by two steps.
+    width = max(-np.log(similarity), 1e-6) * (1 + 1e-9)
+    step = F.floor(F.log("n_shingles") / F.lit(float(width)))
+    keys = F.flatten(F.transform("bands", lambda band: F.array(F.xxhash64(band, step), F.xxhash64(band, step + 1))))
+    entries = classes.select("doc_id", F.explode(keys).alias("bucket"))
+    hubs = entries.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = entries.join(hubs, "bucket").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    return components(pairs).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
 
 
 def _matrix(column, registers: int) -> np.ndarray:
@@ -274,7 +268,7 @@ def near_duplicates(
     classes = all_rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(
         F.min_by(F.struct("doc_id", "n_shingles", "bands", "registers"), "doc_id").alias("c")).select("digest", "c.*")
     classes = stage(classes, "classes")
-    families = stage(_families(classes, bands * rows), "families")
+    families = stage(_families(classes, num / den), "families")
     found = _links(docs, families, classes, width, bands * rows, num, den, key, text)
     merged_ids = components(found)
     roots = classes.select("digest", "doc_id").join(
