@@ -1,4 +1,4 @@
-"""Operator 6: toxicity from the nearest labelled examples by exact TF-IDF cosine.
+"""Operator 6: toxicity from the nearest labelled examples by TF-IDF cosine over a selected vocabulary.
 
 1. Examples: a bounded sample of the labelled training rows, EXAMPLES per label (those with the
    smallest hash of their id). Rows with crc32(doc_id as text) mod 5 = 0 are never examples.
