@@ -60,6 +60,10 @@ _LOOSE = [
     re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\)|00[0-9]{1,3}|0[0-9]{1,4}|[0-9]{3})[\x20./-][0-9]{2,4}(?:[\x20./-][0-9]{2,4}){1,3}(?![0-9A-Za-z])"),
 ]
 _NUMERIC = re.compile("[0-9]")
+#: What every match of the first loose pattern holds, and the texts that can have any span: digits, @, or such a mark.
+_AT = re.compile(r"[(\[]at[)\]]|\sat\s", re.I)
+_SPACE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\p{Z}]"  # Python's white space, in RE2
+_SOME = rf"[0-9@]|(?i:[(\[]at[)\]]|{_SPACE}at{_SPACE})"
 
 
 def luhn(digits: str) -> bool:
@@ -101,10 +105,9 @@ def proposed_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[in
     taken = sorted((s, e) for _, s, e in base)
     starts = [s for s, _ in taken]
     found = []
-    lower = text.lower()
     numeric = _NUMERIC.search(text) is not None
     for kind, pattern in enumerate(_LOOSE):
-        if kind == 0 and not ("(at)" in lower or "[at]" in lower or " dot " in lower or "(dot)" in lower) or kind > 0 and not numeric or kind == 1 and ":" not in text:
+        if kind == 0 and not _AT.search(text) or kind > 0 and not numeric or kind == 1 and ":" not in text:
             continue
         for m in pattern.finditer(text):
             i = np.searchsorted(starts, m.end()) - 1
@@ -159,7 +162,7 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in textkit.blocks(batches, "text"):
             texts = pc.fill_null(block.column("text"), "")
-            some = pc.match_substring_regex(texts, r"[0-9@]|(?i:[(\[](?:at|dot)[)\]]| dot )").to_pylist()
+            some = pc.match_substring_regex(texts, _SOME).to_pylist()
             base, more = [[] for _ in some], [[] for _ in some]
             for i in np.flatnonzero(some):
                 own = texts[int(i)].as_py()
@@ -277,7 +280,7 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in textkit.blocks(batches, text):
             texts = block.column(text)
-            some = pc.fill_null(pc.match_substring_regex(texts, r"[0-9@]|(?i:[(\[](?:at|dot)[)\]]| dot )"), False).to_pylist()
+            some = pc.fill_null(pc.match_substring_regex(texts, _SOME), False).to_pylist()
             new = texts.to_pylist()
             for i in np.flatnonzero(some):
                 own = new[i]
