@@ -201,14 +201,6 @@ def test_added_spans_and_masks(spark):
     assert texts[200] == rows[-3][1] and texts[201] is None and texts[202] == ""
 
 
-def test_spelt_out_addresses_are_proposed_by_their_own_form(spark):
-    forms = ["jane at example[dot]com", "jane at example.com", "jane\u00a0at\u00a0example.com", "JANE [AT] example.com", "jane\tat\texample(dot)com"]
-    for form in forms:
-        assert pii_votes.proposed_spans(form, []) == [(0, 0, len(form))]
-    docs = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
-    assert all(len(r.more) == 1 for r in pii_votes.scan(docs, "doc_id", "text").collect())
-
-
 def test_em_trusts_the_reliable_labelers():
     """Votes drawn from known reliabilities: EM finds the classes and the tables again."""
     rng = np.random.default_rng(6)
