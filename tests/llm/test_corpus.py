@@ -238,7 +238,8 @@ def test_line_windows(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_check_sql(spark, sf_dir, name):
     duck = duckdb.connect()
-    duck.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    for table in ("documents", "conversations", "benchmark"):
+        duck.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     want = duck.execute(queries.ORACLES[name])
     names = [d[0] for d in want.description]
     want = Counter(want.fetchall())

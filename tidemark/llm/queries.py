@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from tidemark.llm import (
     host_links,
     host_quality,
+    language_id,
     line_windows,
     packing,
     pii_votes,
+    prefix_trie,
+    ranked_search,
     setsketch_dedup,
     subspace_join,
     suffix_pieces,
@@ -65,6 +68,19 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.judge(docs).select("doc_id", *host_quality.FIGURES, "base_failed", F.round("host_rate", 6).alias("host_rate"), "kept")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(_table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, _table(spark, sf_dir, "benchmark"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_languages(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,6 +89,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_host_links, op3_setsketch_dedup, op4_line_windows, op5_subspace_join,
-    op6_toxicity, op7_pii_votes, op8_packing, op9_suffix_pieces, op10_host_quality, pipeline,
+    op6_toxicity, op7_pii_votes, op8_packing, op9_suffix_pieces, op10_host_quality, op11_prefix_trie,
+    op12_ranked_search, op13_language_id, pipeline,
 )}
-ORACLES = {"op4_line_windows": line_windows.ORACLE, "op10_host_quality": host_quality.ORACLE}
+ORACLES = {
+    "op4_line_windows": line_windows.ORACLE, "op10_host_quality": host_quality.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE, "op12_ranked_search": ranked_search.ORACLE,
+}
