@@ -27,6 +27,8 @@ from tidemark.session import stage
 DIMS = 1 << 12
 #: The classifier of a pair of languages is fitted on at most this many rows of each.
 EXAMPLES = 1000
+#: They are drawn in so many equal parts, by hash, so that no task sees all texts of a language.
+PARTS = 20
 #: Languages (distinct labels) a model may have; more are refused.
 MAX_LANGUAGES = 256
 UNKNOWN = "und"
@@ -231,8 +233,8 @@ class Model:
 def fit(docs: DataFrame, examples: int = EXAMPLES) -> Model:
     """The model learned from (text, lang) of docs: rows with null text or lang, or without letters, teach nothing.
 
-    The family model counts all rows; machines see at most `examples` rows per language, those with
-    the least hash of (text, lang), each distinct hash once.
+    The family model counts all rows; machines see at most `examples` rows per language: in each of
+    `PARTS` parts by hash of (text, lang) those with the least hash, each distinct hash once.
     """
     rows = docs.select(F.col("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = _language_counts(rows)
@@ -240,8 +242,8 @@ def fit(docs: DataFrame, examples: int = EXAMPLES) -> Model:
         raise ValueError(f"{len(counts)} languages; at most {MAX_LANGUAGES} can be learned")
     family = families(counts)
     hashed = rows.withColumn("number", F.xxhash64("text", "lang"))
-    least = hashed.groupBy("lang", "number").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "place", F.row_number().over(Window.partitionBy("lang").orderBy("number"))).where(F.col("place") <= examples)
+    part = Window.partitionBy("lang", F.pmod("number", F.lit(PARTS))).orderBy("number")
+    least = hashed.select("lang", "number").distinct().withColumn("place", F.row_number().over(part)).where(F.col("place") <= max(1, examples // PARTS))
     picked = hashed.join(F.broadcast(least.select("lang", "number")), ["lang", "number"], "left_semi")
     return Model(counts, family, _pair_models(picked, family))
 
