@@ -20,9 +20,9 @@ from tidemark.operators import memories as M
 from tidemark.operators import messages as C
 from tidemark.operators import pricing as P
 from tidemark.operators import quality as Q
+from tidemark.operators import requests as N
 from tidemark.operators import safety as S
 from tidemark.operators import search as R
-from tidemark.plans import jobs
 from tidemark.plans.jobs import commit_outputs, log_access, with_access
 from tidemark.plans.views import VIEWS, view
 from tidemark.session import shared_path
@@ -161,19 +161,27 @@ def unknown_providers(spark, sf_dir):
     return found.select("request_id", "target_provider", "status")
 
 
+def _timed(spark, sf_dir, name, at):
+    """A view with its seconds as a timestamp."""
+    return view(spark, sf_dir, name).withColumn(f"{at}_at", F.timestamp_seconds(f"{at}_s"))
+
+
+def _last_position() -> int:
+    return max(position for *_, position in rules.PROVIDERS if position)
+
+
 def _request_ledger(spark, sf_dir):
-    prices = default_providers(spark)
-    last = max(position for *_, position in rules.PROVIDERS if position)
-    responses = view(spark, sf_dir, "responses").filter("turn = 0")
-    return jobs.request_ledger(view(spark, sf_dir, "chat_messages"), view(spark, sf_dir, "attempts"), responses, prices, last)
+    return N.request_ledger(
+        _timed(spark, sf_dir, "turn_requests", "asked"), view(spark, sf_dir, "turn_messages"), _timed(spark, sf_dir, "turn_attempts", "tried"),
+        _timed(spark, sf_dir, "turn_replies", "replied"), default_providers(spark), _last_position())
 
 
-LEDGER_COLUMNS = ["provider", "model", "status", "tokens_in", "tokens_out", "quality_score", "latency_ms"]
+LEDGER_COLUMNS = ["provider", "model", "status", "tokens_in", "tokens_out", "quality_score", "latency_ms", "role"]
 
 
 @query
 def request_ledger(spark, sf_dir):
-    """Stored messages, attempts and responses as ledger rows."""
+    """Stored messages, attempts and replies of every turn as ledger rows."""
     return _request_ledger(spark, sf_dir).select("request_id", *LEDGER_COLUMNS, F.col("cost_usd").cast("double").alias("cost_usd"))
 
 
@@ -635,6 +643,46 @@ def stream_rolling_cost(spark, sf_dir):
     )
 
 
+def arriving_together(sources: dict[str, tuple[DataFrame, str, str]], path: str, start: Callable[..., StreamingQuery]) -> None:
+    """Let several tables arrive in STREAM_BATCHES parts of the same times, and then one heartbeat in each.
+
+    sources: name -> (rows, event time column, column of the second at which a row is seen).
+    """
+    bounds = [rows.agg(F.min(seen), F.max(seen)).first() for rows, _, seen in sources.values()]
+    first, last = min(low for low, _ in bounds), max(high for _, high in bounds)
+    for number in range(STREAM_BATCHES + 1):
+        streams = []
+        for name, (rows, at, seen) in sources.items():
+            spark = rows.sparkSession
+            part = F.least(F.floor((F.col(seen) - first) * STREAM_BATCHES / F.lit(max(last - first, 1))), F.lit(STREAM_BATCHES - 1))
+            if number < STREAM_BATCHES:
+                arrived = rows.filter(part == number)
+            else:
+                beat = spark.range(1).select(F.lit(N.HEARTBEAT).alias("request_id"), F.timestamp_seconds(F.lit(last + 10 * N.REPLY_SECONDS)).alias(at))
+                arrived = rows.limit(0).unionByName(beat, allowMissingColumns=True)
+            arrived.write.mode("append").parquet(f"{path}/{name}")
+            streams.append(spark.readStream.schema(rows.schema).parquet(f"{path}/{name}"))
+        start(*streams).awaitTermination()
+
+
+@query
+def stream_ledger(spark, sf_dir):
+    """S4 as a stream: requests, attempts and replies joined as they arrive; rows up to 400 seconds late."""
+    out, providers = shared_path(spark, "stream"), default_providers(spark)
+    bodies = view(spark, sf_dir, "turn_messages").select("request_id", F.array("content").alias("messages"))
+    late = F.pmod(F.xxhash64("request_id"), F.lit(5)) * 100
+    requests = _timed(spark, sf_dir, "turn_requests", "asked").drop("conv_id", "turn", "number").join(bodies, "request_id")
+    sources = {
+        "requests": (requests.withColumn("seen_s", F.col("asked_s") + late), "asked_at", "seen_s"),
+        "attempts": (_timed(spark, sf_dir, "turn_attempts", "tried").withColumn("seen_s", F.col("tried_s") + late), "tried_at", "seen_s"),
+        "replies": (_timed(spark, sf_dir, "turn_replies", "replied").withColumn("seen_s", F.col("replied_s")), "replied_at", "seen_s"),
+    }
+    arriving_together(sources, f"{out}/source", lambda asked, tried, replied: T.ledger_stream(
+        N.ledger_facts(asked, tried, replied, providers, _last_position()), f"{out}/ledger", f"{out}/checkpoint"))
+    return read_ledger(spark, f"{out}/ledger").select(
+        F.col("id").alias("request_id"), *LEDGER_COLUMNS, F.col("cost_usd").cast("double").alias("cost_usd"))
+
+
 @query
 def stream_breaker(spark, sf_dir):
     """The attempts view needs a window, which no stream offers: its rows are written, then streamed."""

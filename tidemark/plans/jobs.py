@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from tidemark import rules, schemas
 from tidemark.operators.extraction import parsed_items
 from tidemark.operators.memories import RUN_KEYS, committed_memories, run_summary
-from tidemark.operators.attempts import request_outcomes
-from tidemark.operators.messages import canonical_responses, flatten_messages
-from tidemark.operators.pricing import priced
-from tidemark.operators.safety import safety_verdicts
 from tidemark.operators.search import append_to_index
 from tidemark.session import stage
 from tidemark.sources.sinks import append_memories, append_runs, memory_rows, read_memories
@@ -69,35 +65,6 @@ def commit_outputs(
     return first
 
 
-def request_ledger(messages: DataFrame, attempts: DataFrame, responses: DataFrame, providers: DataFrame, last_pos: int) -> DataFrame:
-    """From stored requests to ledger rows: X1, W1, P3-P7 with Q5 and X2, J3/J4, P8.
-
-    messages: request_id, turn, role, content. attempts: see request_outcomes. responses: one stored
-    response per request. A request with a dangerous command is blocked; without a success, or
-    without a response, it failed; a response below the pass mark is rejected. Only successes
-    count tokens. The result has request_id besides the columns that append_ledger takes.
-    """
-    safe = safety_verdicts(flatten_messages(messages)).select("request_id", "safe")
-    tried = request_outcomes(attempts, last_pos).select("request_id", "provider", F.col("status").alias("_tried"), "latency_ms")
-    replied = canonical_responses(responses).select(
-        "request_id", F.col("message.model").alias("model"), "tokens_in", "tokens_out", "passed", "score")
-    status = (
-        F.when(~F.col("safe"), "blocked")
-        .when(~F.col("_tried").eqNullSafe("success") | F.col("passed").isNull(), "failed")
-        .when(~F.col("passed"), "rejected").otherwise("success")
-    )
-    rows = safe.join(tried, "request_id", "left").join(replied, "request_id", "left").withColumn("status", status)
-    answered, paid = F.col("status").isin("success", "rejected"), F.col("status") == "success"
-    zero = F.lit(0).cast("long")
-    return priced(rows.select(
-        "request_id", "status", F.when(answered, F.col("provider")).otherwise("none").alias("provider"),
-        F.when(answered, F.col("model")).otherwise("none").alias("model"),
-        *[F.when(paid, F.col(name)).otherwise(zero).alias(name) for name in ("tokens_in", "tokens_out")],
-        F.when(answered, F.col("score")).otherwise(F.lit(0.0)).alias("quality_score"),
-        F.when(answered, F.col("latency_ms")).otherwise(zero).alias("latency_ms"),
-    ), providers)
-
-
 def log_access(hits: DataFrame, path: str, key: str = "mem_id") -> None:
     """Append one row per memory found; the memories themselves are not rewritten."""
     hits.groupBy(key).agg(F.count(F.lit(1)).alias("hits")).withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)

@@ -314,23 +314,35 @@ _CANON = """
  coalesce(nullif(p, 0), i, 0) AS tokens_in, coalesce(nullif(c, 0), o, 0) AS tokens_out, passed, clean <> body AS scrubbed FROM u)
 """
 ORACLES["canonical_responses"] = with_views(["responses"], _CANON + "SELECT * EXCLUDE (score) FROM canon")
-_REQUESTS = _FLAT + _HITS + _FIRST + _CANON + """
+_REQUESTS = _FLAT + _HITS + _CANON + """
 , price AS (SELECT provider, arg_min(price_in, tier) AS price_in, arg_min(price_out, tier) AS price_out FROM prices GROUP BY provider)
-, j AS (SELECT m.request_id, f.provider AS won_by, f.latency_ms, c.model, c.tokens_in AS ti, c.tokens_out AS tout, c.score,
-  CASE WHEN m.request_id IN (SELECT request_id FROM hits) THEN 'blocked' WHEN f.status IS DISTINCT FROM 'success' OR c.passed IS NULL THEN 'failed'
-   WHEN NOT c.passed THEN 'rejected' ELSE 'success' END AS status
- FROM (SELECT DISTINCT request_id FROM flat) m LEFT JOIN first f ON f.request_id = m.request_id
- LEFT JOIN (SELECT * FROM canon WHERE turn = 0) c ON c.request_id = m.request_id)
-, k AS (SELECT request_id, status, CASE WHEN status IN ('success', 'rejected') THEN won_by ELSE 'none' END AS provider,
-  CASE WHEN status IN ('success', 'rejected') THEN model ELSE 'none' END AS model, CASE WHEN status = 'success' THEN ti ELSE 0 END AS tokens_in,
-  CASE WHEN status = 'success' THEN tout ELSE 0 END AS tokens_out, CASE WHEN status IN ('success', 'rejected') THEN score ELSE 0e0 END AS quality_score,
-  CASE WHEN status IN ('success', 'rejected') THEN latency_ms ELSE 0 END AS latency_ms FROM j)
+, known AS (SELECT provider, arg_min(model, declared_pos) AS model FROM prices WHERE tier = 1 GROUP BY provider)
+, tried AS (SELECT q.request_id, a.chain_pos, a.provider, a.tried_s, a.latency_ms, a.status FROM turn_requests q JOIN turn_attempts a ON a.number = q.number
+ WHERE a.tried_s BETWEEN q.asked_s AND q.asked_s + 300 AND a.chain_pos BETWEEN 0 AND 6 AND (q.target_provider IS NULL OR a.provider = q.target_provider))
+, won AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY chain_pos, tried_s, provider, latency_ms) AS n FROM tried WHERE status = 'success')
+, called AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY tried_s DESC, chain_pos DESC, latency_ms DESC) AS n FROM tried
+ WHERE status IN ('success', 'failed', 'rejected') AND provider IS NOT NULL)
+, j AS (SELECT q.*, w.provider AS won_by, w.latency_ms AS won_ms, l.request_id IS NOT NULL AS was_called, l.latency_ms AS called_ms, k.model AS target_model,
+  c.model, c.tokens_in AS ti, c.tokens_out AS tout, c.score,
+  CASE WHEN (q.conv_id, q.turn) IN (SELECT (request_id, turn) FROM hits) THEN 'blocked' WHEN q.target_provider IS NOT NULL AND k.model IS NULL THEN 'unknown_provider'
+   WHEN w.request_id IS NULL OR c.passed IS NULL THEN 'failed' WHEN NOT c.passed THEN 'rejected' ELSE 'success' END AS status
+ FROM turn_requests q LEFT JOIN won w ON w.request_id = q.request_id AND w.n = 1 LEFT JOIN called l ON l.request_id = q.request_id AND l.n = 1
+ LEFT JOIN known k ON k.provider = q.target_provider
+ LEFT JOIN turn_replies p ON p.request_id = q.request_id AND p.replied_s BETWEEN q.asked_s AND q.asked_s + 600
+ LEFT JOIN canon c ON c.request_id = p.conv_id AND c.turn = p.turn)
+, k AS (SELECT request_id, status, role, CASE WHEN status = 'blocked' THEN 'safety_block' WHEN status IN ('success', 'rejected') THEN won_by ELSE coalesce(target_provider, 'none') END AS provider,
+  CASE WHEN status IN ('success', 'rejected') THEN model WHEN status = 'unknown_provider' THEN coalesce(requested_model, 'unknown')
+   WHEN status = 'failed' AND target_provider IS NOT NULL THEN CASE WHEN was_called THEN coalesce(requested_model, target_model) ELSE target_model END ELSE 'none' END AS model,
+  CASE WHEN status = 'success' THEN ti ELSE 0 END AS tokens_in, CASE WHEN status = 'success' THEN tout ELSE 0 END AS tokens_out,
+  CASE WHEN status IN ('success', 'rejected') THEN score ELSE 0e0 END AS quality_score,
+  CASE WHEN status IN ('success', 'rejected') THEN won_ms WHEN status = 'failed' AND target_provider IS NOT NULL THEN coalesce(called_ms, 0) ELSE 0 END AS latency_ms FROM j)
 , l AS (SELECT k.*, round(CAST(tokens_in AS DECIMAL(18,0)) * CAST(coalesce(price_in, 0) AS DECIMAL(10,4)) * CAST(0.000001 AS DECIMAL(6,6))
   + CAST(tokens_out AS DECIMAL(18,0)) * CAST(coalesce(price_out, 0) AS DECIMAL(10,4)) * CAST(0.000001 AS DECIMAL(6,6)), 8) AS cost FROM k LEFT JOIN price USING (provider))
 """
-_REQUEST_VIEWS = ["chat_messages", "attempts", "responses", "prices"]
+_REQUEST_VIEWS = ["chat_messages", "responses", "prices", "turn_requests", "turn_attempts", "turn_replies"]
 ORACLES["request_ledger"] = with_views(_REQUEST_VIEWS, _REQUESTS + """
-SELECT request_id, provider, model, status, tokens_in, tokens_out, quality_score, latency_ms, CAST(cost AS DOUBLE) AS cost_usd FROM l""")
+SELECT request_id, provider, model, status, tokens_in, tokens_out, quality_score, latency_ms, role, CAST(cost AS DOUBLE) AS cost_usd FROM l""")
+ORACLES["stream_ledger"] = ORACLES["request_ledger"]
 ORACLES["request_ledger_costs"] = with_views(_REQUEST_VIEWS, _REQUESTS + """
 SELECT provider, status, count(*) AS requests, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out,
  CAST(sum(cost) AS DOUBLE) AS cost_usd FROM l GROUP BY provider, status""")

@@ -176,6 +176,26 @@ SELECT -1 AS context_id, repeat(text || chr(10), CAST(ceil(120000.0 / greatest(l
 FROM documents WHERE doc_id = 0""",
 }
 
+# Every turn of a conversation as a request of its own. The attempt log's dense numbers are dealt to turns,
+# eight to a conversation. Some requests name a provider, configured or not, some name a model.
+_EPOCH = 1_000_000_000
+VIEWS["turn_requests"] = f"""
+SELECT concat(conv_id, '/', turn) AS request_id, conv_id, turn, conv_id * 8 + turn AS number, {_EPOCH} + (conv_id * 8 + turn) * 30 AS asked_s,
+ CASE conv_id % 4 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN 'researcher' WHEN 2 THEN 'coder' ELSE 'reviewer' END AS role,
+ CASE (conv_id * 3 + turn) % 7 WHEN 0 THEN 'xai' WHEN 1 THEN 'nowhere' WHEN 2 THEN 'deepseek' WHEN 3 THEN 'openai' ELSE CAST(NULL AS STRING) END AS target_provider,
+ CASE WHEN (conv_id + turn) % 3 = 0 THEN 'own-model' ELSE CAST(NULL AS STRING) END AS requested_model
+FROM conversations"""
+VIEWS["turn_messages"] = f"""
+SELECT concat(request_id, '/', turn) AS request_id, turn, role, content FROM ({VIEWS["chat_messages"]}) m"""
+VIEWS["turn_attempts"] = f"""
+SELECT concat(CAST(floor(request_id / 8) AS BIGINT), '/', request_id % 8) AS request_id, request_id AS number, chain_pos, provider,
+ {_EPOCH} + ts_s AS tried_s, latency_ms, status, error FROM ({VIEWS["attempts"]}) a"""
+# Replies: some never come, some come late, some after the limit.
+VIEWS["turn_replies"] = f"""
+SELECT concat(request_id, '/', turn) AS request_id, request_id AS conv_id, turn, response,
+ {_EPOCH} + (request_id * 8 + turn) * 30 + 40 + CASE (request_id * 5 + turn) % 11 WHEN 1 THEN 3000 WHEN 2 THEN 400 WHEN 5 THEN 150 ELSE 0 END AS replied_s
+FROM ({VIEWS["responses"]}) r WHERE (request_id * 5 + turn) % 11 <> 3"""
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view as a DataFrame over the tables in sf_dir.

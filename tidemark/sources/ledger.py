@@ -20,10 +20,10 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ledger_rows(records: DataFrame) -> DataFrame:
-    """Records as ledger rows: a new id, the time now where ts is absent, NULL for no role."""
+    """Records as ledger rows: a new id where none is given, the time now where ts is absent, NULL for no role."""
     have = set(records.columns)
     return records.withColumns({
-        "id": F.expr("uuid()"),
+        "id": F.col("id") if "id" in have else F.expr("uuid()"),
         "ts": F.col("ts").cast("timestamp") if "ts" in have else F.current_timestamp(),
         "role": F.col("role") if "role" in have else F.lit(None).cast("string"),
     }).select(*[F.col(f.name).cast(f.dataType) for f in schemas.LEDGER.fields])

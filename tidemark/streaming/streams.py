@@ -19,6 +19,7 @@ from tidemark.operators.quality import score_texts
 from tidemark.operators.safety import blocked_audit, scrub_texts
 from tidemark.plans.jobs import commit_outputs
 from tidemark.session import stage, staging
+from tidemark.sources.ledger import ledger_rows
 
 STATE_SCHEMA = T.StructType([
     T.StructField("provider", T.StringType()),
@@ -174,6 +175,22 @@ def breaker_stream(
     )
 
 
+def ledger_stream(facts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the rows of `ledger_facts` to a ledger, their request_id as id.
+
+    Each batch has a folder of its own, with one folder per day in it; a batch that runs again replaces its own.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows = ledger_rows(batch.withColumnRenamed("request_id", "id")).withColumn("date", F.to_date("ts"))
+        rows.write.mode("overwrite").partitionBy("date").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        facts.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).foreachBatch(run).start()
+    )
+
+
 def memory_stream(
     events: DataFrame,
     extract: Callable[[str, str], str],
