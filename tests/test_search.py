@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.analysis import stem, tokens
+from tidemark.operators import impacts
 from tidemark.operators import search as R
-from tidemark.session import shared_path
+from tidemark.operators import substrings as G
+from tidemark.session import shared_path, stage
 
 WORDS = (
     "running runs ran relational relations café cafe naïve config configs configuration how_to data base database "
@@ -152,8 +154,8 @@ def test_many_results_are_cut_in_two_steps(spark, index, monkeypatch):
 
 def test_a_search_reads_the_folders_of_its_tokens(spark, index):
     queries = spark.createDataFrame([(1, "running", "all")], "query_id int, query string, mode string")
-    asked = R.plan_queries(index, queries)
-    assert 0 < len(asked.buckets) < R.BUCKETS
+    asked = R.plan_units(index, stage(R.query_units(queries), "units"))
+    assert 0 < len(asked.stem_buckets) < R.BUCKETS and asked.token_buckets == []
     plan = R.unit_counts(index, asked)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
 
@@ -172,3 +174,60 @@ def test_fallback_takes_queries_without_tokens(spark, memories):
     for i, text in ((1, "data base"), (2, "!!! data"), (3, "% the")):
         one = [r.mem_id for r in R.search_like(memories, text, limit=5).collect()]
         assert [r.mem_id for r in hits.filter(F.col("query_id") == i).orderBy("place").collect()] == one
+
+
+def test_substrings_by_trigrams_equal_the_scan(spark):
+    texts = ["plain text here", "Text 100% sure", "a_b c", "äöü straße", "x", "", None, "back\\slash", "😀😀 emoji 😀x", "aXtextY", "tex t"] * 3
+    rows = [(i, "fact", None, t, i % 7, None if i % 4 else "/p") for i, t in enumerate(texts)]
+    memories = spark.createDataFrame(rows, "mem_id long, category string, subcategory string, content string, importance int, project string")
+    path = shared_path(spark, "grams")
+    for part in range(2):
+        G.append_trigrams(memories.filter(F.col("mem_id") % 2 == part), path)
+    asked = ["text", "TEXT", "%", "0% s", "a_b", "t%x", "äöü", "straß", "x", "no such thing", "k\\s", "😀😀", "😀 e", "tex_", "ext h"]
+    queries = spark.createDataFrame([(i, q, "all", "/p" if i % 3 == 2 else None) for i, q in enumerate(asked)], "query_id int, query string, mode string, project string")
+    order = ["query_id", "place"]
+    scan = R.search_like_all(memories, queries, 5).orderBy(*order).collect()
+    assert R.search_like_all(memories, queries, 5, grams=G.read_trigrams(spark, path)).orderBy(*order).collect() == scan
+    assert {r.query_id for r in scan} >= {0, 1, 2, 3, 4, 5, 7, 11}
+    assert R.search_like_all(memories, queries.limit(0), grams=G.read_trigrams(spark, path)).collect() == []
+
+
+def test_indexed_substrings_carry_no_queries_over_memories(spark, memories):
+    queries = spark.createDataFrame([(1, "data-base", "all"), (2, "!!! memory", "any")], "query_id int, query string, mode string")
+    plan = R.search_like_all(memories, queries, grams=G.build_trigrams(memories))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_all" not in plan and "collect_list" not in plan
+
+
+def test_routing(spark, memories, index):
+    queries = spark.createDataFrame(
+        [(1, "running data", "all"), (2, "data !!!", "all"), (3, "data-base", "any"), (4, "data, base", "phrase"), (5, "memory, data", "all"), (6, "café", "all")],
+        "query_id int, query string, mode string")
+    assert {r.query_id for r in R.fallback_queries(queries).collect()} == {2, 3, 5}
+    assert {r.query_id for r in R.search(memories, queries, index=index).collect()} == {1, 4, 6}
+    routed = R.search_routed(memories, queries, index=index, grams=G.build_trigrams(memories)).collect()
+    assert {r.query_id for r in routed} == {1, 4, 5, 6}
+    assert all(r["rank"] == 0 and "memory, data" in r.content for r in routed if r.query_id == 5)
+
+
+def test_blocks_below_the_floor_are_not_scored(spark, monkeypatch):
+    """A rare word that some short memories repeat: only a few groups can reach the tenth best."""
+    monkeypatch.setattr(impacts, "GROUP", 16)
+    rng = random.Random(5)
+    rows = []
+    for i in range(1500):
+        words = [rng.choice(WORDS) for _ in range(5 if i % 100 == 0 else rng.randrange(20, 200))]
+        rows.append((i, "fact", "x", " ".join(words + (["zeta"] * (6 if i % 100 == 0 else 1) if i % 5 == 0 else [])), 1, None))
+    memories = spark.createDataFrame(rows, "mem_id long, category string, subcategory string, content string, importance int, project string")
+    index = R.build_index(memories)
+    queries = spark.createDataFrame([(1, "zeta", "all"), (2, "zeta running", "any")], "query_id int, query string, mode string")
+    units = R.query_units(queries).withColumn("bucket", R.bucket_of(F.col("stem")))
+    total, size = R.corpus_stats(index.sizes).first()
+    _, rest = impacts.best(index.blocks, units, None, F.lit(total), F.lit(size / total), 10)
+    groups = index.blocks.filter("stem = 'zeta'").count()
+    later = {r.query_id: r["count"] for r in rest.groupBy("query_id").count().collect()}
+    assert groups > 60 and later.get(1, 0) < groups / 4
+    # The same answers as from the positions.
+    plain = R._positional(index, R.query_units(queries), F.lit(total), F.lit(size / total)).collect()
+    for q in (1, 2):
+        want = sorted((r["_rank"], r.mem_id) for r in plain if r.query_id == q)[:10]
+        assert [(r.mem_id) for r in R.ranked(index, queries).filter(F.col("query_id") == q).orderBy("place").collect()] == [m for _, m in want]

@@ -23,6 +23,7 @@ from tidemark.operators import quality as Q
 from tidemark.operators import requests as N
 from tidemark.operators import safety as S
 from tidemark.operators import search as R
+from tidemark.operators import substrings as G
 from tidemark.plans.jobs import commit_outputs, log_access, with_access
 from tidemark.plans.views import VIEWS, view
 from tidemark.session import shared_path
@@ -64,6 +65,13 @@ FALLBACK_SEARCHES = [
     (4, "%%%", "all", None, None, "skill"), (5, "|", "all", None, "/home/u/src3", None),
 ]
 
+ROUTED_SEARCHES = [
+    (1, "the and", "all", None, None, None), (2, "the !!!", "all", None, None, None), (3, "and. th", "any", None, None, None),
+    (4, ", de", "all", None, None, "skill"), (5, "le la", "phrase", None, None, None), (6, "on%the.", "any", None, None, None),
+    (7, "no-such-text", "all", None, None, None), (8, "LICENSED under the Apache License,", "all", None, None, None),
+    (9, "é.", "any", None, None, None),
+]
+
 
 def query(run: Query) -> Query:
     QUERIES[run.__name__] = run
@@ -495,17 +503,41 @@ HIT_COLUMNS = [
 ]
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, str] = {}
 
 
-def stored_index(spark: SparkSession, sf_dir: str) -> R.MemoryIndex:
-    """The index over the memories view: built once per application and tables, as a store keeps its own."""
-    known = (spark.sparkContext.applicationId, sf_dir)
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in listed))
+
+
+def _stored(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[DataFrame, str], object]) -> str:
+    """An index over the memories view: built once per application and state of the table's files, as a store keeps its own."""
+    known = (spark.sparkContext.applicationId, kind, _files(spark, f"{sf_dir}/documents.parquet"))
     if known not in _STORED:
-        path = shared_path(spark, "index")
-        R.build_index(view(spark, sf_dir, "memories"), path)
+        path = shared_path(spark, kind)
+        build(view(spark, sf_dir, "memories"), path)
         _STORED[known] = path
-    return R.read_index(spark, _STORED[known])
+    return _STORED[known]
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> R.MemoryIndex:
+    return R.read_index(spark, _stored(spark, sf_dir, "index", R.build_index))
+
+
+def stored_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.read_trigrams(spark, _stored(spark, sf_dir, "trigrams", G.build_trigrams))
+
+
+@query
+def index_build(spark, sf_dir):
+    """The search index built anew, as figures of its blocks."""
+    index = R.build_index(view(spark, sf_dir, "memories"))
+    return index.blocks.groupBy("stem").agg(
+        F.sum("n").alias("memories"), *[F.sum(F.col("n_by_column")[i]).alias(f"in_{name}") for i, name in enumerate(R.COLUMNS)],
+        F.sum(F.aggregate("entries", F.lit(0).cast("long"), lambda n, e: n + e["f0"] + e["f1"] + e["f2"] + e["f3"])).alias("occurrences"))
 
 
 def _search(name: str) -> Query:
@@ -580,10 +612,18 @@ def run_log(spark, sf_dir):
 def search_fallback(spark, sf_dir):
     """R4 for the queries without tokens that match no index entry."""
     asked = query_table(spark, FALLBACK_SEARCHES)
-    hits = R.search_like_all(view(spark, sf_dir, "memories"), R.fallback_queries(asked))
+    hits = R.search_like_all(view(spark, sf_dir, "memories"), R.fallback_queries(asked), grams=stored_trigrams(spark, sf_dir))
     return hits.select("query_id", *HIT_COLUMNS[1:], "rank")
 
 
+@query
+def search_routed(spark, sf_dir):
+    """Ranked and substring queries together, each by what can answer it."""
+    hits = R.search_routed(
+        view(spark, sf_dir, "memories"), query_table(spark, ROUTED_SEARCHES), index=stored_index(spark, sf_dir), grams=stored_trigrams(spark, sf_dir))
+    return hits.select(*HIT_COLUMNS, F.round("rank", 6).alias("rank"))
+
+
 # --- streams -------------------------------------------------------------------------------
 # Each query drains its stream into a fresh folder and returns what was written.
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from tidemark import rules
-from tidemark.plans.catalog import EXTRACT_PATTERNS, FALLBACK_SEARCHES, LIKE_TEXT, SEARCHES, STORE_SEARCHES
+from tidemark.plans.catalog import EXTRACT_PATTERNS, FALLBACK_SEARCHES, LIKE_TEXT, ROUTED_SEARCHES, SEARCHES, STORE_SEARCHES
 from tidemark.plans.views import with_views
 
 ORACLES: dict[str, str] = {}
@@ -531,6 +533,18 @@ ORACLES["search_fallback"] = with_views(["memories"], f"""
   ON lower(m.content) LIKE '%' || lower(query) || '%' AND NOT regexp_matches(query, '[a-z]')
   AND (qs.project IS NULL OR qs.project = m.project) AND (qs.category IS NULL OR qs.category = m.category))
 SELECT query_id, {_HIT}, 0e0 AS rank FROM ok WHERE place <= 10""")
+_ROUTED_PLAIN = [r for r in ROUTED_SEARCHES if r[2] == "phrase" or re.fullmatch(r"(?a:[\w\s]|[^\x00-\x7f])+", r[1])]
+_ROUTED_LIKE = [r for r in ROUTED_SEARCHES if r not in _ROUTED_PLAIN]
+ORACLES["search_routed"] = with_views(["memories"], _ranked(_ROUTED_PLAIN) + f"""
+, lq AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join([str(r[0]), *[text_literal(x) for x in r[1:]]]) + ")" for r in _ROUTED_LIKE)}) t(query_id, query, mode, col, project, category))
+, lk AS (SELECT lq.query_id, m.*, row_number() OVER (PARTITION BY lq.query_id ORDER BY importance DESC, mem_id) AS place FROM memories m JOIN lq
+  ON translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%' || translate(lq.query, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '%'
+  WHERE (lq.project IS NULL OR lq.project = m.project) AND (lq.category IS NULL OR lq.category = m.category))
+SELECT query_id, {_HIT}, round(rank, 6) AS rank FROM ok WHERE place <= 10
+UNION ALL SELECT query_id, {_HIT}, 0e0 AS rank FROM lk WHERE place <= 10""")
+ORACLES["index_build"] = with_views(["memories"], _corpus() + stem_ctes("toks", "voc") + f"""
+SELECT stem, count(DISTINCT mem_id) AS memories, {", ".join(f"count(DISTINCT mem_id) FILTER (col = '{c}') AS in_{c}" for c in _COLUMNS)}, count(*) AS occurrences
+FROM toks JOIN voc USING (token) GROUP BY stem""")
 ORACLES["search_like"] = with_views(["memories"], f"""
 SELECT {_HIT}, 0e0 AS rank FROM memories WHERE content ILIKE '%{LIKE_TEXT}%' AND category = 'skill' ORDER BY importance DESC, mem_id LIMIT 10""")
 ORACLES["term_frequencies"] = with_views(["memories"], _corpus() + "SELECT token, count(DISTINCT mem_id) AS memories FROM toks GROUP BY token")
