@@ -7,7 +7,9 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from tidemark.llm import host_quality, packing, pii_votes, suffix_pieces, token_counts
 
@@ -103,6 +105,21 @@ def test_packing(docs, rows, window):
     assert packing.pack(docs.limit(0), BYTES).collect() == []
 
 
+def test_ids_do_not_depend_on_what_the_cache_keeps(monkeypatch):
+    """Blocks that overflow the cache again and again: segments met twice stay, the ids are the library's."""
+    monkeypatch.setattr(packing, "CACHE_SEGMENTS", 40)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    cache = packing.SegmentIds(path)
+    plain = Tokenizer.from_file(path)
+    for block in range(12):
+        texts = [f"the same words here, number {block} {i} and {i % 3} again" for i in range(8)] + ["", "word" * block]
+        ids, ranges = cache.of(pa.array(texts))
+        for text, start, stop in zip(texts, ranges[:-1], ranges[1:], strict=True):
+            assert ids[start:stop].tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(cache.known) < 200
+    assert b" same" in cache.known and b" 0" in cache.known
+
+
 def test_best_level_is_least_sum_of_squares():
     rng = np.random.default_rng(3)
     for _ in range(200):

@@ -31,7 +31,7 @@ from tidemark.llm import textkit
 WINDOW = 2048
 PIECES = ("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long")
-#: Distinct segments whose ids one worker keeps between blocks.
+#: Distinct segments whose ids one worker keeps between blocks; beyond, those met in one block only go.
 CACHE_SEGMENTS = 400_000
 
 
@@ -47,11 +47,21 @@ class SegmentIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.pool, self.bounds = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.met = np.empty(0, np.int32)  # blocks that held the segment since it was learned or last sifted
+
+    def _sift(self) -> None:
+        """Keep the segments met again, if these are at most half of what may be kept; forget the rest."""
+        again = np.flatnonzero(self.met > 1)
+        if 2 * len(again) > CACHE_SEGMENTS:
+            again = np.sort(again[np.argsort(-self.met[again], kind="stable")[: CACHE_SEGMENTS // 2]])
+        names = list(self.known)
+        self.known = {names[i]: n for n, i in enumerate(again)}
+        starts, lengths = self.bounds[again], self.bounds[again + 1] - self.bounds[again]
+        ends = np.append(0, np.cumsum(lengths))
+        self.pool = self.pool[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lengths)]
+        self.bounds, self.met = ends, np.zeros(len(again), np.int32)
 
     def _learn(self, new: list[bytes]) -> None:
         encoded = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
@@ -60,6 +70,7 @@ class SegmentIds:
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, lengths.sum())])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int32)])
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and each text's range of them."""
@@ -70,9 +81,10 @@ class SegmentIds:
         coded = parts.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.known) > CACHE_SEGMENTS or len(self.pool) > 8 * CACHE_SEGMENTS:
-            self._forget()
+            self._sift()
         self._learn([x for x in distinct if x not in self.known])
         number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        self.met[number] += 1
         at = number[coded.indices.to_numpy(zero_copy_only=False)]
         starts = self.bounds[at]
         lengths = self.bounds[at + 1] - starts
