@@ -1,12 +1,13 @@
-"""Operator 4: repeated passages, by windows of consecutive lines.
+"""Operator 4: repeated passages, by overlapping windows of three consecutive lines.
 
-From every line with a word starts one window: that line and the next ones with a word, until
-there are three lines or over LONG_WORDS words. Windows are hashed (128 bits), repeated hashes
-are found globally, and of each repeated window all occurrences but the first (by key, then
-position) are covered. The covered positions of a document are merged and those lines removed.
+From every line with a word starts the window of that line and the next two with a word. A long
+passage may have fewer lines, so where one or two lines already hold LONG_WORDS words they are a
+window too, besides the three-line one. Windows are hashed (128 bits), repeated hashes are found
+globally, and of each repeated window all occurrences but the first (by key, then position) are
+covered. The covered ranges of a document are merged and their lines removed.
 
 Everything is DataFrame functions. Only hashes, keys and positions are shuffled for the search;
-the texts are met once, by the covered positions of their document.
+the texts are met once, by the covered ranges of their document.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from tidemark.session import stage
 WINDOW_LINES = 3
 #: A window that already has this many words ends early: a long passage may be one or two lines.
 LONG_WORDS = 50
+# Names that no input column will have.
+_DOC, _RANGES = "__covered_doc", "__covered_ranges"
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -32,36 +35,44 @@ def _worded_lines(text: Column) -> Column:
         lambda line: line["w"] > 0)
 
 
-def _window(x: Column, k: Column) -> Column:
-    """struct<pos, last, h1, h2> of the window from entry x, number k of column `full`."""
+def _windows(x: Column, k: Column) -> Column:
+    """array<struct<pos, last, h1, h2>>: the windows from entry x, number k of column `full`."""
     one, two = F.get("full", k + 1), F.get("full", k + 2)
-    n = (F.when(x["w"] >= LONG_WORDS, 1).when(x["w"] + one["w"] >= LONG_WORDS, 2).when(two["w"].isNotNull(), WINDOW_LINES))
-    last = F.when(n == 1, x["i"]).when(n == 2, one["i"]).when(n == 3, two["i"])
 
-    def hashed(f: str) -> Column:
-        # xxhash64 passes over nulls, so lines beyond the window are nulls.
-        return F.xxhash64(n, x[f], F.when(n > 1, one[f]), F.when(n > 2, two[f]))
+    def window(n: int) -> Column:
+        parts = [x, one, two][:n]
+        hashed = {f: F.xxhash64(F.lit(n), *[part[f] for part in parts]) for f in "ab"}
+        return F.struct(x["i"].alias("pos"), parts[-1]["i"].alias("last"), hashed["a"].alias("h1"), hashed["b"].alias("h2"))
 
-    return F.struct(x["i"].alias("pos"), last.alias("last"), hashed("a").alias("h1"), hashed("b").alias("h2"))
+    short = F.when(x["w"] >= LONG_WORDS, window(1)).when(x["w"] + one["w"] >= LONG_WORDS, window(2))
+    return F.array_compact(F.array(short, F.when(two["w"].isNotNull(), window(WINDOW_LINES))))
 
 
 def windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, pos, last, h1, h2): one row per window; lines without a word are skipped over."""
     return (
-        docs.select(F.col(key).alias("doc"), _worded_lines(F.col(text)).alias("full"))
-        .select("doc", F.explode(F.transform("full", _window)).alias("x"))
-        .where("x.last is not null").select("doc", "x.*"))
+        docs.select(docs[key].alias("doc"), _worded_lines(docs[text]).alias("full"))
+        .select("doc", F.explode(F.flatten(F.transform("full", _windows))).alias("x")).select("doc", "x.*"))
 
 
 def covered_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, covered): the sorted positions of lines under later occurrences of repeated windows."""
+    """(doc, ranges): the sorted, merged ranges of lines under later occurrences of repeated windows."""
     found = stage(windows(docs, key, text), "windows")
     first = (
         found.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1").select("h1", "h2", "first"))
     later = found.join(first, ["h1", "h2"]).where("doc > first.doc or (doc = first.doc and pos > first.pos)")
-    positions = later.select("doc", F.explode(F.sequence("pos", "last")).alias("line")).distinct()
-    return positions.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("covered"))
+    grouped = later.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("pos", "last"))).alias("found"))
+    none = F.array().cast("array<struct<pos:int,last:int>>")
+
+    def merge(done: Column, x: Column) -> Column:
+        end = F.try_element_at(done, F.lit(-1))
+        apart = F.size(done) == 0
+        joined = F.struct(end["pos"].alias("pos"), F.greatest(end["last"], x["last"]).alias("last"))
+        return F.when(apart | (x["pos"] > end["last"] + 1), F.concat(done, F.array(x))).otherwise(
+            F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined)))
+
+    return grouped.select("doc", F.aggregate("found", none, merge).alias("ranges"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -73,15 +84,16 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows are treated alike; rows with a null key are kept as they are. Input columns named n_lines
     or n_removed are replaced.
     """
-    covered = covered_lines(docs.where(F.col(key).isNotNull()).select(key, text), key, text)
-    joined = docs.drop("n_lines", "n_removed").join(covered, docs[key] == covered["doc"], "left")
-    lines = F.split(F.col(text), "\n")
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("covered", i)), "\n")
-    columns = [F.when(F.col("covered").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    covered = covered_lines(docs.where(docs[key].isNotNull()), key, text).select(F.col("doc").alias(_DOC), F.col("ranges").alias(_RANGES))
+    others = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    joined = docs.select(*[docs[c] for c in others]).join(covered, docs[key] == covered[_DOC], "left")
+    lines, ranges = F.split(F.col(text), "\n"), F.col(_RANGES)
+    kept = F.array_join(F.filter(lines, lambda line, i: ~F.exists(ranges, lambda r: i.between(r["pos"], r["last"]))), "\n")
+    removed = F.aggregate(ranges, F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["pos"] + 1)
     return joined.select(
-        *columns,
+        *[F.when(ranges.isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in others],
         F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long").alias("n_removed"))
+        F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"))
 
 
 ORACLE = """
@@ -95,7 +107,8 @@ with lines as (
     lead(line, 1) over d as l1, lead(line, 2) over d as l2
   from worded where w > 0 window d as (partition by doc_id order by i)
 ), sized as (
-  select *, case when w >= 50 then 1 when w + w1 >= 50 then 2 when i2 is not null then 3 end as n from near
+  select *, case when w >= 50 then 1 when w + w1 >= 50 then 2 end as n from near
+  union all select *, 3 as n from near where i2 is not null
 ), windows as (
   select doc_id, i, case n when 1 then i when 2 then i1 else i2 end as last,
     n::varchar || chr(1) || line || case when n > 1 then chr(10) || l1 else '' end || case when n > 2 then chr(10) || l2 else '' end as body
