@@ -12,6 +12,8 @@ absolute links (href or src) in the html; relative links stay on their host and
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,10 @@ from tidemark.session import stage
 #: (rule, verdict): host, then the beginning of the path.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 DAMPING = 0.85
-ROUNDS = 30
 #: The sum of all changes in a round at which propagation has settled, relative to the seeds' mass.
 SETTLED = 1e-6
+#: Rounds after which it has settled on any graph: each round's changes are at most DAMPING times the last one's.
+ROUNDS = math.ceil(math.log(SETTLED) / math.log(DAMPING)) + 1
 #: A host without a rule is blocked if distrust > BLOCK_RATIO * trust + BLOCK_FLOOR * mean seed mass.
 BLOCK_RATIO = 1.0
 BLOCK_FLOOR = 1e-3
