@@ -111,6 +111,12 @@ def test_trust_flows_along_links_and_distrust_against_them(spark):
     assert got["friend.com"].verdict == got["other.com"].verdict == got["lonely.com"].verdict == "allow"
 
 
+def test_masses_reach_the_end_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(45)], "src string, dst string, links long")
+    got = {r.host: r.mass for r in host_links.propagate(spark.createDataFrame([("h0", 1.0)], "host string, mass double"), edges).collect()}
+    assert all(got[f"h{i}"] == pytest.approx(0.15 * 0.85**i) for i in range(46))
+
+
 # Operator 3
 
 
@@ -156,6 +162,7 @@ def near_docs(spark, sf_dir):
 @pytest.mark.parametrize("width, num, block", [(3, 85, 1024), (5, 80, 16)])
 def test_near_duplicates(near_docs, monkeypatch, width, num, block):
     monkeypatch.setattr(setsketch_dedup, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(setsketch_dedup, "BLOCK_SHINGLES", 100 * block)
     want = near_by_hand({r.doc_id: r.text for r in near_docs.collect()}, width, num, 100)
     got = setsketch_dedup.near_duplicates(near_docs, width, num, 100).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
@@ -210,13 +217,14 @@ def line_dedup_by_hand(texts):
         full = [(k, x) for k, x in enumerate(lines[i]) if re.search(SPACES, x)]
         count = [len(re.findall(SPACES, x)) for _, x in full]
         for at in range(len(full)):
-            n = 1 if count[at] >= 50 else 2 if sum(count[at : at + 2]) >= 50 else 3
-            part = full[at : at + n]
-            if len(part) == n:
-                body = (n, *[x for _, x in part])
-                if body in seen:
-                    covered[i].update(range(part[0][0], part[-1][0] + 1))
-                seen.add(body)
+            short = [1] if count[at] >= 50 else [2] if sum(count[at : at + 2]) >= 50 else []
+            for n in [*short, 3]:
+                part = full[at : at + n]
+                if len(part) == n:
+                    body = (n, *[x for _, x in part])
+                    if body in seen:
+                        covered[i].update(range(part[0][0], part[-1][0] + 1))
+                    seen.add(body)
     return {i: (None if t is None else "\n".join(x for k, x in enumerate(lines[i]) if k not in covered[i]), 0 if t is None else len(lines[i]), len(covered[i])) for i, t in texts.items()}
 
 
@@ -235,6 +243,17 @@ def test_line_windows(spark, sf_dir):
     assert Counter((r.doc_id, r.text) for r in line_windows.dedup_lines(twice).collect()) == Counter({(1, "a\nb\nc"): 2, (None, "a\nb\nc"): 1, (2, "d"): 1})
 
 
+@pytest.mark.parametrize("words", [(30, 30, 15), (60, 10, 10), (5, 5, 5), (20, 29, 60)])
+def test_a_repeated_passage_goes_whole(spark, words):
+    passage = [" ".join(f"p{i}w{j}" for j in range(n)) for i, n in enumerate(words)]
+    docs = spark.createDataFrame([(i, "\n".join([f"own line {i}", *passage, f"other {i}"]), i, [i], "x") for i in range(4)],
+                                 "doc_id long, text string, covered int, ranges array<int>, doc string")
+    got = {r.doc_id: r for r in line_windows.dedup_lines(docs).collect()}
+    assert got[0].n_removed == 0
+    assert all(got[i].n_removed == 3 and got[i].text == f"own line {i}\nother {i}" for i in (1, 2, 3))
+    assert all((got[i].covered, got[i].ranges, got[i].doc) == (i, [i], "x") for i in got)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_check_sql(spark, sf_dir, name):
     duck = duckdb.connect()

@@ -24,6 +24,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: A host whose shrunken rate of failing documents reaches this is rejected as a whole.
 HOST_LIMIT = 0.6
+#: Texts are read in blocks of this many bytes; their words and hashes take some fifteen times that.
+TEXT_BYTES = 4 << 20
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 _SYMBOL = np.zeros(256, bool)
@@ -97,7 +99,7 @@ def rule_figures(docs: DataFrame, text: str = "text") -> DataFrame:
     others = [c for c in docs.columns if c != text and c not in FIGURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in textkit.blocks(batches, text):
+        for block in textkit.blocks(batches, text, TEXT_BYTES):
             yield pa.RecordBatch.from_arrays(
                 [block.column(c) for c in others] + [pa.array(x, pa.int64()) for x in figures_of(block.column(text))],
                 others + FIGURES)
@@ -161,7 +163,7 @@ def kept_documents(docs: DataFrame, host: str = "source", text: str = "text", li
     rejected = stage(host_verdicts(counts, host, limit).where("host_rejected").select(host), "hosts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in textkit.blocks(batches, text):
+        for block in textkit.blocks(batches, text, TEXT_BYTES):
             n_words, _, _, _, repeats = figures_of(block.column(text))
             yield block.filter(pa.array(~((n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words))))
 

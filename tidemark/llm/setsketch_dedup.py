@@ -9,7 +9,7 @@
    classes of one range are linked to its smallest class. The connected components of these candidate
    links are families: every two classes that share a band, and whose sizes do not rule out the
    threshold, are in one family, whatever else the bucket holds.
-4. Families are split into blocks of at most BLOCK_MEMBERS classes. A task gets one pair of blocks
+4. Families are split into blocks of about BLOCK_MEMBERS classes or BLOCK_SHINGLES shingles, whichever is less. A task gets one pair of blocks
    and walks the link graph breadth-first: each newly reached class is compared with those not
    yet reached, first by the joint likelihood of the registers, then exactly on the full sets.
    It returns a spanning forest, never the pairs.
@@ -40,6 +40,11 @@ TOP = 65_534
 #: Log likelihood ratio beyond which registers rule a similarity out.
 CERTAIN = 25.0
 BLOCK_MEMBERS = 1024
+#: Shingles of a block together, on average (a block cannot be smaller than one text's set): a pair of blocks
+#: holds about 16 MB of them, and comparing them takes some seven times that.
+BLOCK_SHINGLES = 1 << 20
+#: Texts are read in blocks of this many bytes; words, shingles and registers take about ten times that.
+TEXT_BYTES = 4 << 20
 MAX_MISS = 1e-6
 
 
@@ -123,7 +128,7 @@ def sketched(docs: DataFrame, width: int, bands: int, rows: int, key: str, text:
     """Per row: doc_id, n_shingles, digest (null for an empty set), band keys, registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in textkit.blocks(batches, "text"):
+        for block in textkit.blocks(batches, "text", TEXT_BYTES):
             sizes, digests, keys, registers = [], [], [], []
             for s in shingle_sets(block.column("text"), width):
                 sizes.append(len(s))
@@ -218,8 +223,9 @@ def _forest(ids: list, sets: list[np.ndarray], regs: np.ndarray, num: int, den:
 
 def _links(docs: DataFrame, families: DataFrame, classes: DataFrame, width: int, registers: int, num: int, den: int, key: str, text: str) -> DataFrame:
     """Spanning links (a, b) of the similar pairs within families."""
-    size = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    n_blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    sized = families.join(classes.select("doc_id", "n_shingles"), "doc_id")
+    size = sized.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    n_blocks = F.ceil(F.greatest(F.col("n") / BLOCK_MEMBERS, F.least(F.col("shingles") / BLOCK_SHINGLES, F.col("n").cast("double")))).cast("int")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     placed = (
         families.join(size, "family").withColumn("blocks", n_blocks).withColumn("block", block)
@@ -228,7 +234,7 @@ def _links(docs: DataFrame, families: DataFrame, classes: DataFrame, width: int,
     texts = docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).join(placed, "doc_id")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in textkit.blocks(batches, "text"):
+        for b in textkit.blocks(batches, "text", TEXT_BYTES):
             sets = [s.tobytes() for s in shingle_sets(b.column("text"), width)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in ("doc_id", "family", "blocks", "block", "registers")] + [pa.array(sets, pa.binary())],

@@ -46,6 +46,8 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, target: int = BLOCK_B
             if size >= target or count >= rows:
                 yield _joined(kept)
                 kept, size, count = [], 0, 0
+                # What a block has taken goes back before the next one is read.
+                pa.default_memory_pool().release_unused()
     if kept:
         yield _joined(kept)
 
