@@ -26,9 +26,33 @@ def tool_name(payload: Column) -> Column:
 _SEPARATOR = r'\G((?:"(?:[^"\\]|\\.)*+"|[^",:])*+)([,:])'
 
 
+def _lowered_escapes(text: Column) -> Column:
+    parts = F.regexp_extract_all(text, F.lit(r"\\u[0-9A-Fa-f]{4}|\\.|[^\\]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda part: F.when(part.startswith("\\u"), F.lower(part)).otherwise(part)), "")
+
+
+def escaped_json(text: Column) -> Column:
+    """Compact JSON in which runs beyond printable ASCII are UTF-16 escapes in lower case.
+
+    The JSON writer itself escapes some characters, in upper case.
+    """
+    text = F.when(text.contains("\\u"), _lowered_escapes(text)).otherwise(text)
+    runs = F.split(text, r"(?<=[ -~])(?=[^ -~])|(?<=[^ -~])(?=[ -~])")
+
+    def escaped(run: Column) -> Column:
+        units = F.lower(F.hex(F.encode(run, "UTF-16BE")))
+        return F.when(run.rlike("^[^ -~]"), F.regexp_replace(units, "(.{4})", r"\\u$1")).otherwise(run)
+
+    return F.when(text.rlike("[^ -~]"), F.array_join(F.transform(runs, escaped), "")).otherwise(text)
+
+
 def spaced_json(compact: Column) -> Column:
-    """Compact JSON with a blank after each separator, the spelling of the usual text form."""
-    return F.regexp_replace(compact, _SEPARATOR, "$1$2 ")
+    """Compact JSON in its usual text form: a blank after each separator, only ASCII."""
+    def spaced(text: Column) -> Column:
+        return F.regexp_replace(escaped_json(text), _SEPARATOR, "$1$2 ")
+
+    # A lambda variable: the object is written once, however often its text is looked at.
+    return F.transform(F.array(compact), spaced)[0]
 
 
 def payload_context(payload: Column, raw: Column, max_chars: int | None = None) -> Column:

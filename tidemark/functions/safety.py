@@ -12,10 +12,24 @@ from tidemark import rules
 from tidemark.functions.text import ascii_lower, matches, pattern
 
 
+#: Signs without case that every match of a pattern holds: what its regex starts or ends with -> sign.
+_NEEDED_SIGNS = [
+    (r"+/", "/"), (r"+~", "~"), (r"\$HOME", "$"), ("if=", "="), (r":\(\)", ":()"), (r"[^|]*\|", "|"),
+    ("/dev/", ">"), ("777", "777"), (r"\s+-R", "-"),
+]
+
+
+def is_dangerous(text: Column, regex: str) -> Column:
+    """One pattern over a text; the regex runs only where the sign it needs occurs."""
+    found = matches(text, regex, "i")
+    sign = next((sign for part, sign in _NEEDED_SIGNS if part in regex), None)
+    return found if sign is None else text.contains(sign) & found
+
+
 def dangerous_hits(text: Column) -> Column:
     """X1 for one text: array of the matching patterns, in list order."""
     return F.array_compact(
-        F.array(*[F.when(matches(text, regex, "i"), F.lit(regex)) for regex in rules.DANGEROUS_PATTERNS])
+        F.array(*[F.when(is_dangerous(text, regex), F.lit(regex)) for regex in rules.DANGEROUS_PATTERNS])
     )
 
 

@@ -19,8 +19,14 @@ def matches(text: Column, regex: str, flags: str = "") -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Cut all Unicode white space at both ends (trim cuts spaces only)."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    """Cut all Unicode white space at both ends (trim cuts spaces only).
+
+    The replacement looks at every blank inside, so it runs only where an end is white space.
+    """
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(
+        ends.rlike(r"(?U)[\s\x1c-\x1f]"), F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    ).otherwise(text)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -52,11 +52,22 @@ def rule_facts(contexts: DataFrame, key: str = "context_id", text: str = "contex
     """E5: facts by pattern: addresses, dates, versions, settings, errors, numbers.
 
     A stand-in for a language model's extraction, not equal to it. Equal findings of a context
-    count once.
+    count once. A pattern runs only over texts that hold a plain string each of its matches needs.
     """
+    digits = F.col(text).rlike("[0-9]")
+    may_hold = {
+        "url": F.col(text).contains("://"),
+        "date": digits & F.col(text).contains("-"),
+        "version": digits & F.col(text).contains("."),
+        "env_var": F.col(text).contains("_"),
+        "setting": F.col(text).contains(" = "),
+        "error": F.col(text).contains("Error: ") | F.col(text).contains("Exception: "),
+        "number": digits,
+    }
 
     def findings(kind: str, subcategory: str, importance: int, regex: str):
-        values = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(regex), F.lit(0)))
+        hits = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(regex), F.lit(0)))
+        values = F.when(may_hold.get(kind, F.lit(True)), hits).otherwise(F.array().cast("array<string>"))
         return F.transform(values, lambda value: F.struct(
             F.lit(kind).alias("kind"), F.lit(subcategory).alias("subcategory"),
             F.lit(importance).cast("long").alias("importance"), value.alias("content"),
@@ -64,7 +75,9 @@ def rule_facts(contexts: DataFrame, key: str = "context_id", text: str = "contex
 
     found = F.flatten(F.array(*[findings(*rule) for rule in rules.FACT_RULES]))
     return (
-        contexts.select(key, F.explode(found).alias("_f"))
+        # outer: a plain explode would be given a filter that runs all patterns once more
+        contexts.select(key, F.explode_outer(found).alias("_f"))
+        .filter(F.col("_f").isNotNull())
         .select(key, F.lit("fact").alias("category"), "_f.*")
     )
 

@@ -19,13 +19,17 @@ def contexts_of(
     events: DataFrame, keep: Column, raw: str = "payload",
     project: str | None = None, session_id: str | None = None, max_chars: int | None = None,
 ) -> DataFrame:
-    """P12, P13 and F5 over the events that keep selects; max_chars (optional) is P11."""
+    """P12, P13 and F5 over the events that keep selects; max_chars (optional) is P11.
+
+    The context sits in a generator because the length filter would otherwise compute it again.
+    """
+    context = H.payload_context(F.col("event"), F.col(raw), max_chars)
     return (
         readable(events)
         .filter(keep)
         .select(
             *_keys(events, raw),
-            H.payload_context(F.col("event"), F.col(raw), max_chars).alias("context"),
+            F.explode_outer(F.array(context)).alias("context"),
             H.payload_project(F.col("event"), project).alias("project"),
             H.payload_session(F.col("event"), session_id).alias("session_id"),
         )

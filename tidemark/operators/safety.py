@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import rules
 from tidemark.functions import safety as S
-from tidemark.functions.text import matches, pattern
+from tidemark.functions.text import pattern
 
 
 def safety_hits(messages: DataFrame, text: str = "text") -> DataFrame:
@@ -32,7 +32,7 @@ def safety_verdicts(messages: DataFrame, request: str = "request_id", text: str
     and no group is ever gathered.
     """
     counted = messages.groupBy(request).agg(*[
-        F.count_if(matches(F.col(text), regex, "i")).alias(f"_p{i}")
+        F.count_if(S.is_dangerous(F.col(text), regex)).alias(f"_p{i}")
         for i, regex in enumerate(rules.DANGEROUS_PATTERNS)
     ])
     pairs = F.array(*[

@@ -280,8 +280,15 @@ ORACLES["shell_gate"] = with_views(["hook_events"], _COMMANDS + "SELECT event_id
 ORACLES["blocked_audit"] = with_views(["hook_events"], _COMMANDS + """
 SELECT event_id, command, 'safety' AS tag, 'BLOCKED command (matched: ' || matched || '): ' || left(command, 500) AS text FROM gated WHERE matched IS NOT NULL""")
 # A blank after each string and separator, then none between a string and what follows it.
+def escaped_sql(text: str) -> str:
+    """Characters beyond printable ASCII as UTF-16 escapes."""
+    return rf"""array_to_string(list_transform(string_split({text}, ''), lambda c: CASE WHEN c BETWEEN ' ' AND '~' THEN c
+ WHEN unicode(c) < 65536 THEN format('\u{{:04x}}', unicode(c))
+ ELSE format('\u{{:04x}}\u{{:04x}}', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024) END), '')"""
+
+
 def spaced_sql(text: str) -> str:
-    return rf"""regexp_replace(regexp_replace({text}, '("(?:[^"\\]|\\.)*")|([,:])', '\1\2 ', 'g'), '" ([,:}}\]])', '"\1', 'g')"""
+    return rf"""regexp_replace(regexp_replace({escaped_sql(text)}, '("(?:[^"\\]|\\.)*")|([,:])', '\1\2 ', 'g'), '" ([,:}}\]])', '"\1', 'g')"""
 
 
 _CONTEXT = f"""

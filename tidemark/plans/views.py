@@ -151,6 +151,7 @@ SELECT event_id, ts, CASE event_id % 8
   WHEN 3 THEN '{"tool_name":"compact_context","tool_input":{"content":"' || repeat('note ', 30) || '. We chose ' || event_type || ' because it took ' || CAST(user_id AS STRING) || ' ms. See http://x.example/' || event_type || '"},"session_id":"s1"}'
   WHEN 4 THEN '{"tool_name":"Summarize","tool_input":{"content":"","text":"' || repeat('fact ', 25) || '"},"tool_result":"' || repeat('r', 120) || CAST(user_id AS STRING) || '"}'
   WHEN 5 THEN CASE WHEN event_id % 16 = 5 THEN '{"tool_name":"Read","tool_input":{"path":"/a/' || event_type || '","n":[1,2]}}'
+   WHEN event_id % 32 = 13 THEN '{"tool_name":"Glob","tool_input":{"path":"/home/u/forêt/großes 😀/' || event_type || '","pattern":"čaj*","n":' || CAST(user_id AS STRING) || '}}'
    ELSE '{"tool_name":"Grep","tool_input":{"path":"/home/u/project","pattern":"a:b,c","flags":[1,2,3],"opts":{"x":1,"y":true,"z":' || CAST(user_id AS STRING) || '}}}' END
   WHEN 6 THEN '{"summary":"' || repeat('done ', 15) || '","session_id":"s2","tool_input":[1,"x"]}'
   ELSE 'not json ' || event_type END AS payload
