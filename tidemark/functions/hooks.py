@@ -47,12 +47,14 @@ def escaped_json(text: Column) -> Column:
 
 
 def spaced_json(compact: Column) -> Column:
-    """Compact JSON in its usual text form: a blank after each separator, only ASCII."""
-    def spaced(text: Column) -> Column:
-        return F.regexp_replace(escaped_json(text), _SEPARATOR, "$1$2 ")
+    """Compact JSON with a blank after each separator, the spelling of the usual text form."""
+    return F.regexp_replace(compact, _SEPARATOR, "$1$2 ")
+
 
+def text_json(compact: Column) -> Column:
+    """Compact JSON in its usual text form: a blank after each separator, only ASCII."""
     # A lambda variable: the object is written once, however often its text is looked at.
-    return F.transform(F.array(compact), spaced)[0]
+    return F.transform(F.array(compact), lambda text: spaced_json(escaped_json(text)))[0]
 
 
 def payload_context(payload: Column, raw: Column, max_chars: int | None = None) -> Column:
@@ -65,13 +67,13 @@ def payload_context(payload: Column, raw: Column, max_chars: int | None = None)
     from_object = F.coalesce(
         non_empty(_text(payload, "$.tool_input.content")),
         non_empty(_text(payload, "$.tool_input.text")),
-        spaced_json(F.get_json_object(raw, "$.tool_input")),
+        text_json(F.get_json_object(raw, "$.tool_input")),
     )
     context = (
         F.when(kind.isNull(), F.lit("{}"))
         .when(kind.startswith("OBJECT"), from_object)
         .when(kind == "STRING", _text(payload, "$.tool_input"))
-        .otherwise(spaced_json(F.get_json_object(raw, "$")))
+        .otherwise(text_json(F.get_json_object(raw, "$")))
     )
     result = F.when(_kind(payload, "$.tool_result") == "STRING", _text(payload, "$.tool_result"))
     whole = F.when(
