@@ -176,6 +176,12 @@ def test_near_duplicates_odd_tables(spark, near_docs):
     assert [r for r in got if r[0] is not None] == [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False)]
 
 
+def test_near_duplicates_of_a_null_key(spark):
+    rows = spark.createDataFrame([(2, "a b c d e f"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
+    got = sorted(map(tuple, setsketch_dedup.near_duplicates(rows).collect()), key=str)
+    assert got == [(2, 2, 2, True), (None, 0, None, True), (None, 2, None, True)]
+
+
 def test_near_copies_under_a_distant_hub(spark, monkeypatch):
     """Near copies meet though the smallest id of all their buckets is a far longer, distant document."""
     rng = np.random.default_rng(12)
@@ -297,6 +303,17 @@ def test_near_vectors(spark, sf_dir, monkeypatch):
     assert subspace_join.near_vectors(frame.limit(0)).collect() == []
 
 
+def test_near_vectors_with_odd_ids(spark):
+    v, w, far = [1.0, 0.1], [1.0, 0.12], [-1.0, 0.5]
+    rows = [(1, v, 1), (1, None, 1), (None, v, 1), (4, [0.0, 0.0], 1), (5, w, 1), (5, far, 1), (6, [-1.0, 0.52], 1), (5, v, 2)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in subspace_join.near_vectors(frame).collect())
+    # The two vectors of id 5 are one member: they hold 1, 5 and 6 together, and each counts its own links.
+    assert got == Counter([
+        (1, 1, 1, True), (1, 0, 1, True), (None, 0, None, True), (4, 0, 4, True),
+        (5, 1, 1, False), (5, 1, 1, False), (5, 0, 1, False), (6, 1, 1, False)])
+
+
 # Operator 6
 
 

@@ -280,7 +280,7 @@ def near_duplicates(
     roots = classes.select("digest", "doc_id").join(
         merged_ids.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
     ).select("digest", F.coalesce("component", "doc_id").alias("component_id"))
-    own = F.coalesce("component_id", "doc_id")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return all_rows.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left").select(
         F.col("doc_id").alias(key), "n_shingles", own.alias("component_id"),
         (own.eqNullSafe(F.col("doc_id"))).alias("kept"))

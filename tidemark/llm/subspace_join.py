@@ -40,26 +40,31 @@ def _floats(column) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1)
 
 
+def _unit(row: list | None) -> bytes | None:
+    if not row or None in row:
+        return None
+    x = np.array(row, np.float64)
+    top = np.abs(x).max()
+    if not np.isfinite(top) or top == 0:
+        return None
+    x /= top
+    return (x / np.sqrt((x * x).sum())).tobytes()
+
+
 def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, unit): usable vectors, as the bytes of their unit vector in double precision.
+    """(vec_id, label, unit) of every row; unit is the unit vector's bytes in double precision.
 
-    Not usable: null, empty or zero vectors, null or non-finite components, null labels.
+    It is null for rows that link with nothing: null ids or labels, null, empty or zero vectors, null
+    or non-finite components.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, labels, units = [], [], []
             for i, label, row in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "label", "embedding")), strict=True):
-                if label is None or not row or None in row:
-                    continue
-                x = np.array(row, np.float64)
-                top = np.abs(x).max()
-                if not np.isfinite(top) or top == 0:
-                    continue
-                x /= top
                 ids.append(i)
                 labels.append(label)
-                units.append((x / np.sqrt((x * x).sum())).tobytes())
+                units.append(None if i is None or label is None else _unit(row))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, batch.schema.field("vec_id").type), pa.array(labels, batch.schema.field("label").type), pa.array(units, pa.binary())],
                 ["vec_id", "label", "unit"])
@@ -125,12 +130,12 @@ def _placed(classes: DataFrame, turns: dict, budget: float) -> DataFrame:
                     strip = np.floor(lead / (np.sqrt(budget * share) * (1 + 1e-6) + SLACK)).astype(np.int64)
                     k = len(own)
                     yield pa.RecordBatch.from_arrays(
-                        [own.column("label"), pa.array(np.full(k, n // 8)), pa.array(np.full(k, b)), pa.array(strip), own.column("vec_id"), own.column("copies"), own.column("unit")],
-                        ["label", "dims", "part", "strip", "vec_id", "copies", "unit"])
+                        [own.column("label"), pa.array(np.full(k, n // 8)), pa.array(np.full(k, b)), pa.array(strip), own.column("vec_id"), own.column("cls"), own.column("copies"), own.column("unit")],
+                        ["label", "dims", "part", "strip", "vec_id", "cls", "copies", "unit"])
 
     kinds = {c: classes.schema[c].dataType.simpleString() for c in ("vec_id", "label")}
-    return classes.select("label", "vec_id", "copies", "unit").mapInArrow(
-        run, f"label {kinds['label']}, dims long, part long, strip long, vec_id {kinds['vec_id']}, copies long, unit binary")
+    return classes.select("label", "vec_id", "cls", "copies", "unit").mapInArrow(
+        run, f"label {kinds['label']}, dims long, part long, strip long, vec_id {kinds['vec_id']}, cls long, copies long, unit binary")
 
 
 def _meetings(placed: DataFrame) -> DataFrame:
@@ -150,8 +155,8 @@ def _meetings(placed: DataFrame) -> DataFrame:
     above = F.transform(F.when(F.col("before").isNull(), empty).otherwise(span(F.col("before"))), lambda c: F.struct(
         (F.col("strip") - 1).alias("at"), c.alias("lo"), F.col("cell").alias("hi"), F.lit(2).alias("side")))
     return rows.select(
-        "label", "dims", "part", "cell", "vec_id", "copies", "unit", F.explode(F.concat(same, below, above)).alias("m")
-    ).select("label", "dims", "part", "cell", "vec_id", "copies", "unit", "m.*").withColumn("across", F.col("side") > 0)
+        "label", "dims", "part", "cell", "vec_id", "cls", "copies", "unit", F.explode(F.concat(same, below, above)).alias("m")
+    ).select("label", "dims", "part", "cell", "vec_id", "cls", "copies", "unit", "m.*").withColumn("across", F.col("side") > 0)
 
 
 def _pairs_of(group: pd.DataFrame, turns: dict, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -208,19 +213,21 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """One row per row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Rows are linked if their labels are equal and not null and the cosine of their vectors is at
-    least `cosine`. Null or zero vectors, null or non-finite components and vectors of another
-    length link with nothing: n_links 0, their own component. Repeated rows of one vec_id are
-    separate vectors for n_links. Other columns are ignored.
+    least `cosine`. Null or zero vectors, null or non-finite components, null ids and vectors of
+    another length link with nothing: n_links 0, their own component (null for a null id), kept.
+    Rows of one vec_id are separate vectors for n_links and one member of a component. Other columns
+    are ignored.
     """
-    units = stage(unit_vectors(vectors), "units")
-    grouped = units.groupBy("label", "unit").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
+    every = stage(unit_vectors(vectors), "units")
+    units = every.where("unit is not null").withColumn("cls", F.xxhash64("label", "unit"))
+    grouped = units.groupBy("label", "unit", "cls").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
     classes = stage(grouped, "vectors")
     turns = rotations(classes)
     meetings = _meetings(_placed(classes, turns, 2 - 2 * cosine))
     kind = vectors.schema["vec_id"].dataType.simpleString()
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vec_id", ignore_index=True)
+        group = group.sort_values(["vec_id", "cls"], ignore_index=True)
         i, j = _pairs_of(group, turns, cosine)
         copies = group["copies"].to_numpy()
         links = np.zeros(len(group), np.int64)
@@ -228,16 +235,15 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
         np.add.at(links, j, copies[i])
         ids = group["vec_id"].to_numpy()
         some = links > 0
-        return pd.DataFrame({"vec_id": ids[some], "links": links[some], "root": ids[_forest(len(ids), i, j)][some]})
+        return pd.DataFrame({"vec_id": ids[some], "cls": group["cls"].to_numpy()[some], "links": links[some], "root": ids[_forest(len(ids), i, j)][some]})
 
     partial = stage(meetings.groupBy("label", "dims", "part", "at", "lo", "hi", "across").applyInPandas(
-        count, f"vec_id {kind}, links long, root {kind}"), "links")
+        count, f"vec_id {kind}, cls long, links long, root {kind}"), "links")
     merged = components(partial.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    sums = partial.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    results = classes.join(sums, "vec_id", "left").join(merged.withColumnRenamed("node", "vec_id"), "vec_id", "left").select(
+    sums = partial.groupBy("cls").agg(F.sum("links").alias("links"))
+    results = classes.join(sums, "cls", "left").join(merged.withColumnRenamed("node", "vec_id"), "vec_id", "left").select(
         "label", "unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    found = units.join(results, ["label", "unit"]).select("vec_id", "n_links", "component_id")
-    # Repeated ids would multiply in a join by id: unusable rows are added, not joined.
-    unusable = vectors.select("vec_id").join(units.select("vec_id").distinct(), "vec_id", "left_anti").select(
+    found = units.drop("cls").join(results, ["label", "unit"]).select("vec_id", "n_links", "component_id")
+    unusable = every.where("unit is null").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.union(unusable).withColumn("kept", F.col("component_id").eqNullSafe(F.col("vec_id")))
