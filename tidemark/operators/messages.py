@@ -55,11 +55,14 @@ def canonical_responses(
         )
         .withColumns({
             "message": C.to_block_response(F.col("_r")),
-            "tokens_in": C.usage_tokens(F.col("_r"), "input"),
-            "tokens_out": C.usage_tokens(F.col("_r"), "output"),
             "passed": passed,
             "score": F.round("_raw", 3),
             "scrubbed": passed & F.col("changed"),
         })
+        # A passed reply is counted in the form it was converted to, a rejected one as it came.
+        .withColumns({
+            f"tokens_{end}": F.when(F.col("passed"), F.col(f"message.usage.{kind}_tokens")).otherwise(C.usage_tokens(F.col("_r"), kind))
+            for end, kind in (("in", "input"), ("out", "output"))
+        })
         .drop("_r", "_text", "_raw", "_clean", "changed", response)
     )

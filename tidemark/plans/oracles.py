@@ -320,7 +320,7 @@ _CANON = """
  coalesce(json_extract_string(response, '$.model'), '') AS model,
  CASE WHEN json_extract_string(response, '$.choices[0].finish_reason') = 'length' THEN 'max_tokens' ELSE 'end_turn' END AS stop_reason,
  coalesce(p, 0) AS input_tokens, coalesce(c, 0) AS output_tokens,
- coalesce(nullif(p, 0), i, 0) AS tokens_in, coalesce(nullif(c, 0), o, 0) AS tokens_out, passed, clean <> body AS scrubbed FROM u)
+ CASE WHEN passed THEN coalesce(p, 0) ELSE coalesce(nullif(p, 0), i, 0) END AS tokens_in, CASE WHEN passed THEN coalesce(c, 0) ELSE coalesce(nullif(c, 0), o, 0) END AS tokens_out, passed, clean <> body AS scrubbed FROM u)
 """
 ORACLES["canonical_responses"] = with_views(["responses"], _CANON + "SELECT * EXCLUDE (score) FROM canon")
 _REQUESTS = _FLAT + _HITS + _CANON + """
