@@ -6,9 +6,10 @@ from tidemark.functions.memory import json_array_text, json_items
 from tidemark.functions.text import with_json
 from tidemark.operators import extraction as E
 from tidemark.operators import memories as M
-from tidemark.plans.jobs import commit_outputs
+from tidemark.plans.jobs import commit_outputs, new_to_store
 from tidemark.session import shared_path
-from tidemark.sources.sinks import read_memories
+from tidemark.sources.known import append_filter, level_for, may_know, read_filters
+from tidemark.sources.sinks import append_memories, filter_path, read_commits, read_memories
 
 SCHEMA = "run_id string, run_part int, category string, context_length long, output string"
 
@@ -105,3 +106,42 @@ def test_copies_combine_before_the_shuffle(spark):
     assert kept.count() == 667 and kept.filter("content = 'hot'").first().run_id == 0
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "partial_min" in plan
+
+
+def hashes(spark, start, stop):
+    return spark.range(start, stop).select(F.sha2(F.col("id").cast("string"), 256).alias("commit_hash"))
+
+
+def test_filter_names_every_commit_that_knows_a_hash(spark):
+    path = shared_path(spark, "test-known")
+    sizes = {"a": (0, 1), "b": (0, 1000), "c": (500, 40_000)}
+    for name, (start, stop) in sizes.items():
+        append_filter(hashes(spark, start, stop), path, name)
+    append_filter(hashes(spark, 0, 0), path, "empty")
+    filters = read_filters(spark, path)
+    assert {(r.added, r.level) for r in filters.select("added", "level").distinct().collect()} == {(n, level_for(b - a)) for n, (a, b) in sizes.items()}
+    for name, (start, stop) in sizes.items():
+        named = may_know(hashes(spark, 0, 60_000), filters).where(F.col("added") == name).select("commit_hash")
+        assert hashes(spark, start, stop).join(named, "commit_hash", "left_anti").count() == 0
+        assert named.count() - (stop - start) < 60  # falsely named, of 60,000
+
+
+def test_level_has_the_bits_it_promises():
+    for n in (1, 1365, 1366, 2731, 10**6, 10**10):
+        assert 2 ** level_for(n) * 32768 >= 24 * n
+        assert level_for(n) == 0 or 2 ** (level_for(n) - 1) * 32768 < 24 * n
+
+
+def test_commit_reads_only_commits_that_may_know_a_hash(spark):
+    path = shared_path(spark, "test-pruned")
+    for i in range(6):
+        rows = hashes(spark, i * 100, i * 100 + 100).withColumns({
+            "category": F.lit("fact"), "subcategory": F.lit("x"), "content": F.lit("y"), "importance": F.lit(9)})
+        append_memories(rows, path)
+    batch = hashes(spark, 250, 280).union(hashes(spark, 10_000, 10_030))
+    new = new_to_store(batch, read_commits(spark, path), read_filters(spark, filter_path(path)))
+    assert {r[0] for r in new.collect()} == {r[0] for r in hashes(spark, 10_000, 10_030).collect()}
+    plan = new._jdf.queryExecution().executedPlan()
+    assert "dynamicpruning" in plan.toString()
+    found = read_commits(spark, path).join(may_know(batch, read_filters(spark, filter_path(path))), ["added", "commit_hash"], "left_semi")
+    assert found.select("added").distinct().count() == 1 and found.count() == 30

@@ -12,16 +12,20 @@ from tidemark.operators.extraction import parsed_items
 from tidemark.operators.memories import RUN_KEYS, committed_memories, run_summary
 from tidemark.operators.search import append_to_index
 from tidemark.session import stage
-from tidemark.sources.sinks import append_memories, append_runs, memory_rows, read_memories
+from tidemark.sources.known import may_know, read_filters
+from tidemark.sources.sinks import append_memories, append_runs, filter_path, memory_rows, read_commits
 
 
-def new_to_store(first: DataFrame, store: DataFrame) -> DataFrame:
-    """J2 for a batch that is much smaller than the store.
+def new_to_store(first: DataFrame, store: DataFrame, filters: DataFrame) -> DataFrame:
+    """J2 for a batch that is much smaller than the store: the items whose hash it does not hold.
 
-    The batch is written once, so its size is known: below the broadcast threshold the store is
-    only scanned (one column, with the batch's hashes as a filter) and never shuffled.
+    The commits' filters name the folders that may know a hash. Only these are read, and of them only
+    row groups whose hashes may match; what the store really holds decides.
     """
-    known = store.select("commit_hash").join(first.select("commit_hash"), "commit_hash", "left_semi")
+    candidates = stage(may_know(first.select("commit_hash"), filters), "candidates")
+    # Spark prunes folders at run time only for a join side that a comparison filters.
+    candidates = candidates.where(F.length("added") > 0)
+    known = store.select("added", "commit_hash").join(candidates, ["added", "commit_hash"], "left_semi")
     return first.join(known, "commit_hash", "left_anti")
 
 
@@ -46,7 +50,11 @@ def commit_outputs(
     items = stage(parsed_items(outputs), "items")
     first = stage(committed_memories(items, threshold=threshold), "first")
     if path_exists(spark, store_path):
-        first = stage(new_to_store(first, read_memories(spark, store_path)), "new")
+        store = read_commits(spark, store_path)
+        if path_exists(spark, filter_path(store_path)):
+            first = stage(new_to_store(first, store, read_filters(spark, filter_path(store_path))), "new")
+        elif not store.isEmpty():
+            raise ValueError(f"{store_path} has no filters; write its memories to a new store with append_memories")
     summary = run_summary(outputs, items, first)
     extra = [c for c in (keep or []) if c in outputs.columns]
     new = first.select("commit_hash", "category", "subcategory", "content", "importance", *extra)

@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import schemas
+from tidemark.sources.known import append_filter
 
 
 def read_memories(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.MEMORIES).parquet(path)
+    return read_commits(spark, path).drop("added")
+
+
+def read_commits(spark: SparkSession, path: str) -> DataFrame:
+    """The memories with the commit that added them, which is a folder of the store."""
+    return spark.read.schema(T.StructType([*schemas.MEMORIES.fields, T.StructField("added", T.StringType())])).parquet(path)
+
+
+def filter_path(path: str) -> str:
+    """Where a store keeps the filters over its hashes."""
+    return f"{path}-known"
 
 
 def memory_rows(committed: DataFrame) -> DataFrame:
@@ -26,18 +40,23 @@ def memory_rows(committed: DataFrame) -> DataFrame:
 
 
 def append_memories(committed: DataFrame, path: str) -> None:
-    """Append items that committed_memories found to be new.
+    """Append items that committed_memories found to be new. They are read three times; stage them.
 
-    One folder per category; within a file rows are sorted by hash and carry a Bloom filter on
-    it, so a later look-up of few hashes skips most row groups.
+    One folder per commit and category; within a file rows are sorted by hash and carry a Bloom
+    filter on it, so a later look-up of few hashes skips most row groups. The commit's filter is
+    written first: if the rows then fail, it names hashes that nobody holds, which costs a look but
+    hides no memory.
     """
+    added = uuid.uuid4().hex
+    append_filter(committed.select("commit_hash"), filter_path(path), added)
     (
         memory_rows(committed)
+        .withColumn("added", F.lit(added))
         .hint("rebalance")
         .sortWithinPartitions("category", "commit_hash")
         .write.mode("append")
         .option("parquet.bloom.filter.enabled#commit_hash", "true")
-        .partitionBy("category")
+        .partitionBy("added", "category")
         .parquet(path)
     )
 

@@ -198,11 +198,12 @@ def memory_stream(
     checkpoint: str,
     key: str = "event_id",
     runs_path: str | None = None,
+    index_path: str | None = None,
 ) -> StreamingQuery:
     """T5: compaction and session-end events -> contexts -> extraction -> commit.
 
     events come from parse_payloads. A commit knows memories by hash, so a batch that is run
-    again adds none.
+    again adds none. With index_path the new memories enter that search index.
     """
     event = F.col("event")
     keep = H.is_compaction(event) | H.has_session_end_content(event, F.col("payload"))
@@ -213,7 +214,7 @@ def memory_stream(
             batch = stage(batch.select("run_id", "context", "project", "session_id"), "contexts")
             outputs = model_extraction(batch, extract).withColumn("run_part", F.lit(0))
             outputs = outputs.join(batch.select("run_id", "project", "session_id"), "run_id")
-            commit_outputs(outputs, store_path, runs_path, keep=["project", "session_id"])
+            commit_outputs(outputs, store_path, runs_path, keep=["project", "session_id"], index_path=index_path)
 
     return (
         contexts.writeStream.option("checkpointLocation", checkpoint)
