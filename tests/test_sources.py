@@ -7,6 +7,7 @@ from tidemark.operators import ledger as L
 from tidemark.operators import pricing as P
 from tidemark.session import shared_path
 from tidemark.sources.ledger import append_ledger, read_ledger
+from tidemark.sources.cells import append_with_cells, read_cells, rolling_cells
 from tidemark.sources.payloads import parse_payloads, quarantined, read_contexts, readable
 from tidemark.sources.providers import default_providers, providers_from_config, starter_providers
 from tidemark.sources.sinks import append_audit
@@ -95,3 +96,41 @@ def test_prices_are_broadcast_by_their_size(spark):
     )
     plan = P.priced(log, default_providers(spark))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_cells_give_the_figures_of_the_rows(spark):
+    path = shared_path(spark, "test-cells")
+    start = dt.datetime(2024, 1, 1)
+    rows = [
+        (f"i{i}", start + dt.timedelta(minutes=20 * i), "ab"[i % 2], "m", i, 2 * i, 0.25 * (i % 4), i,
+         ("success", "failed", "rejected")[i % 3], (None, "coder")[i % 2])
+        for i in range(300)
+    ]
+    records = spark.createDataFrame(
+        rows, "id string, ts timestamp, provider string, model string, tokens_in long, tokens_out long, quality_score double, "
+        "latency_ms long, status string, role string").withColumn("cost_usd", F.col("tokens_in").cast("decimal(20,8)") / 1000)
+    append_with_cells(records.where("id <> 'i3'"), f"{path}/rows", f"{path}/cells")
+    files = {r[0] for r in read_cells(spark, f"{path}/cells").select(F.input_file_name()).distinct().collect()}
+    append_with_cells(records.where("id = 'i3'"), f"{path}/rows", f"{path}/cells")
+    ledger, cells = read_ledger(spark, f"{path}/rows"), read_cells(spark, f"{path}/cells")
+    after = {r[0] for r in cells.select(F.input_file_name()).distinct().collect()}
+    assert files ^ after and all("date=2024-01-01" in f for f in files ^ after)
+    assert cells.agg(F.sum("requests")).first()[0] == 300
+    for report in (L.lifetime_savings, L.rolling_costs, L.cost_report, L.rolling_totals):
+        assert sorted(map(str, report(cells).collect())) == sorted(map(str, report(ledger).collect()))
+    # Cutoffs on an hour, on a row and between rows; a window of no rows; one of all.
+    for minutes in (24 * 60, 24 * 60 + 20, 2 * 24 * 60 + 7, 10**5, 60):
+        as_of = start + dt.timedelta(minutes=minutes)
+        for report in (L.rolling_costs, L.rolling_costs_by_role, L.rolling_totals):
+            expected = report(L.rolling_window(ledger, as_of)).collect()
+            assert report(rolling_cells(cells, ledger, as_of)).collect() == expected
+    plan = rolling_cells(cells, ledger, as_of)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(date") == 2
+
+
+def test_cells_of_an_empty_ledger(spark):
+    path = shared_path(spark, "test-cells")
+    records = spark.createDataFrame(
+        [], "provider string, model string, tokens_in long, tokens_out long, quality_score double, latency_ms long, status string, cost_usd decimal(20,8)")
+    append_with_cells(records, f"{path}/rows", f"{path}/cells")
+    assert L.lifetime_savings(read_cells(spark, f"{path}/cells")).first().total_requests == 0

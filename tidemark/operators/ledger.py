@@ -17,6 +17,12 @@ def latest_ts(ledger: DataFrame) -> datetime:
     return ledger.agg(F.max("ts").alias("ts")).first()["ts"]
 
 
+def cutoff_of(as_of: datetime | None, hours: int) -> Column:
+    """The time that rows of a rolling report have to be after; a constant of the query."""
+    end = F.current_timestamp() if as_of is None else F.lit(as_of)
+    return end - F.make_interval(hours=F.lit(hours))
+
+
 def rolling_window(
     ledger: DataFrame, as_of: datetime | None = None, hours: int = rules.ROLLING_HOURS
 ) -> DataFrame:
@@ -25,8 +31,7 @@ def rolling_window(
     as_of becomes a constant of the column's own type, so the filter reaches the Parquet scan.
     With a date partition column the older folders are not opened at all.
     """
-    end = F.current_timestamp() if as_of is None else F.lit(as_of)
-    cutoff = end - F.make_interval(hours=F.lit(hours))
+    cutoff = cutoff_of(as_of, hours)
     if isinstance(ledger.schema["ts"].dataType, T.TimestampNTZType):
         cutoff = cutoff.cast("timestamp_ntz")
     recent = ledger.filter(F.col("ts") > cutoff)
@@ -37,9 +42,17 @@ def _exact(amount: Column, digits: int) -> Column:
     return F.round(amount, digits).cast("double")
 
 
+_SUM_NAMES = [
+    "requests", "tokens_in", "tokens_out", "cost", "quality", "latency", "successes", "failures", "rejections",
+]
+
+
 # Sums of every report, by name. They are exact (integers and decimals), so the order in which
 # partial sums meet cannot change a result.
-def _sums() -> list[Column]:
+def sums(rows: DataFrame) -> list[Column]:
+    """The sums over ledger rows, or over cells that hold them already (`sources/cells.py`)."""
+    if "requests" in rows.columns:
+        return [F.sum(name).alias(name) for name in _SUM_NAMES]
     status = F.col("status")
     return [
         F.count(F.lit(1)).alias("requests"),
@@ -54,14 +67,9 @@ def _sums() -> list[Column]:
     ]
 
 
-_SUM_NAMES = [
-    "requests", "tokens_in", "tokens_out", "cost", "quality", "latency", "successes", "failures", "rejections",
-]
-
-
 def usage_cells(window: DataFrame) -> DataFrame:
     """Sums per (provider, model, role): the grain all rolling reports are folded from."""
-    return window.groupBy("provider", "model", "role").agg(*_sums())
+    return window.groupBy("provider", "model", "role").agg(*sums(window))
 
 
 def _average(total: str, digits: int) -> Column:
@@ -86,7 +94,7 @@ def rolling_costs(window: DataFrame) -> DataFrame:
     """A1, O1: per (provider, model), dearest first."""
     return (
         window.groupBy("provider", "model")
-        .agg(*_sums())
+        .agg(*sums(window))
         .orderBy(F.desc("cost"), "provider", "model")
         .select("provider", "model", *_provider_columns())
     )
@@ -97,7 +105,7 @@ def rolling_costs_by_role(window: DataFrame) -> DataFrame:
     return (
         window.filter(F.col("role").isNotNull())
         .groupBy("role")
-        .agg(*_sums()[:4])
+        .agg(*sums(window)[:4])
         .orderBy(F.desc("cost"), "role")
         .select("role", "requests", _exact(F.col("cost"), 6).alias("cost_usd"), "tokens_in", "tokens_out")
     )
@@ -118,13 +126,8 @@ def savings_columns(price_in: str, price_out: str) -> list[Column]:
 
 
 def _totals(rows: DataFrame) -> DataFrame:
-    return rows.agg(
-        F.count(F.lit(1)).alias("requests"),
-        *[
-            F.coalesce(F.sum(name), F.lit(0)).alias(alias)
-            for name, alias in (("tokens_in", "tokens_in"), ("tokens_out", "tokens_out"), ("cost_usd", "cost"))
-        ],
-    )
+    totals = rows.agg(*sums(rows)[:4])
+    return totals.select(*[F.coalesce(F.col(name), F.lit(0)).alias(name) for name in totals.columns])
 
 
 def rolling_totals(

@@ -28,6 +28,7 @@ from tidemark.plans.jobs import commit_outputs, log_access, with_access
 from tidemark.plans.views import VIEWS, view
 from tidemark.session import shared_path
 from tidemark.sources.payloads import parse_payloads, quarantined
+from tidemark.sources.cells import append_with_cells, read_cells, rolling_cells
 from tidemark.sources.ledger import append_ledger, read_ledger
 from tidemark.sources.providers import default_providers
 from tidemark.sources.sinks import append_audit, read_memories
@@ -124,6 +125,29 @@ def lifetime_savings(spark, sf_dir):
     return L.lifetime_savings(priced_ledger(spark, sf_dir))
 
 
+def ledger_with_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A ledger written in two parts, the second of which falls late on every day, and its cells."""
+    out = shared_path(spark, "ledger")
+    rows = priced_ledger(spark, sf_dir).withColumnRenamed("request_id", "id")
+    late = F.col("id") % 3 == 0
+    for part in (rows.filter(~late), rows.filter(late)):
+        append_with_cells(part, f"{out}/rows", f"{out}/cells")
+    return read_ledger(spark, f"{out}/rows"), read_cells(spark, f"{out}/cells")
+
+
+@query
+def cells_rolling_costs(spark, sf_dir):
+    """A1 from hour cells and the rows of one hour."""
+    ledger, cells = ledger_with_cells(spark, sf_dir)
+    return L.rolling_costs(rolling_cells(cells, ledger, L.latest_ts(ledger)))
+
+
+@query
+def cells_lifetime_savings(spark, sf_dir):
+    """A4 from hour cells alone."""
+    return L.lifetime_savings(ledger_with_cells(spark, sf_dir)[1])
+
+
 @query
 def gate_outcomes(spark, sf_dir):
     return L.gate_outcomes(view(spark, sf_dir, "ledger_raw"))

@@ -67,6 +67,8 @@ ORACLES["cost_report"] = ledger_sql(f"""
 SELECT 'provider' AS level, provider, model, CAST(NULL AS VARCHAR) AS role, {_REPORT} FROM ledger GROUP BY provider, model
 UNION ALL SELECT 'role', NULL, NULL, role, {_REPORT} FROM ledger WHERE role IS NOT NULL GROUP BY role
 UNION ALL SELECT 'total', NULL, NULL, NULL, {_REPORT} FROM ledger""")
+ORACLES["cells_rolling_costs"] = ORACLES["rolling_costs_provider"]
+ORACLES["cells_lifetime_savings"] = ORACLES["lifetime_savings"]
 ORACLES["gate_outcomes"] = with_views(["ledger_raw"], """
 SELECT CASE WHEN quality_score >= 0.5 THEN 'passed' WHEN status = 'rejected' THEN 'rejected' ELSE 'failed' END AS outcome,
  count(*) AS requests FROM ledger_raw GROUP BY 1""")

@@ -19,7 +19,8 @@ from tidemark.operators.quality import score_texts
 from tidemark.operators.safety import blocked_audit, scrub_texts
 from tidemark.plans.jobs import commit_outputs
 from tidemark.session import stage, staging
-from tidemark.sources.ledger import ledger_rows
+from tidemark.sources.cells import days_of, refresh_cells
+from tidemark.sources.ledger import ledger_rows, read_ledger
 
 STATE_SCHEMA = T.StructType([
     T.StructField("provider", T.StringType()),
@@ -175,15 +176,20 @@ def breaker_stream(
     )
 
 
-def ledger_stream(facts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def ledger_stream(facts: DataFrame, path: str, checkpoint: str, cells_path: str | None = None) -> StreamingQuery:
     """Append the rows of `ledger_facts` to a ledger, their request_id as id.
 
     Each batch has a folder of its own, with one folder per day in it; a batch that runs again replaces its own.
+    With cells_path the hour cells of the days it wrote are brought up to date.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         rows = ledger_rows(batch.withColumnRenamed("request_id", "id")).withColumn("date", F.to_date("ts"))
-        rows.write.mode("overwrite").partitionBy("date").parquet(f"{path}/batch_id={batch_id}")
+        written = f"{path}/batch_id={batch_id}"
+        rows.write.mode("overwrite").partitionBy("date").parquet(written)
+        days = days_of(read_ledger(batch.sparkSession, written)) if cells_path else []
+        if days:
+            refresh_cells(read_ledger(batch.sparkSession, path), days, cells_path)
 
     return (
         facts.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
