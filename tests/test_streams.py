@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from tests.test_attempts import SCHEMA, fold, random_log
 from tidemark.session import shared_folder, shared_path, stage, staging
 from tidemark.sources.payloads import read_payload_stream
+from tidemark.sources.cells import hour_cells, read_cells
+from tidemark.sources.ledger import read_ledger
 from tidemark.sources.sinks import read_memories
 from tidemark.streaming import streams as T
 
@@ -94,3 +96,22 @@ def test_breaker_batches_leave_nothing_staged(spark):
         T.breaker_stream(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/state", f"{base}/checkpoint").awaitTermination()
     assert sorted(r.streak for r in spark.read.parquet(f"{base}/out").collect()) == list(range(1, 9))
     assert staged(spark, "ranges") == before
+
+
+def test_ledger_stream_keeps_cells_current(spark):
+    base = shared_path(spark, "test-ledger-stream")
+    schema = ("request_id string, ts timestamp, provider string, model string, tokens_in long, tokens_out long, cost_usd decimal(20,8), "
+              "quality_score double, latency_ms long, status string, role string")
+    for part in range(3):
+        spark.range(part * 50, part * 50 + 50).select(
+            F.col("id").cast("string").alias("request_id"),
+            F.timestamp_seconds(F.lit(1704067200) + (F.col("id") % 40) * 7200).alias("ts"), F.lit("a").alias("provider"), F.lit("m").alias("model"),
+            F.col("id").alias("tokens_in"), F.col("id").alias("tokens_out"), F.lit("0.5").cast("decimal(20,8)").alias("cost_usd"),
+            F.lit(0.5).alias("quality_score"), F.col("id").alias("latency_ms"), F.lit("success").alias("status"), F.lit(None).cast("string").alias("role"),
+        ).write.mode("append").parquet(f"{base}/in")
+        facts = spark.readStream.schema(schema).parquet(f"{base}/in")
+        T.ledger_stream(facts, f"{base}/rows", f"{base}/checkpoint", f"{base}/cells").awaitTermination()
+    rows, cells = read_ledger(spark, f"{base}/rows"), read_cells(spark, f"{base}/cells")
+    expected = hour_cells(rows)
+    assert rows.count() == 150 and cells.agg(F.sum("requests")).first()[0] == 150
+    assert sorted(map(str, cells.select(expected.columns).collect())) == sorted(map(str, expected.collect()))
