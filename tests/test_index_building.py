@@ -47,3 +47,15 @@ def test_a_group_of_long_memories_is_bounded_by_its_tokens(spark, monkeypatch):
     memories = spark.createDataFrame([(i, "fact", "x", "alpha " * 50, 1, None) for i in range(64)], SCHEMA)
     blocks = R.build_index(memories).blocks.filter("stem = 'alpha'")
     assert blocks.count() > 10 and blocks.agg(F.sum("n")).first()[0] == 64
+
+
+def test_trigram_parts_are_bounded_by_their_texts(spark, monkeypatch):
+    monkeypatch.setattr(G, "PART_CHARS", 1_000)
+    rows = [(i, "fact", "x", f"long text {i} " * 20, 1, None) for i in range(30)] + [(None, "fact", "x", "long", 1, None), (99, "fact", "x", "lo", 1, None)]
+    memories = spark.createDataFrame(rows, SCHEMA)
+    grams = G.build_trigrams(memories)
+    lists = [r.mem_ids for r in grams.filter("gram = 'lon'").collect()]
+    assert len(lists) > 3 and sorted(sum(lists, [])) == list(range(30))
+    assert grams.filter("n <> size(mem_ids)").count() == 0
+    # A trigram does not reach from one text into the next.
+    assert grams.filter("gram = ' lo'").agg(F.sum("n")).first()[0] == 30 and grams.filter("gram = 'lol'").count() == 0
