@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -230,6 +231,41 @@ def test_profiles_of_a_text_do_not_depend_on_its_neighbours():
     assert language_id.has_letter(pa.array(["1", None, "", "é", "a", "…—", "½", "日"])).tolist() == [False, False, False, True, True, False, False, True]
 
 
+def peak_mb(run):
+    """MB of arrays held at most while run() lasts, beside those held before."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_languages_hold_little_at_once():
+    langs = ("de", "en", "fr")
+    counts = {lang: language_id.profiles(pa.array([f"text in {lang}"]))[0] for lang in langs}
+    machine = (np.ones(language_id.DIMS), 0.0, 1.0)
+    model = language_id.Model(counts, dict.fromkeys(langs, 0), {(a, b): machine for a in langs for b in langs if a < b})
+    short = pa.RecordBatch.from_pydict({"text": [f"one short text, number {i}" for i in range(4000)]})
+    assert peak_mb(lambda: [model.predict(block.column("text")) for block in language_id._blocks([short])]) < 64
+    assert peak_mb(lambda: model.predict(pa.array(["a long text of one row, " * 200_000]))) < 64
+    x = np.zeros((1000, language_id.DIMS), np.float32)
+    x[::2, 0] = x[1::2, 1] = 1
+    assert peak_mb(lambda: language_id.fit_pair(x, x[:, 0].astype(float) * 2 - 1)) < 32
+
+
+def test_profiles_of_texts_longer_than_a_step():
+    word = "Añb "
+    times = language_id._STEP // len(word.encode()) + 1000
+    texts = pa.array(["x", word * times, "", "y" * (2 * language_id._STEP + 1)])
+    one, long, empty, run = language_id.profiles(texts)
+    assert (long == language_id.profiles(pa.array([word]))[0] * times).all()
+    assert one.sum() == 2 and not empty.any()
+    # A run of one letter: its beginning, its end, and all the same between.
+    n = 2 * language_id._STEP + 1
+    assert sorted(run[run > 0].tolist()) == [1, 1, n - 2, n]
+
+
 def test_languages_odd_tables(spark):
     schema = "doc_id string, text string, lang string"
     rows = [("a", None, "en"), ("b", "123 …", "en"), (None, "hello world", "en"), ("c", "hello there", "en"), ("c", "hello there", "en"), ("d", "x" * 2_000_000, None)]

@@ -6,6 +6,10 @@ Languages fall into families by average linkage over the cosine of their mean pr
 multinomial model over the n-gram counts of all learning rows picks the family. Within a family,
 each pair of languages has a linear support vector machine, trained in a task of its own on at most
 `EXAMPLES` rows of each; the language with most votes wins, ties by the sum of margins.
+
+Beside Spark's Arrow batch a task holds a few copies of a block's texts (1 MB, or one larger text) and
+what is bounded: counts are dense for one block of `_BLOCK_ROWS` rows (8 MB as 64-bit numbers), n-grams
+are found in steps of `_STEP` bytes, a machine's rows are one matrix of at most 2 * `EXAMPLES` rows (32 MB).
 """
 
 from __future__ import annotations
@@ -33,8 +37,10 @@ PARTS = 20
 MAX_LANGUAGES = 256
 UNKNOWN = "und"
 
-_BLOCK_BYTES = 4 << 20
-_BLOCK_ROWS = 2_000
+_BLOCK_BYTES = 1 << 20
+_BLOCK_ROWS = 256
+#: Bytes of a block looked at together; a step takes some 60 times as much.
+_STEP = 1 << 18
 _EPOCHS = 20
 _COST = 4.0
 #: Log-odds of a whole text are far too sure, as its n-grams overlap; they are taken per this many.
@@ -52,9 +58,11 @@ _HASH = np.uint32(0x9E3779B1)
 def has_letter(texts: pa.Array) -> np.ndarray:
     """Which texts hold a letter (Unicode category L); a null text does not."""
     data, offsets = textkit.utf8(texts)
-    ascii_letter = np.append(0, np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122), dtype=np.int64))
-    out = ascii_letter[offsets[1:]] > ascii_letter[offsets[:-1]]
-    for i in np.flatnonzero(~out & (np.diff(offsets) > 0)):
+    filled = np.diff(offsets) > 0
+    out = np.zeros(len(texts), bool)
+    if filled.any():
+        out[filled] = np.logical_or.reduceat(((data | 32) >= 97) & ((data | 32) <= 122), offsets[:-1][filled])
+    for i in np.flatnonzero(~out & filled):
         out[i] = _LETTERS.search(texts[int(i)].as_py()) is not None
     return out
 
@@ -65,15 +73,21 @@ def profiles(texts: pa.Array) -> np.ndarray:
     lower = pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string()))
     padded = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), lower, pa.scalar("  ", pa.large_string()), pa.scalar("", pa.large_string()))
     data, offsets = textkit.utf8(padded)
-    data = _KEEP[data].astype(np.uint32)
-    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
-    inside = data != 32
-    single = np.bincount(row[inside].astype(np.int64) * DIMS + data[inside], minlength=n * DIMS)
-    # Every text ends with two blanks, so no run of three with a letter in the middle leaves its text.
-    middle = np.flatnonzero(inside)
-    triple = (data[middle - 1] << np.uint32(16)) | (data[middle] << np.uint32(8)) | data[middle + 1]
-    place = 256 + ((triple * _HASH) >> np.uint32(16)).astype(np.int64) % (DIMS - 256)
-    return (single + np.bincount(row[middle].astype(np.int64) * DIMS + place, minlength=n * DIMS)).reshape(n, DIMS)
+    data = _KEEP[data]
+    counts = np.zeros(n * DIMS, np.int64)
+    # Every text begins and ends with blanks, so no run of three with a letter in the middle leaves its text.
+    for low in range(0, len(data), _STEP):
+        high = min(low + _STEP, len(data))
+        first, last = np.searchsorted(offsets, [low, high - 1], side="right") - 1
+        row = np.repeat(np.arange(last - first + 1) * DIMS, np.diff(np.clip(offsets[first : last + 2], low, high)))
+        inside = np.flatnonzero(data[low:high] != 32)
+        row, middle = row[inside], inside + low
+        before, here, after = (data[middle + k].astype(np.uint32) for k in (-1, 0, 1))
+        triple = (before << np.uint32(16)) | (here << np.uint32(8)) | after
+        part = counts[first * DIMS : (last + 1) * DIMS]
+        part += np.bincount(row + here, minlength=len(part))
+        part += np.bincount(row + 256 + ((triple * _HASH) >> np.uint32(16)).astype(np.int64) % (DIMS - 256), minlength=len(part))
+    return counts.reshape(n, DIMS)
 
 
 def _units(counts: np.ndarray) -> np.ndarray:
@@ -97,11 +111,11 @@ def _language_counts(rows: DataFrame) -> dict[str, np.ndarray]:
             counts, numbers = profiles(block.column("text")), coded.indices.to_numpy(zero_copy_only=False)
             for i, lang in enumerate(coded.dictionary.to_pylist()):
                 sums[lang] = sums.get(lang, 0) + counts[numbers == i].sum(axis=0)
-        if sums:
-            langs = [lang for lang in sums for _ in range(DIMS)]
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(list(range(DIMS)) * len(sums), pa.int32()), pa.array(np.concatenate(list(sums.values())), pa.int64())], names=["lang", "place", "n"])
+        for lang, n in sums.items():
+            places = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(places), pa.string()), pa.array(places, pa.int32()), pa.array(n[places], pa.int64())], names=["lang", "place", "n"])
 
-    summed = rows.select("lang", "text").mapInArrow(run, "lang string, place int, n long").where("n > 0").groupBy("lang", "place").agg(F.sum("n").alias("n"))
+    summed = rows.select("lang", "text").mapInArrow(run, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
     out: dict[str, np.ndarray] = {}
     for lang, place, n in summed.collect():
         out.setdefault(lang, np.zeros(DIMS, np.int64))[place] = n
@@ -128,9 +142,14 @@ def fit_pair(features: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, float
 
     Both classes weigh the same whatever their numbers of rows. Deterministic.
     """
-    x = np.hstack([features, np.ones((len(features), 1), np.float32)])
+    return _fit(np.hstack([features, np.ones((len(features), 1), np.float32)]), signs)
+
+
+def _fit(x: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """As `fit_pair`, of features whose last column is one; nothing else of their size is made."""
     bound = np.where(signs > 0, len(signs) / (2 * max((signs > 0).sum(), 1)), len(signs) / (2 * max((signs < 0).sum(), 1))) * _COST
-    norms = (x * x).sum(axis=1)
+    parts = [slice(low, low + _BLOCK_ROWS) for low in range(0, len(x), _BLOCK_ROWS)]
+    norms = np.concatenate([(x[part] * x[part]).sum(axis=1) for part in parts])
     alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
     order = np.random.default_rng(0)
     for _ in range(_EPOCHS):
@@ -144,10 +163,21 @@ def fit_pair(features: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, float
                 alpha[i] = new
         if moved < 1e-3:
             break
-    margins = signs * (x @ w)
+    margins = signs * np.concatenate([x[part] @ w for part in parts])
     return w[:-1], float(w[-1]), float(max(np.median(margins), 1e-6))
 
 
+def _trained(group: pd.DataFrame) -> pd.DataFrame:
+    """The machine of one pair of languages, from all its rows."""
+    group = group.sort_values(["sign", "number"], kind="stable")
+    x = np.zeros((len(group), DIMS + 1), np.float32)
+    x[:, DIMS] = 1
+    for i, (places, amounts) in enumerate(zip(group["places"], group["amounts"])):
+        x[i, np.frombuffer(places, np.uint16)] = np.frombuffer(amounts, np.float32)
+    w, bias, scale = _fit(x, group["sign"].to_numpy())
+    return pd.DataFrame({"pair": [group["pair"].iloc[0]], "w": [w.astype(np.float64).tobytes()], "bias": [bias], "scale": [scale]})
+
+
 def _pair_models(examples: DataFrame, family: dict[str, int]) -> dict[tuple[str, str], tuple[np.ndarray, float, float]]:
     """A machine per pair of languages of one family, each trained in its own task.
 
@@ -171,16 +201,8 @@ def _pair_models(examples: DataFrame, family: dict[str, int]) -> dict[tuple[str,
                 block.column("lang"), block.column("number"), pa.array([p.tobytes() for p in places], pa.binary()),
                 pa.array([u[p].tobytes() for u, p in zip(units, places)], pa.binary())], names=["lang", "number", "places", "amounts"])
 
-    def train(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["sign", "number"], kind="stable")
-        features = np.zeros((len(group), DIMS), np.float32)
-        for i, (places, amounts) in enumerate(zip(group["places"], group["amounts"])):
-            features[i, np.frombuffer(places, np.uint16)] = np.frombuffer(amounts, np.float32)
-        w, bias, scale = fit_pair(features, group["sign"].to_numpy())
-        return pd.DataFrame({"pair": [group["pair"].iloc[0]], "w": [w.astype(np.float64).tobytes()], "bias": [bias], "scale": [scale]})
-
     vectors = stage(examples.select("lang", "number", "text").mapInArrow(sparse, "lang string, number long, places binary, amounts binary").dropDuplicates(["lang", "number"]), "lang-examples")
-    trained = vectors.join(F.broadcast(table), "lang").groupBy("pair").applyInPandas(train, "pair int, w binary, bias double, scale double")
+    trained = vectors.join(F.broadcast(table), "lang").groupBy("pair").applyInPandas(_trained, "pair int, w binary, bias double, scale double")
     return {pairs[r["pair"]]: (np.frombuffer(r["w"], np.float64), r["bias"], r["scale"]) for r in trained.collect()}
 
 
